@@ -35,40 +35,6 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def counters(df: DataFrame, column: str, bits: int, cell: int = 1024) -> np.ndarray:
-    """Occurrences of the low ``bits`` bits of a long (or array<long>) column, over every row of ``df``.
-
-    Each task counts into one fixed array of 2**bits counters and sends it in cells; a second
-    stage adds cells of the same number. What reaches the driver is 2**bits 4-byte counters
-    whatever the number of rows, so the result has a proven size bound. Null values count nowhere.
-    """
-    size, mask = 1 << bits, np.uint64((1 << bits) - 1)
-
-    def count(batches):
-        total, waiting, n = np.zeros(size, np.uint32), [], 0
-
-        def settle():
-            nonlocal total, n
-            if waiting:
-                total += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
-                waiting.clear()
-                n = 0
-
-        for b in batches:
-            values = b.column(0)
-            if pa.types.is_list(values.type):
-                values = values.flatten()
-            got = (np.asarray(values.drop_null()).astype(np.int64).view(np.uint64) & mask).astype(np.int64)
-            waiting.append(got)
-            n += len(got)
-            if n > 1 << 21:
-                settle()
-        settle()
-        yield from cells(total, cell)
-
-    return gather_cells(df.select(column).mapInArrow(count, "cell int, counts binary"), size, cell)
-
-
 def cells(total: np.ndarray, cell: int) -> Iterator[pa.RecordBatch]:
     """Non-empty cells of one task's counters, a bounded number of bytes to a batch."""
     grid = total.reshape(-1, cell)
@@ -92,11 +58,48 @@ def gather_cells(df: DataFrame, size: int, cell: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype("<u4").tobytes()], pa.binary())], ["cell", "counts"])
 
     out = np.zeros(size, np.uint32)
-    for k, v in df.repartition("cell").mapInArrow(add, "cell int, counts binary").toLocalIterator():
+    for k, v in df.repartition("cell").mapInArrow(add, "cell int, counts binary").collect():
         out[k * cell : (k + 1) * cell] = np.frombuffer(v, "<u4")
     return out
 
 
+def bit_filter(df: DataFrame, column: str, bits: int, cell: int = 4096) -> np.ndarray:
+    """2**bits bits, packed: bit i is set if some row's long has i as its low bits. Nulls set nothing.
+
+    Tasks set bits in one fixed array each and send its non-empty cells; a second stage joins cells of the
+    same number. The size is fixed whatever the rows; more rows only bring false positives.
+    """
+    mask = np.uint64((1 << bits) - 1)
+
+    def mark(batches):
+        mine = np.zeros(1 << bits, bool)
+        for b in batches:
+            mine[(np.asarray(b.column(0).drop_null()).astype(np.int64).view(np.uint64) & mask).astype(np.int64)] = True
+        grid = np.packbits(mine).reshape(-1, cell)
+        some = np.flatnonzero(grid.any(axis=1))
+        if len(some):
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([grid[i].tobytes() for i in some], pa.binary())], ["cell", "bits"])
+
+    def join(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1)):
+                got = np.frombuffer(v.as_buffer(), np.uint8)
+                sums[k] = got | sums[k] if k in sums else got
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["cell", "bits"])
+
+    out = np.zeros((1 << bits) // 8, np.uint8)
+    for k, v in df.select(column).mapInArrow(mark, "cell int, bits binary").repartition("cell").mapInArrow(join, "cell int, bits binary").collect():
+        out[k * cell : (k + 1) * cell] = np.frombuffer(v, np.uint8)
+    return out
+
+
+def in_filter(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    low = (values.view(np.uint64) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+    return (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1 == 1
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a long, b long)``: one row (node, component) per linked node.
 
@@ -105,16 +108,17 @@ def components(links: DataFrame) -> DataFrame:
     with the logarithm of the longest path. ``component`` is the least node. Nothing is collected.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
     while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        after = cut(small)
-        sums = [x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, after)]
-        edges = after
-        if sums[0] == sums[1]:
+        edges = cut(small)
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
             break
+        before = now
     stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, counters, cut
+from .common import bit_filter, cells, components, cut, gather_cells, in_filter
 from .textkernel import Block, blocks, mix, windows
 
 SHINGLE = 5
@@ -63,26 +63,18 @@ def set_hash(s: np.ndarray) -> int:
 def _sketch(docs: DataFrame) -> np.ndarray:
     """Number of documents by the low SKETCH_BITS bits of their shingles: one array of fixed size."""
 
-    def each(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, 512):
-                got = list(sets(b.column(0).slice(i, 512)))
-                flat = np.concatenate(got) if got else np.zeros(0, np.uint64)
-                yield pa.array(flat.view(np.int64))
-
-    from .common import cells, gather_cells
-
     size, mask = 1 << SKETCH_BITS, np.uint64((1 << SKETCH_BITS) - 1)
 
     def count(batches):
         total = np.zeros(size, np.uint32)
         waiting, n = [], 0
-        for values in each(batches):
-            waiting.append((np.asarray(values).view(np.uint64) & mask).astype(np.int64))
-            n += len(waiting[-1])
-            if n > 1 << 21:
-                total += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
-                waiting, n = [], 0
+        for b in batches:
+            for s in sets(b.column(0)):
+                waiting.append((s & mask).astype(np.int64))
+                n += len(s)
+                if n > 1 << 20:
+                    total += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
+                    waiting, n = [], 0
         if waiting:
             total += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
         yield from cells(total, 1024)
@@ -164,7 +156,7 @@ class Trie:
                     walk.append((kid, got))
 
 
-def chunk_links(members: list[tuple[int, np.ndarray]], counts: np.ndarray) -> list[tuple[int, int]]:
+def chunk_links(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
     """A spanning forest of the links among some (hash, set)."""
     tree, top = Trie([], 0), list(range(len(members)))
 
@@ -228,7 +220,7 @@ def _postings(signed: DataFrame, wanted=None) -> DataFrame:
                     p = flat[off[k] : off[k + 1]]
                     first = np.arange(len(p)) < prefix_sizes(ns[k])[1]
                     if wanted is not None:
-                        hit = _in_filter(p, wanted.value)
+                        hit = in_filter(p, wanted.value)
                         p, first = p[hit], first[hit]
                     tokens.append(p)
                     owner.append(np.full(len(p), h, np.int64))
@@ -239,16 +231,6 @@ def _postings(signed: DataFrame, wanted=None) -> DataFrame:
     return signed.select("h", "n", "prefix").mapInArrow(run, "token long, h long, lead long")
 
 
-def _filter(rows: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value of the low FILTER_BITS bits that occurs: a fixed 2**FILTER_BITS bits however many rows; false positives only cost work."""
-    return np.packbits(counters(rows, column, FILTER_BITS) > 0)
-
-
-def _in_filter(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    low = (values.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-    return (bits[low >> 3] >> (7 - (low & 7)).astype(np.uint8)) & 1 == 1
-
-
 def _sets_of(docs: DataFrame, wanted, counts) -> DataFrame:
     """(h, s): the ordered sets whose hash passes the filter, each once."""
 
@@ -258,7 +240,7 @@ def _sets_of(docs: DataFrame, wanted, counts) -> DataFrame:
             for i in range(0, b.num_rows, 256):
                 hs, out = [], []
                 for s in sets(b.column(0).slice(i, 256)):
-                    if len(s) and (h := set_hash(s)) not in told and _in_filter(np.array([h], np.int64), bits)[0]:
+                    if len(s) and (h := set_hash(s)) not in told and in_filter(np.array([h], np.int64), bits)[0]:
                         if len(told) < REMEMBER:
                             told.add(h)
                         hs.append(h)
@@ -272,7 +254,7 @@ def _sets_of(docs: DataFrame, wanted, counts) -> DataFrame:
 def _trie_join(members: DataFrame, docs: DataFrame, counts) -> DataFrame:
     """Links (a, b) among the sets of each chunk; ``members(chunk long, h long)``, a chunk's size bounded by its maker."""
     members = cut(members)
-    bits = members.sparkSession.sparkContext.broadcast(_filter(members, "h"))
+    bits = members.sparkSession.sparkContext.broadcast(bit_filter(members, "h", FILTER_BITS))
     rows = members.join(_sets_of(docs, bits, counts), "h").select("chunk", "h", "s")
 
     def run(batches):
@@ -281,13 +263,13 @@ def _trie_join(members: DataFrame, docs: DataFrame, counts) -> DataFrame:
         for b in batches:
             for c, h, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 if c != now:
-                    out += chunk_links(list(group.items()), None)
+                    out += chunk_links(list(group.items()))
                     now, group = c, {}
                 group[h] = np.frombuffer(s.as_buffer(), "<u8")
             if len(out) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
                 out = []
-        out += chunk_links(list(group.items()), None)
+        out += chunk_links(list(group.items()))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "a long, b long")
@@ -333,14 +315,21 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     signed = cut(_signatures(docs, counts))
     # lists of at least two different sets, one of which indexes the shingle
     lists = cut(_postings(signed).groupBy("token").agg(F.min("h").alias("hub"), F.max("h").alias("last"), F.max("lead").alias("lead")).where("hub <> last and lead = 1").select("token", "hub"))
-    bits = context.broadcast(_filter(lists, "token"))
+    bits = context.broadcast(bit_filter(lists, "token", FILTER_BITS))
     members = cut(_postings(signed, bits).groupBy("token", "h").agg(F.count("*").alias("c")).select("token", "h").join(lists, "token"))
     links = _trie_join(_hub_chunks(members), docs, counts)
     links = cut(links)
     classes = components(links)
     rest = _rest_chunks(members, classes)
-    if rest is not None:
-        classes = components(links.union(_trie_join(rest, docs, counts)))
+    if rest is not None:  # only what joins known classes is new
+        names = classes.select("node", "component")
+        more = cut(_trie_join(rest, docs, counts))
+        for end in ("a", "b"):
+            more = more.join(names.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        merged = components(more.where("a <> b").select("a", "b"))
+        over = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
+        named = classes.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+        classes = cut(named.union(merged.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")))
     ids = signed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first")).join(classes.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "first", F.coalesce("component", "h").alias("component"))
     least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
     of_set = cut(ids.join(least, "component").select("h", "component_id"))
