@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,30 +37,29 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 
 def cells(total: np.ndarray, cell: int) -> Iterator[pa.RecordBatch]:
-    """Non-empty cells of one task's counters, a bounded number of bytes to a batch."""
-    grid = total.reshape(-1, cell)
+    """Non-empty cells of one task's counters, each counter up to 255, packed, a bounded number of bytes to a batch."""
+    grid = np.minimum(total, 255).astype(np.uint8).reshape(-1, cell)
     some = np.flatnonzero(grid.any(axis=1))
     for part in np.array_split(some, max(1, len(some) // 256)):
         if len(part):
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([grid[i].astype("<u4").tobytes() for i in part], pa.binary())], ["cell", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([zlib.compress(grid[i].tobytes(), 1) for i in part], pa.binary())], ["cell", "counts"])
 
 
 def gather_cells(df: DataFrame, size: int, cell: int) -> np.ndarray:
+    """Sums of all tasks' counters, up to 65535 each: ``size`` 2-byte numbers whatever the number of rows."""
+
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, v in zip(b.column(0).to_pylist(), b.column(1)):
-                got = np.frombuffer(v.as_buffer(), "<u4")
-                if k in sums:
-                    sums[k] += got
-                else:
-                    sums[k] = got.astype(np.uint32)
+                got = np.frombuffer(zlib.decompress(v.as_buffer()), np.uint8)
+                sums[k] = sums[k] + got if k in sums else got.astype(np.uint32)
         for k, v in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.astype("<u4").tobytes()], pa.binary())], ["cell", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 65535).astype("<u2").tobytes()], pa.binary())], ["cell", "counts"])
 
-    out = np.zeros(size, np.uint32)
+    out = np.zeros(size, np.uint16)
     for k, v in df.repartition("cell").mapInArrow(add, "cell int, counts binary").collect():
-        out[k * cell : (k + 1) * cell] = np.frombuffer(v, "<u4")
+        out[k * cell : (k + 1) * cell] = np.frombuffer(v, "<u2")
     return out
 
 

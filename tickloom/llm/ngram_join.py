@@ -35,7 +35,8 @@ from .common import bit_filter, cells, components, cut, gather_cells, in_filter
 from .textkernel import Block, blocks, mix, windows
 
 SHINGLE = 5
-SKETCH_BITS = 22
+SKETCH_BITS = 24
+CELL = 1 << 14
 FILTER_BITS = 24
 #: Sets in one chunk of a trie join.
 CHUNK = 128
@@ -61,25 +62,33 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def _sketch(docs: DataFrame) -> np.ndarray:
-    """Number of documents by the low SKETCH_BITS bits of their shingles: one array of fixed size."""
+    """Number of documents by the low SKETCH_BITS bits of their shingles: one array of fixed size.
+
+    It only orders shingles; counts that reach their type's end stay there, and any order gives the same links.
+    """
 
     size, mask = 1 << SKETCH_BITS, np.uint64((1 << SKETCH_BITS) - 1)
 
     def count(batches):
-        total = np.zeros(size, np.uint32)
+        total = np.zeros(size, np.uint16)
         waiting, n = [], 0
+
+        def settle():
+            at, more = np.unique(np.concatenate(waiting), return_counts=True)
+            total[at] = np.minimum(total[at] + more, 65535)
+
         for b in batches:
             for s in sets(b.column(0)):
                 waiting.append((s & mask).astype(np.int64))
                 n += len(s)
                 if n > 1 << 20:
-                    total += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
+                    settle()
                     waiting, n = [], 0
         if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
-        yield from cells(total, 1024)
+            settle()
+        yield from cells(total, CELL)
 
-    return gather_cells(docs.select("text").mapInArrow(count, "cell int, counts binary"), size, 1024)
+    return gather_cells(docs.select("text").mapInArrow(count, "cell int, counts binary"), size, CELL)
 
 
 def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -291,12 +300,12 @@ def _hub_chunks(lists: DataFrame) -> DataFrame:
 def _rest_chunks(lists: DataFrame, classes: DataFrame) -> DataFrame | None:
     """(chunk, h) for lists of three or more sets that are not all of one class; null if there are none.
 
-    Lists with the same members are joined once. The largest class of a list has no unknown link inside, so
-    its blocks meet only the blocks of the others; those meet one another too.
+    Such lists with the same hub are joined as one. Its largest class has no unknown link inside, so
+    that class's blocks meet only the blocks of the others; those meet one another too.
     """
-    rows = lists.join(classes.select(F.col("node").alias("h"), "component"), "h", "left").select("token", "h", F.coalesce("component", "h").alias("c"))
-    mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum(F.xxhash64("h").cast("decimal(20,0)")).cast("string").alias("sum"), F.min("c").alias("low"), F.max("c").alias("high")).where("n >= 3 and low <> high").select("token", F.xxhash64("n", "sum").alias("list"))
-    rest = cut(rows.join(mixed, "token").select("list", "h", "c").distinct())
+    rows = lists.join(classes.select(F.col("node").alias("h"), "component"), "h", "left").select("token", "hub", "h", F.coalesce("component", "h").alias("c"))
+    mixed = rows.groupBy("token").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n >= 3 and low <> high").select("token")
+    rest = cut(rows.join(mixed, "token").select(F.col("hub").alias("list"), "h", "c").distinct())
     if rest.isEmpty():
         return None
     per = rest.groupBy("list", "c").agg(F.count("*").alias("n"))
