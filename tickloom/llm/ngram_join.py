@@ -6,8 +6,8 @@ are ordered by one global order: occurrences in a counter sketch of the corpus,
 1. Two sets with Jaccard 0.8 or more share one of their rarest shingles: one of the first
    n - ceil(4n/5) + 1 of the larger set and of the first n - ceil(8n/9) + 1 of the smaller one.
    Sets that share such a shingle form a list.
-2. Each list's members meet their list's least member (its hub) in chunks of bounded size. A chunk's
-   sets, commonest shingle first, are stored in a trie; each set walks it, sharing the overlap along common
+2. Each list's members meet their list's least member (its hub) in chunks of bounded size. Members that
+   an exact bound on overlaps, from 256 counts a set, parts from all others leave their chunk. A chunk's sets, commonest shingle first, are stored in a trie; each set walks it, sharing the overlap along common
    paths, and leaves a subtree once the shingles that remain cannot reach the overlap needed.
    A walk reports one link to each class that it touches, never all pairs of a class.
 3. Lists whose members are in more than one class after that are joined whole: in one chunk, or,
@@ -191,23 +191,27 @@ def chunk_links(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
 
 
 def _signatures(docs: DataFrame, counts) -> DataFrame:
-    """(doc_id, h, n, prefix): h null and no prefix for an empty set; the prefix holds the rarest shingles in order."""
+    """(doc_id, h, n, prefix, parts): h null and no prefix for an empty set; the prefix holds the rarest shingles in order.
+
+    ``parts`` counts a set's hashes by their highest byte. The sum of two sets' lesser counts bounds their overlap.
+    """
 
     def run(batches):
         order = counts.value
         for b in batches:
             for i in range(0, b.num_rows, 1024):
-                ids, h, n, flat, off = b.column(0).slice(i, 1024), [], [], [], [0]
+                ids, h, n, flat, off, parts = b.column(0).slice(i, 1024), [], [], [], [0], []
                 for s in sets(b.column(1).slice(i, 1024)):
                     p = _ordered(s, order)[: prefix_sizes(len(s))[0]] if len(s) else s
                     h.append(set_hash(s) if len(s) else None)
                     n.append(len(s))
+                    parts.append(np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 65535).astype("<u2").tobytes())
                     flat.append(p.view(np.int64))
                     off.append(off[-1] + len(p))
                 prefix = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), prefix], ["doc_id", "h", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), prefix, pa.array(parts, pa.binary())], ["doc_id", "h", "n", "prefix", "parts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, n long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, n long, prefix array<long>, parts binary")
 
 
 def _postings(signed: DataFrame, wanted=None) -> DataFrame:
@@ -260,9 +264,52 @@ def _sets_of(docs: DataFrame, wanted, counts) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, s binary").groupBy("h").agg(F.first("s").alias("s"))
 
 
-def _trie_join(members: DataFrame, docs: DataFrame, counts) -> DataFrame:
+def may_link(parts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Which of some sets have another among them that the bound on overlaps lets them link with."""
+    some = np.zeros(len(n), bool)
+    for i in range(1, len(n)):
+        most = np.minimum(parts[:i], parts[i]).sum(axis=1, dtype=np.int64)
+        hit = (9 * most >= 4 * (n[:i] + n[i])) | (parts[i] == 65535).any()
+        some[:i] |= hit
+        some[i] = hit.any()
+    return some
+
+
+def _possible(members: DataFrame, signed: DataFrame) -> DataFrame:
+    """``members`` without those that can't link with any other of their chunk, seen from counts of a fixed size."""
+    bounds = signed.where("h is not null").groupBy("h").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
+    rows = members.join(bounds, "h").select("chunk", "h", "n", "parts").repartition("chunk").sortWithinPartitions("chunk")
+
+    def settle(chunk, group):
+        if len(group) > 1:
+            hs = list(group)
+            keep = may_link(np.stack([group[h][1] for h in hs]), np.array([group[h][0] for h in hs]))
+            for h, k in zip(hs, keep):
+                if k:
+                    yield chunk, h
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["chunk", "h"])
+
+    def run(batches):
+        now, group, out = None, {}, []
+        for b in batches:
+            for c, h, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                if c != now:
+                    out += settle(now, group)
+                    now, group = c, {}
+                group[h] = n, np.frombuffer(p.as_buffer(), "<u2")
+            if len(out) > 10_000:
+                yield batch(out)
+                out = []
+        yield batch([*out, *settle(now, group)])
+
+    return rows.mapInArrow(run, "chunk long, h long")
+
+
+def _trie_join(members: DataFrame, signed: DataFrame, docs: DataFrame, counts) -> DataFrame:
     """Links (a, b) among the sets of each chunk; ``members(chunk long, h long)``, a chunk's size bounded by its maker."""
-    members = cut(members)
+    members = cut(_possible(members, signed))
     bits = members.sparkSession.sparkContext.broadcast(bit_filter(members, "h", FILTER_BITS))
     rows = members.join(_sets_of(docs, bits, counts), "h").select("chunk", "h", "s")
 
@@ -326,13 +373,13 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     lists = cut(_postings(signed).groupBy("token").agg(F.min("h").alias("hub"), F.max("h").alias("last"), F.max("lead").alias("lead")).where("hub <> last and lead = 1").select("token", "hub"))
     bits = context.broadcast(bit_filter(lists, "token", FILTER_BITS))
     members = cut(_postings(signed, bits).groupBy("token", "h").agg(F.count("*").alias("c")).select("token", "h").join(lists, "token"))
-    links = _trie_join(_hub_chunks(members), docs, counts)
+    links = _trie_join(_hub_chunks(members), signed, docs, counts)
     links = cut(links)
     classes = components(links)
     rest = _rest_chunks(members, classes)
     if rest is not None:  # only what joins known classes is new
         names = classes.select("node", "component")
-        more = cut(_trie_join(rest, docs, counts))
+        more = cut(_trie_join(rest, signed, docs, counts))
         for end in ("a", "b"):
             more = more.join(names.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
         merged = components(more.where("a <> b").select("a", "b"))
