@@ -264,26 +264,26 @@ def _sets_of(docs: DataFrame, wanted, counts) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, s binary").groupBy("h").agg(F.first("s").alias("s"))
 
 
-def may_link(parts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Which of some sets have another among them that the bound on overlaps lets them link with."""
+def may_link(parts: np.ndarray, n: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Which of some sets have another, of another known class, among them that the bound on overlaps lets them link with."""
     some = np.zeros(len(n), bool)
     for i in range(1, len(n)):
         most = np.minimum(parts[:i], parts[i]).sum(axis=1, dtype=np.int64)
-        hit = (9 * most >= 4 * (n[:i] + n[i])) | (parts[i] == 65535).any()
+        hit = ((9 * most >= 4 * (n[:i] + n[i])) | (parts[i] == 65535).any()) & (classes[:i] != classes[i])
         some[:i] |= hit
         some[i] = hit.any()
     return some
 
 
 def _possible(members: DataFrame, signed: DataFrame) -> DataFrame:
-    """``members`` without those that can't link with any other of their chunk, seen from counts of a fixed size."""
+    """(chunk, h) of ``members(chunk, h, c)`` without those that can link with none of another class c of their chunk, seen from counts of a fixed size."""
     bounds = signed.where("h is not null").groupBy("h").agg(F.first("n").alias("n"), F.first("parts").alias("parts"))
-    rows = members.join(bounds, "h").select("chunk", "h", "n", "parts").repartition("chunk").sortWithinPartitions("chunk")
+    rows = members.join(bounds, "h").select("chunk", "h", "n", "parts", "c").repartition("chunk").sortWithinPartitions("chunk")
 
     def settle(chunk, group):
         if len(group) > 1:
             hs = list(group)
-            keep = may_link(np.stack([group[h][1] for h in hs]), np.array([group[h][0] for h in hs]))
+            keep = may_link(np.stack([group[h][1] for h in hs]), np.array([group[h][0] for h in hs]), np.array([group[h][2] for h in hs]))
             for h, k in zip(hs, keep):
                 if k:
                     yield chunk, h
@@ -294,11 +294,11 @@ def _possible(members: DataFrame, signed: DataFrame) -> DataFrame:
     def run(batches):
         now, group, out = None, {}, []
         for b in batches:
-            for c, h, n, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            for c, h, n, p, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4).to_pylist()):
                 if c != now:
                     out += settle(now, group)
                     now, group = c, {}
-                group[h] = n, np.frombuffer(p.as_buffer(), "<u2")
+                group[h] = n, np.frombuffer(p.as_buffer(), "<u2"), k
             if len(out) > 10_000:
                 yield batch(out)
                 out = []
@@ -308,7 +308,7 @@ def _possible(members: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def _trie_join(members: DataFrame, signed: DataFrame, docs: DataFrame, counts) -> DataFrame:
-    """Links (a, b) among the sets of each chunk; ``members(chunk long, h long)``, a chunk's size bounded by its maker."""
+    """Links (a, b) among the sets of each chunk; ``members(chunk long, h long, c long)``, c the known class, a chunk's size bounded by its maker."""
     members = cut(_possible(members, signed))
     bits = members.sparkSession.sparkContext.broadcast(bit_filter(members, "h", FILTER_BITS))
     rows = members.join(_sets_of(docs, bits, counts), "h").select("chunk", "h", "s")
@@ -336,16 +336,16 @@ def _spread(h: str, k: str):
 
 
 def _hub_chunks(lists: DataFrame) -> DataFrame:
-    """(chunk, h): each hub with its members, the hub in every chunk."""
+    """(chunk, h, c): each hub with its members, the hub in every chunk; no class is known yet, so c is h."""
     pairs = lists.where("h <> hub").groupBy("hub", "h").agg(F.count("*").alias("c")).select("hub", "h")
     sizes = pairs.groupBy("hub").agg(F.ceil(F.count("*") / CHUNK).cast("long").alias("k"))
     named = lambda i: F.xxhash64("hub", i)
     spread = pairs.join(sizes, "hub").select(named(_spread("h", "k")).alias("chunk"), "h")
-    return spread.union(sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i")).select(named(F.col("i")).alias("chunk"), F.col("hub").alias("h")))
+    return spread.union(sizes.select("hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("i")).select(named(F.col("i")).alias("chunk"), F.col("hub").alias("h"))).withColumn("c", F.col("h"))
 
 
 def _rest_chunks(lists: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """(chunk, h) for lists of three or more sets that are not all of one class; null if there are none.
+    """(chunk, h, c) for lists of three or more sets that are not all of one class; null if there are none.
 
     Such lists with the same hub are joined as one. Its largest class has no unknown link inside, so
     that class's blocks meet only the blocks of the others; those meet one another too.
@@ -358,9 +358,9 @@ def _rest_chunks(lists: DataFrame, classes: DataFrame) -> DataFrame | None:
     per = rest.groupBy("list", "c").agg(F.count("*").alias("n"))
     sizes = per.groupBy("list").agg(F.sum("n").alias("n"), F.max(F.struct("n", "c")).alias("top")).select("list", F.col("top.c").alias("main"), F.ceil(F.col("top.n") / CHUNK).cast("long").alias("ka"), F.ceil((F.col("n") - F.col("top.n")) / CHUNK).cast("long").alias("ko"))
     rows = rest.join(sizes, "list")
-    a = rows.where("c = main").select("list", "h", _spread("h", "ka").alias("p"), F.explode(F.sequence(F.col("ka"), F.col("ka") + F.col("ko") - 1)).alias("q"))
-    o = rows.where("c <> main").select("list", "h", (F.col("ka") + _spread("h", "ko")).alias("p"), "ka", "ko").select("list", "h", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ka") + F.col("ko") - 1)).alias("q")).where("p <> q")
-    return a.union(o).select(F.xxhash64("list", F.least("p", "q"), F.greatest("p", "q")).alias("chunk"), "h")
+    a = rows.where("c = main").select("list", "h", "c", _spread("h", "ka").alias("p"), F.explode(F.sequence(F.col("ka"), F.col("ka") + F.col("ko") - 1)).alias("q"))
+    o = rows.where("c <> main").select("list", "h", "c", (F.col("ka") + _spread("h", "ko")).alias("p"), "ka", "ko").select("list", "h", "c", "p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ka") + F.col("ko") - 1)).alias("q")).where("p <> q")
+    return a.union(o).select(F.xxhash64("list", F.least("p", "q"), F.greatest("p", "q")).alias("chunk"), "h", "c")
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
