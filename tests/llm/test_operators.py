@@ -180,7 +180,7 @@ def test_character_map_matches_library():
     parsed = dict(x[:2] for x in sentencepiece_codec._fields(lib.serialized_model_proto()))
     norm = dict(x[:2] for x in sentencepiece_codec._fields(parsed[3]))
     m = object.__new__(sentencepiece_codec.Model)
-    m.map, m.prefix, m.squeeze, m.escape = sentencepiece_codec.CharMap(norm[2]), False, False, True
+    m.map, m.prefix, m.squeeze, m.escape = sentencepiece_codec.CharMap(norm[2]), True, False, True
     for t in ("ｆｕｌｌ ①② ﬁn", "é Ⅷ ㌀", "plain text", "½ ™"):
         data = t.encode()
         assert m._rewrite(data)[0] == lib.normalize(t)
