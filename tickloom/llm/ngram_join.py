@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -393,10 +394,30 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _in_bits(ids, bits):
+    """Column: may this hashed id be one that set ``bits``; null ids are not."""
+
+    @F.pandas_udf("boolean")
+    def hit(h: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(h.to_numpy(np.int64), bits.value))
+
+    return ids.isNotNull() & hit(F.xxhash64(ids.cast("long")))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the least id, with its own columns; empty texts are each their own class.
 
-    Ids of documents to drop are joined (anti) by id; rows that repeat a kept id all stay. A null id stays unless it copies a document with an id.
+    Rows that repeat a kept id all stay; rows without an id always stay.
+
+    Whole rows are not shuffled where ids suffice: rows outside a filter of the dropped ids stay at once; of the others, an anti join of ids alone
+    finds those to spare, and only rows that pass a filter of these meet them in a join. Both filters are 2^24 bits; beyond some ten million
+    dropped ids they let more through, and the joins, which are exact, do more of the work.
     """
-    drop = jaccard_classes(docs).where("doc_id is not null and component_id < doc_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["__drop"], "left_anti")
+    context, ids = docs.sparkSession.sparkContext, F.col("doc_id")
+    drop = cut(jaccard_classes(docs).where("doc_id is not null and component_id < doc_id").select(ids.cast("long").alias("__drop")).distinct())
+    gone = _in_bits(ids, context.broadcast(bit_filter(drop.select(F.xxhash64("__drop").alias("b")), "b", FILTER_BITS)))
+    doubtful = docs.where(gone).select(ids.cast("long").alias("__spared")).distinct()
+    spared = cut(doubtful.join(drop, doubtful["__spared"] == drop["__drop"], "left_anti"))
+    back = _in_bits(ids, context.broadcast(bit_filter(spared.select(F.xxhash64("__spared").alias("b")), "b", FILTER_BITS)))
+    rest = docs.where(gone & back)
+    return docs.where(~gone).union(rest.join(spared, rest["doc_id"].cast("long") == spared["__spared"], "left_semi"))
