@@ -105,6 +105,13 @@ def test_keep_first(docs):
     assert Counter(i for i in ids if i is not None and i < 5) == {0: 2} and {5, 6, 7, 12} <= set(ids)
 
 
+def test_keep_first_with_false_positives(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FILTER_BITS", 15)  # the least size: some kept ids pass the filter of dropped ones
+    rows = [(i, " ".join(f"w{i % 3000}x{k}" for k in range(7))) for i in range(4000)] + [(None, "w1x0 w1x1 w1x2 w1x3 w1x4 w1x5 w1x6"), (7, "w7x0 w7x1 w7x2 w7x3 w7x4 w7x5 w7x6")]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(r.doc_id for r in kept) == Counter([*range(3000), None, 7])
+
+
 def brute_quality(t):
     t = t or ""
     w, seen, dup = split(t), set(), 0
