@@ -89,7 +89,8 @@ def _sketch(docs: DataFrame) -> np.ndarray:
             settle()
         yield from cells(total, CELL)
 
-    return gather_cells(docs.select("text").mapInArrow(count, "cell int, counts binary"), size, CELL)
+    # a byte each, by logarithm: what is broadcast halves, and only near counts of common shingles tie
+    return np.round(15 * np.log2(gather_cells(docs.select("text").mapInArrow(count, "cell int, counts binary"), size, CELL).astype(np.float32) + 1)).astype(np.uint8)
 
 
 def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -387,6 +388,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         over = merged.select(F.col("node").alias("component"), F.col("component").alias("top"))
         named = classes.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         classes = cut(named.union(merged.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")))
+    counts.destroy()  # all that used it is written
     ids = signed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first")).join(classes.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "first", F.coalesce("component", "h").alias("component"))
     least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
     of_set = cut(ids.join(least, "component").select("h", "component_id"))
