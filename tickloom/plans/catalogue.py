@@ -514,3 +514,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import indicator_queries  # noqa: E402, F401  its queries add themselves
