@@ -26,14 +26,49 @@ def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return df.groupBy(F.col(truth).alias("truth"), F.col(guess).alias("guess")).agg(F.count("*").alias("n"))
 
 
+def _by_class(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """(label, real, said, hits) over rows with both."""
+    cells = confusion(df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()), truth, guess)
+    sides = cells.select(F.explode(F.array(F.struct(F.col("truth").alias("label"), F.col("n").alias("real"), F.lit(0).cast("long").alias("said")), F.struct(F.col("guess").alias("label"), F.lit(0).cast("long").alias("real"), F.col("n").alias("said")))).alias("x"), F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0).alias("hits"))
+    return sides.groupBy("x.label").agg(F.sum("x.real").alias("real"), F.sum("x.said").alias("said"), F.sum(F.when(F.col("x.real") > 0, F.col("hits")).otherwise(0)).alias("hits"))
+
+
+def _ratio(a, b):
+    return F.when(b > 0, a / b).otherwise(0.0)
+
+
 def class_metrics(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """Precision, recall and F1 of each class; 0 where undefined."""
-    cells = confusion(df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()), truth, guess)
-    real = cells.groupBy(F.col("truth").alias("label")).agg(F.sum("n").alias("real"), F.sum(F.when(F.col("truth") == F.col("guess"), F.col("n")).otherwise(0)).alias("hits"))
-    said = cells.groupBy(F.col("guess").alias("label")).agg(F.sum("n").alias("said"))
-    rows = real.join(said, "label", "full").na.fill(0, ["real", "hits", "said"])
-    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return rows.select("label", ratio(F.col("hits"), F.col("said")).alias("precision"), ratio(F.col("hits"), F.col("real")).alias("recall"), ratio(2 * F.col("hits"), F.col("real") + F.col("said")).alias("f1"), "real")
+    return _by_class(df, truth, guess).select("label", _ratio(F.col("hits"), F.col("said")).alias("precision"), _ratio(F.col("hits"), F.col("real")).alias("recall"), _ratio(2 * F.col("hits"), F.col("real") + F.col("said")).alias("f1"), "real")
+
+
+def summary(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """Accuracy, balanced accuracy, macro and weighted precision, recall and F1, Cohen's kappa and Matthews correlation for any number of classes."""
+    rows = _by_class(df, truth, guess).select("*", _ratio(F.col("hits"), F.col("said")).alias("p"), _ratio(F.col("hits"), F.col("real")).alias("r"), _ratio(2 * F.col("hits"), F.col("real") + F.col("said")).alias("f"))
+    n, c, both = F.sum("real"), F.sum("hits"), F.sum(F.col("real") * F.col("said"))
+    spread = F.sqrt((n * n - F.sum(F.col("said") ** 2)) * (n * n - F.sum(F.col("real") ** 2)))
+    named = {"accuracy": c / n, "balanced_accuracy": F.avg(F.when(F.col("real") > 0, F.col("r")))}
+    for k, x in (("precision", "p"), ("recall", "r"), ("f1", "f")):
+        named |= {f"{k}_macro": F.avg(x), f"{k}_weighted": F.sum(F.col(x) * F.col("real")) / n}
+    named |= {"kappa": F.when(both < n * n, (c / n - both / (n * n)) / (1 - both / (n * n))), "mcc": F.when(spread > 0, (c * n - both) / spread).otherwise(0.0)}
+    return rows.agg(*[v.alias(k) for k, v in named.items()])
+
+
+def composite_score(df: DataFrame, truth: str, guess: str, direction: float = 0.45, neutral: float = 0.20, worst: float = 0.25, sign: float = 0.20) -> DataFrame:
+    """Of labels -1, 0 and 1: weighted F1 of the directions, of 0 and of the worst class, less the share of rows with opposite signs."""
+    f = class_metrics(df, truth, guess)
+    one = lambda k: F.coalesce(F.max(F.when(F.col("label") == k, F.col("f1"))), F.lit(0.0))
+    scores = f.agg(one(-1).alias("f1_down"), one(0).alias("f1_flat"), one(1).alias("f1_up"))
+    wrong = df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull()).agg(F.coalesce(F.avg((F.col(truth) * F.col(guess) < 0).cast("double")), F.lit(0.0)).alias("sign_error_rate"))
+    down, flat, up = (F.col(f"f1_{k}") for k in ("down", "flat", "up"))
+    return scores.join(wrong).withColumn("composite_score", direction * (down + up) / 2 + neutral * flat + worst * F.least(down, flat, up) - sign * F.col("sign_error_rate"))
+
+
+def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
+    """Rows over the number of classes times a class's rows."""
+    n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    w = Window.partitionBy()  # one row a class
+    return n.withColumn("weight", F.sum("n").over(w) / (F.count("*").over(w) * F.col("n")))
 
 
 def accuracy(df: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -62,3 +97,39 @@ def backtest(df: DataFrame, position: str, capital: float = 10_000.0, cost: floa
     step = F.log(1 + gain - cost * F.abs(gain))
     w = Window.partitionBy("series").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({"net": gain - cost * F.abs(gain), "capital": capital * F.exp(F.sum(step).over(w))})
+
+
+def trading_summary(df: DataFrame, position: str, capital: float = 10_000.0, cost: float = 0.01, per_year: float = 12_500.0, by: str = "bar_id") -> DataFrame:
+    """Per series the compounded trades (rows with a position): counts, win rate, profits, costs, Sharpe, deepest drawdown and its share of the peak, profit factor."""
+    w = Window.partitionBy("series").orderBy(by)
+    rows = backtest(df, position, capital, cost, by).withColumn("before", F.coalesce(F.lag("capital").over(w), F.lit(capital)))
+    gain = F.coalesce(F.col("log_return"), F.lit(0.0)) * F.col(position)
+    peak = F.greatest(F.max("capital").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(capital))
+    rows = rows.withColumns({"peak": peak, "gross": F.col("before") * gain, "trade": F.col("before") * F.col("net"), "own": F.col("net"), "held": F.col(position) != 0}).withColumn("dd", F.col("peak") - F.col("capital"))
+    held = lambda x: F.when(F.col("held"), x)
+    win, loss = F.sum(held(F.greatest("trade", F.lit(0.0)))), -F.sum(held(F.least("trade", F.lit(0.0))))
+    deepest = F.max(F.struct("dd", (-F.col(by)).alias("i"), "peak"))
+    n, sd = F.count(held(F.lit(1))), F.stddev_samp(held(F.col("own")))
+    return rows.groupBy("series").agg(n.alias("n_trades"), F.count(F.when(F.col("held") & (F.col("trade") > 0), 1)).alias("n_profitable"), F.coalesce(F.avg(held((F.col("trade") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"), F.sum(held(F.col("gross"))).alias("gross_pnl"), F.sum(held(F.col("trade"))).alias("net_pnl"), F.sum(held(F.abs("gross") * cost)).alias("total_costs"), F.when(sd > 0, F.avg(held(F.col("own"))) / sd * per_year**0.5).alias("sharpe"), deepest["dd"].alias("max_drawdown"), (100 * deepest["dd"] / deepest["peak"]).alias("max_drawdown_pct"), F.when(loss > 0, win / loss).alias("profit_factor"))
+
+
+def markov(train: DataFrame, df: DataFrame, label: str = "label", by: str = "bar_id") -> DataFrame:
+    """prediction: the likeliest class after the label before, as seen in ``train``; ties and unseen labels give the least class."""
+    n = transitions(train, label, by)
+    best = n.groupBy("before").agg(F.min_by("after", F.struct(-F.col("n"), F.col("after"))).alias("__best"))
+    least = train.agg(F.min(label).alias("__least"))
+    rows = df.withColumn("__before", F.lag(label).over(Window.partitionBy("series").orderBy(by)))
+    return rows.join(best, rows["__before"] == best["before"], "left").join(least).withColumn("prediction", F.coalesce("__best", "__least")).drop("before", "__before", "__best", "__least")
+
+
+def random_guess(train: DataFrame, df: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
+    """prediction: classes drawn with the shares they have in ``train``; as many numbers reach the driver as there are classes."""
+    shares = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).orderBy(label).collect()
+    total, up, guess = sum(r["n"] for r in shares), 0, F.lit(None)
+    draw, cuts = F.col("__draw"), []
+    for r in shares:
+        up += r["n"]
+        cuts.append((up / total, r[label]))
+    for top, value in reversed(cuts):
+        guess = F.when(draw < top, F.lit(value)).otherwise(guess if top < 1 else F.lit(value))
+    return df.withColumn("__draw", F.rand(seed)).withColumn("prediction", guess).drop("__draw")

@@ -75,4 +75,39 @@ def columns_to_drop(corr: list[tuple[str, str, float]], columns: list[str], thre
     """Of each pair over the threshold the column with the larger mean absolute correlation."""
     m = {(a, b): abs(r) for a, b, r in corr} | {(b, a): abs(r) for a, b, r in corr}
     mean = {a: sum(m[a, b] for b in columns if b != a) / max(len(columns) - 1, 1) for a in columns}
-    return sorted({a if mean[a] > mean[b] else b for a, b, r in corr if abs(r) > threshold})
+    gone: set[str] = set()
+    for i, a in enumerate(columns):
+        if a not in gone:
+            rivals = [b for b in columns[i + 1 :] if b not in gone and m[a, b] > threshold]
+            gone |= {a if mean[a] > mean[b] else b for b in rivals}
+    return sorted(gone)
+
+
+def impute_medians(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """Nulls get the training median; 0 where the column has none."""
+    r = train.agg(*[F.median(c).alias(c) for c in columns]).first()
+    return df.fillna({c: float(r[c]) if r[c] is not None else 0.0 for c in columns})
+
+
+@dataclass(frozen=True)
+class LogTransform:
+    """By column: ``signed`` (sign times log1p of the size) or ``log1p`` of the value plus a shift."""
+
+    kinds: dict[str, tuple[str, float]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.signum(c) * F.log1p(F.abs(c)) if kind == "signed" else F.log1p(F.col(c) + shift) for c, (kind, shift) in self.kinds.items()})
+
+
+def log_transform(train: DataFrame, columns: list[str], least: float = 1e-10) -> LogTransform:
+    """Signed for columns with a negative training value; else log1p, shifted by ``least`` if the smallest value is under it."""
+    r = train.agg(*[F.min(c).alias(c) for c in columns]).first()
+    low = {c: r[c] if r[c] is not None else 0.0 for c in columns}
+    return LogTransform({c: ("signed", 0.0) if low[c] < 0 else ("log1p", least if low[c] < least else 0.0) for c in columns})
+
+
+def sequences(df: DataFrame, columns: list[str], length: int, by: str = "bar_id") -> DataFrame:
+    """sequence: the ``length`` rows before each row, oldest first, an array of the columns each; rows with fewer before them go."""
+    w = Window.partitionBy("series").orderBy(by)
+    rows = df.withColumns({"sequence": F.collect_list(F.array(*[F.col(c).cast("double") for c in columns])).over(w.rowsBetween(-length, -1)), "__i": F.row_number().over(w)})
+    return rows.where(F.col("__i") > length).drop("__i")

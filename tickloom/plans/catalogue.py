@@ -516,4 +516,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import analysis_queries, indicator_queries  # noqa: E402, F401  their queries add themselves
+from . import analysis_queries, indicator_queries, model_queries  # noqa: E402, F401  their queries add themselves
