@@ -1,6 +1,7 @@
 """Small tests against brute-force versions, with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -303,6 +304,15 @@ def test_chats(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_chats_keep_all_parts(spark):
+    texts = ['{"tool_calls":[{"id":"a","type":"function","function":{"name":"search","arguments":"{\\"query\\": \\"x\\"}"}}],"content":"I look it up"}', '{"tool_calls":[{"id":"b","name":"search","arguments":"{\\"query\\": oops"}],"tool_call_id":"a","content":"found"}', '{"tool_calls":[{"id":"c","name":"search"}],"content":null}']
+    got = chat_format.format_chats(spark.createDataFrame([(1, i, "assistant", t) for i, t in enumerate(texts)], "conv_id long, turn long, role string, text string")).collect()
+    said = [(r.turn, r.position, json.loads(r.json)["content"]) for r in got if r.kind == "message"]
+    calls = {r.call_id: (r.status, r.fault, json.loads(r.json)["name"], json.loads(r.json)["arguments"]) for r in got if r.kind == "call"}
+    assert said == [(0, -1, "I look it up")] and calls == {"a": ("linked", None, "search", '{"query":"x"}'), "b": ("open", "no object", "search", '{"query": oops'), "c": ("open", "no object", "search", "null")}
+    assert [(r.call_id, r.status, r.anchor, json.loads(r.json)["content"]) for r in got if r.kind == "result"] == [("a", "linked", 0, "found")] and len(got) == 5
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

@@ -1,10 +1,11 @@
 """Chat formatting with linked tool calls, in DataFrame functions only.
 
-A message whose text is a JSON object may hold ``tool_calls`` (objects with id, name, arguments and depends_on, a list of ids)
-or, as a result, ``tool_call_id`` and ``content``. Calls and results are hash-joined by conversation and id. Calls get a
+A message whose text is a JSON object may hold ``tool_calls`` (objects with id, name, arguments and depends_on, a list of ids; name and
+arguments may be nested under ``function``), ``content`` beside them, and, as a result, ``tool_call_id`` and ``content``; it may be both. Calls and results are hash-joined by conversation and id. Calls get a
 level: 0 without dependencies, else one more than the highest among them; levels grow by joins until nothing changes, and calls on a
 cycle, or behind a missing call, have none. Arguments are checked against schemas. Each message, call and result becomes one row of canonical JSON (keys sorted, no
-white space), with the columns that order a conversation: anchor (the turn of the call, for a result), level, part (0 message or call, 1 result), turn, position.
+white space; arguments that are no JSON stay as given, with a fault), with the columns that order a conversation: anchor (the turn of the call, for a result), level, part (0 message or call, 1 result), turn, position.
+The content of a message with calls is a message row of position -1, before its calls; that of a result is in the result's row.
 Rows stay apart, so a conversation of any length is never gathered.
 
 Text that is null: content is null. Text that is no such object: a plain message. Of calls that repeat an id in a conversation, the first by turn and
@@ -28,7 +29,7 @@ SCHEMAS: Mapping[str, Mapping[str, tuple[str, bool]]] = {
     "calculate": {"expression": ("string", True)},
     "fetch": {"url": ("string", True), "headers": ("object", False)},
 }
-_SHAPE = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>,tool_call_id:string,content:string>"
+_SHAPE = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,function:string,depends_on:array<string>>>,tool_call_id:string,content:string>"
 
 
 def canonical(text: Column | str) -> Column:
@@ -81,15 +82,17 @@ def format_chats(messages: DataFrame, schemas: Mapping[str, Mapping[str, tuple[s
     tool = parsed.where(is_call | is_result)
     if tool.isEmpty():
         return plain
-    calls = tool.where(is_call).select("conv_id", "turn", "role", F.posexplode("p.tool_calls").alias("position", "c")).select("conv_id", "turn", "role", "position", F.col("c.id").alias("call_id"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.array_distinct("c.depends_on").alias("depends_on"))
+    said = tool.where(is_call & ~is_result & F.col("p.content").isNotNull()).select("conv_id", "turn", F.lit(-1).alias("position"), "role", F.lit("message").alias("kind"), none("string").alias("call_id"), none("string").alias("status"), none("string").alias("fault"), F.col("turn").alias("anchor"), F.lit(0).alias("level"), F.lit(0).alias("part"), F.to_json(F.struct(F.col("p.content").alias("content"), "role"), {"ignoreNullFields": "false"}).alias("json"))
+    nested = lambda field: F.coalesce(F.col(f"c.{field}"), F.get_json_object("c.function", f"$.{field}"))
+    calls = tool.where(is_call).select("conv_id", "turn", "role", F.posexplode("p.tool_calls").alias("position", "c")).select("conv_id", "turn", "role", "position", F.col("c.id").alias("call_id"), nested("name").alias("name"), nested("arguments").alias("arguments"), F.array_distinct("c.depends_on").alias("depends_on"))
     firsts = calls.where("call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "position", "depends_on")).alias("f")).select("conv_id", "call_id", F.col("f.turn").alias("first_turn"), F.col("f.position").alias("first_position"), F.col("f.depends_on").alias("depends_on"))
     firsts = cut(firsts.join(_levels(firsts), ["conv_id", "call_id"], "left"))
-    results = tool.where(is_result & ~is_call).select("conv_id", "turn", "role", F.col("p.tool_call_id").alias("call_id"), F.col("p.content").alias("content"))
+    results = tool.where(is_result).select("conv_id", "turn", "role", F.col("p.tool_call_id").alias("call_id"), F.col("p.content").alias("content"))
     answered = results.select("conv_id", "call_id").distinct().withColumn("answered", F.lit(True))
     linked = calls.drop("depends_on").join(firsts, ["conv_id", "call_id"], "left").join(answered.hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     status = F.when(F.col("call_id").isNull(), "open").when((F.col("turn") != F.col("first_turn")) | (F.col("position") != F.col("first_position")), "repeated").when(F.col("answered"), "linked").otherwise("open")
-    call_json = F.to_json(F.struct(F.coalesce(canonical("arguments"), F.lit("null")).alias("arguments"), F.col("call_id").alias("id"), "name", "role"), {"ignoreNullFields": "false"})
+    call_json = F.to_json(F.struct(F.coalesce(canonical("arguments"), "arguments", F.lit("null")).alias("arguments"), F.col("call_id").alias("id"), "name", "role"), {"ignoreNullFields": "false"})
     call_rows = linked.select("conv_id", "turn", "position", "role", F.lit("call").alias("kind"), "call_id", status.alias("status"), _faults(schemas, F.col("name"), F.col("arguments")).alias("fault"), F.col("turn").alias("anchor"), "level", F.lit(0).alias("part"), call_json.alias("json"))
     found = results.join(firsts.drop("depends_on").hint("shuffle_hash"), ["conv_id", "call_id"], "left")
     result_rows = found.select("conv_id", "turn", F.coalesce("first_position", F.lit(0)).alias("position"), "role", F.lit("result").alias("kind"), "call_id", F.when(F.col("first_turn").isNull(), "orphan").otherwise("linked").alias("status"), none("string").alias("fault"), F.coalesce("first_turn", "turn").alias("anchor"), "level", F.lit(1).alias("part"), F.to_json(F.struct("content", F.col("call_id").alias("id"), "role"), {"ignoreNullFields": "false"}).alias("json"))
-    return plain.unionByName(call_rows).unionByName(result_rows)
+    return plain.unionByName(said).unionByName(call_rows).unionByName(result_rows)
