@@ -1,6 +1,7 @@
 """Small tests against brute-force versions, with nulls, empty texts, ties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -291,6 +292,26 @@ def test_url_rules_are_mined(spark):
     assert all((r.verdict == "block") == (r.page_id % 3 == 0) for r in url_filter.judge(pages, labels, rules=()).collect())
 
 
+def test_url_rules_see_the_whole_url(spark):
+    kinds = ["http://{w}spam.example.com/x/{i}", "http://h{i}.example.com/a/b/pills/{i}", "http://h{i}.example.com/a?a=1&b=2&c=3&evil={i}", "http://h{i}.example.com/a?q=casino", "http://h{i}.example.com/a/b/c/{i}-poker-{i}.html", *["http://{w}good{i}.example.com/a/b/c/{i}?a=1&b=2&c=3&d=4&q=x"] * 3]
+    pages = spark.createDataFrame([(i, kinds[i % 8].format(i=i, w=("", "www.", "m.", f"s{i}.")[i // 8 % 4])) for i in range(400)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 8 > 4), 0) for i in range(240)], "doc_id long, quality int, toxic int")
+    assert {r.page_id for r in url_filter.judge(pages, labels, rules=()).collect() if r.verdict == "block"} == {i for i in range(400) if i % 8 < 5}
+
+
+def test_url_rules_are_all_small_sets(spark):
+    rng = random.Random(8)
+    rows = [(sorted(rng.sample("abcdefgh", rng.randint(0, 6))),) for _ in range(400)]
+    rows = [(t, rng.random() < (0.9 if {"a", "b"} <= set(t) or {"c", "d", "e"} <= set(t) else 0.3)) for (t,) in rows]
+    want = []
+    for size in (1, 2, 3):
+        for own in itertools.combinations("abcdefgh", size):
+            held = [b for t, b in rows if set(own) <= set(t)]
+            if sum(held) >= 15 and sum(held) / len(held) >= 0.7 and not any(set(k) < set(own) for k, _, _ in want):
+                want.append((list(own), sum(held) / len(held), len(held)))
+    assert {len(k) for k, _, _ in want} >= {2, 3} and url_filter.rules_of(spark.createDataFrame(rows, "items array<string>, bad boolean"), 15, 0.7) == want
+
+
 def test_chats(spark):
     call = '{"tool_calls":[{"id":"a","name":"search","arguments":{"query":"x","limit":2}},{"id":"b","name":"search","arguments":{"limit":"no","z":1},"depends_on":["a"]},{"id":"c","name":"what","arguments":{},"depends_on":["c"]}]}'
     rows = [(1, 0, "user", "hi"), (1, 1, "tool", '{"tool_call_id":"b","content":"late"}'), (1, 2, "assistant", call), (1, 3, "tool", '{"tool_call_id":"a","content":"r"}'), (1, 4, "tool", '{"tool_call_id":"q","content":"r"}'), (2, 0, "user", None), (None, None, None, "")]

@@ -1,12 +1,14 @@
 """URL filters, in DataFrame functions only.
 
-FP-growth mines combinations of URL tokens from labelled pages; rules "tokens -> block" are kept by support and
-confidence, without those that a rule on fewer of the same tokens already makes. An inverted index holds each rule under its
+Combinations of URL tokens are mined from labelled pages; rules "tokens -> block" are kept by support and
+confidence, without those that a rule on fewer of the same tokens already makes. Tokens come from the whole url, so a page may have many, and
+FP-growth, which knows no longest set, could list all subsets of a long common url. Sets are counted level by level instead, up to MAX_TOKENS:
+only tokens and pairs frequent among bad pages, and no rule yet, are extended. That gives exactly FP-growth's rules of that length. An inverted index holds each rule under its
 rarest token, in hashed slots of one array, so a page looks up its own tokens and checks only rules posted there.
 Explicit rules on hosts and paths go first.
 
-A transaction has at most 12 tokens and a kept rule at most 3, so at support s there are at most 298 / s rules whatever the number of pages:
-the index has a proven size bound. Explicit rules are a parameter of at most MAX_RULES.
+At support s there are at most m / s rules, m being the mean number of sets of one to three frequent tokens on a page: the index grows with
+the length of urls, not with the number of pages. Explicit rules are a parameter of at most MAX_RULES.
 
 Null url or one without ://: empty host and path, no tokens, allowed. Repeated rows and null ids pass through, one result per row.
 With fewer than MIN_PAGES labelled pages the method allows all.
@@ -15,19 +17,20 @@ With fewer than MIN_PAGES labelled pages the method allows all.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.8, 3
 #: Pages that a rule needs at least, where the support asks for fewer.
 MIN_PAGES = 20
 MAX_RULES = 512
 SLOTS = 1024
-BAD = "label=block"
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 
@@ -49,33 +52,69 @@ def explicit(rules: Sequence[tuple[str, str, str]], host: Column, path: Column)
 
 
 def tokens(url: str, host: Column, path: Column) -> Column:
-    """At most 12 distinct tokens: the host, its last two labels, its first label, the top-level name, the scheme, the first
-    two directories, the ending, depth, and up to three names of the query."""
-    labels, parts = F.split(host, r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
+    """Distinct tokens of the whole url: the host, each suffix of its labels, each label, the first label, the scheme, each
+    segment of the path (as it is, and with numbers as 0), the first two also by place, each word of a segment, the ending, depth, each name, value and
+    both of the query, and the fragment. A suffix or label is without user and port."""
+    labels, parts = F.split(F.regexp_replace(host, "^[^@]*@|:[0-9]*$", ""), r"\."), F.filter(F.split(path, "/"), lambda p: p != "")
     named = lambda k, c: F.concat(F.lit(f"{k}="), c)
-    word = lambda i: F.regexp_replace(F.try_element_at(parts, F.lit(i)), "[0-9]+", "0")
-    query = F.transform(F.slice(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), 1, 3), lambda q: named("query", F.split_part(q, F.lit("="), F.lit(1))))
-    own = F.array(named("host", host), named("domain", F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")), named("first", F.element_at(labels, 1)), named("top", F.element_at(labels, -1)), named("scheme", F.regexp_extract(url, "^([A-Za-z]*):", 1)), named("dir1", word(1)), named("dir2", word(2)), named("end", F.nullif(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1), F.lit(""))), named("depth", F.least(F.size(parts), F.lit(9)).cast("string")))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.concat(own, F.filter(query, lambda q: q != "query=")))))
+    all_named = lambda k, c: F.transform(c, lambda x: named(k, x))
+    plain = lambda c: F.regexp_replace(c, "[0-9]+", "0")
+    word = lambda i: plain(F.try_element_at(parts, F.lit(i)))
+    suffixes = F.transform(labels, lambda _, i: F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))
+    query = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "[&;]"), lambda q: q != "")
+    value = lambda q: F.regexp_extract(q, "(?s)^[^=]*=(.*)$", 1)
+    values = F.filter(F.transform(query, value), lambda v: v != "")
+    words = F.filter(F.split(F.array_join(parts, "/"), "[^\\p{L}\\p{M}\\p{N}]+"), lambda w: w != "")
+    own = F.array(named("host", host), named("first", F.element_at(labels, 1)), named("scheme", F.regexp_extract(url, "^([A-Za-z]*):", 1)), named("dir1", word(1)), named("dir2", word(2)), named("end", F.nullif(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1), F.lit(""))), named("depth", F.size(parts).cast("string")), named("fragment", F.nullif(F.regexp_extract(url, "(?s)#(.*)$", 1), F.lit(""))))
+    every = (("suffix", suffixes), ("label", labels), ("seg", parts), ("seg", F.transform(parts, plain)), ("word", words), ("query", F.transform(query, lambda q: F.split_part(q, F.lit("="), F.lit(1)))), ("arg", query), ("value", values))
+    return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.concat(own, *[all_named(k, c) for k, c in every]))))
+
+
+def _slot(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(SLOTS))
+
+
+def rules_of(items: DataFrame, need: int, min_confidence: float) -> list[tuple[list[str], float, int]]:
+    """(tokens, confidence, number of rows) of the smallest sets of up to MAX_TOKENS tokens that ``need`` bad rows or more hold, and whose rows
+    are bad with that confidence; from rows (items array<string>, distinct, bad boolean)."""
+    counts = (F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
+    rule = F.col("n_bad") / F.col("n") >= min_confidence
+    ones = items.select("bad", F.explode("items").alias("t")).groupBy("t").agg(*counts).where(F.col("n_bad") >= need).select("t", "n", "n_bad", rule.alias("rule"), _slot(F.col("t")).alias("slot")).collect()
+    kept = [([r["t"]], r["n_bad"] / r["n"], r["n"]) for r in ones if r["rule"]]
+    rest = sorted((r["t"], r["slot"]) for r in ones if not r["rule"])
+    if len(rest) < 2:
+        return sorted(kept, key=lambda k: k[0])
+    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+    for i, (t, slot) in enumerate(rest):
+        slots[slot].append({"t": t, "i": i})
+    index = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<t:string,i:int>>>")
+    known = F.transform(F.flatten(F.transform("items", lambda t: F.filter(F.get(index, _slot(t)), lambda r: r["t"] == t))), lambda r: r["i"])
+    rows = cut(items.select("bad", known.alias("ids")).where("size(ids) > 1"))
+    keys, sets = ["t0"], rows.select("bad", "ids", F.explode("ids").alias("t0"))
+    for size in range(2, MAX_TOKENS + 1):
+        before, new = keys, f"t{size - 1}"
+        keys = [*keys, new]
+        sets = sets.select("bad", "ids", *before, F.explode(F.filter("ids", lambda x: x > F.col(before[-1]))).alias(new))
+        if size > 2:  # all subsets one smaller are frequent and no rule
+            for left in range(size - 2, -1, -1):
+                own = [k for i, k in enumerate(keys) if i != left]
+                sets = sets.join(F.broadcast(open_sets.toDF(*own)), own, "left_semi")
+        found = cut(sets.groupBy(*keys).agg(*counts).where(F.col("n_bad") >= need))
+        kept += [([rest[r[k]][0] for k in keys], r["n_bad"] / r["n"], r["n"]) for r in found.where(rule).collect()]
+        open_sets = found.where(~rule).select(*keys)
+        if size < MAX_TOKENS:
+            sets = sets.join(F.broadcast(open_sets), keys, "left_semi")
+    return sorted(((sorted(own), c, n) for own, c, n in kept), key=lambda k: (len(k[0]), k[0]))
 
 
 def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> list[tuple[list[str], float, int]]:
     """(tokens, confidence, number of pages) of rules that block, from pages with a label (low quality or toxic: bad)."""
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max((F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")).alias("bad"))
-    items = pages.where("url is not null").select(F.col("page_id").alias("doc_id"), tokens("url", host(), path()).alias("items")).join(bad, "doc_id").where("size(items) > 0").select(F.when(F.col("bad") == 1, F.concat("items", F.array(F.lit(BAD)))).otherwise(F.col("items")).alias("items"))
+    items = pages.where("url is not null").select(F.col("page_id").alias("doc_id"), tokens("url", host(), path()).alias("items")).join(bad, "doc_id").where("size(items) > 0").select("items", F.coalesce(F.col("bad") == 1, F.lit(False)).alias("bad"))
     n = items.count()
     if n < MIN_PAGES:
         return []
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, MIN_PAGES / n), minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BAD) & (F.size("antecedent") <= MAX_TOKENS))
-    found = sorted((len(r["antecedent"]), sorted(r["antecedent"]), r["confidence"], round(r["support"] / r["confidence"] * n)) for r in rules.collect())
-    kept: list[tuple[list[str], float, int]] = []
-    sets: set[frozenset[str]] = set()
-    for _, own, confidence, pages_n in found:
-        if not any(frozenset(own) - {t} in sets or frozenset([t]) in sets for t in own):
-            sets.add(frozenset(own))
-            kept.append((own, confidence, pages_n))
-    return kept
+    return rules_of(items, max(MIN_PAGES, math.ceil(min_support * n)), min_confidence)
 
 
 def _matches(rules: list[tuple[list[str], float, int]], tokens: Column) -> Column:
@@ -87,12 +126,11 @@ def _matches(rules: list[tuple[list[str], float, int]], tokens: Column) -> Colum
         for t in own:
             seen[t] = max(seen.get(t, 0), n)
     # postings are placed by Spark's own hash, so that pages find them
-    spark_hash = lambda t: F.pmod(F.xxhash64(t), F.lit(SLOTS))
     posted = [{"t": min(own, key=lambda t: (seen[t], t)), "all": own, "c": c} for own, c, _ in rules]
     kind = "array<struct<t:string,all:array<string>,c:double>>"
     flat = F.from_json(F.lit(json.dumps(posted)), kind)
-    index = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.filter(flat, lambda r: spark_hash(r["t"]) == i))
-    hit = lambda t: F.filter(F.get(index, spark_hash(t)), lambda r: (r["t"] == t) & (F.size(F.array_except(r["all"], tokens)) == 0))
+    index = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.filter(flat, lambda r: _slot(r["t"]) == i))
+    hit = lambda t: F.filter(F.get(index, _slot(t)), lambda r: (r["t"] == t) & (F.size(F.array_except(r["all"], tokens)) == 0))
     return F.array_max(F.transform(F.flatten(F.transform(tokens, hit)), lambda r: r["c"]))
 
 
