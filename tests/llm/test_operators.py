@@ -255,6 +255,21 @@ def test_licenses(docs, spark, none):
     assert got[5].licenses == ["Apache-2.0"] and all(got[i].n_matches == 0 for i in (2, 3, 4)) and license_scan.scan(none).count() == 0
 
 
+def test_licenses_with_changed_words(spark):
+    rng = random.Random(5)
+    gpl = license_scan.TEMPLATES["GPL-3.0"]
+    inserted, cut_off = gpl.replace("GNU", "famous GNU"), gpl.removesuffix("version 3.") + "x"
+    longer = gpl.replace("GNU", "famous old and very well known GNU")
+    texts = [f"{prose(rng, 40)} {inserted} {prose(rng, 40)}", inserted, "All rights reserved. " * 3, f"{prose(rng, 5)} {longer} {prose(rng, 5)}", gpl.replace("licensed", "x").replace("GNU", "y"), cut_off, f"{gpl} {inserted} {gpl}"]
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()}
+    found = lambda i: [(m.license, texts[i].encode()[m.start : m.end].decode(), m.containment) for m in got[i].matches]
+    # each inserted word parts two of the ten shingles
+    assert found(0) == [("GPL-3.0", inserted[:-1], 0.8)] == found(1) and found(3) == [("GPL-3.0", longer[:-1], 0.8)]
+    assert found(2) == [("reserved", "All rights reserved", 1.0)] * 3 and not found(4)
+    assert found(5) == [("GPL-3.0", cut_off.removesuffix(", x"), 0.8)]
+    assert found(6) == [("GPL-3.0", gpl[:-1], 1.0), ("GPL-3.0", inserted[:-1], 0.8), ("GPL-3.0", gpl[:-1], 1.0)]
+
+
 def test_neighbours(spark):
     e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     pdf = e.toPandas()

@@ -2,9 +2,12 @@
 
 Templates are split into words (A-Z lower-cased, ASCII punctuation parts words) and three-word shingles. For every template length
 n, each text's windows of n words, one from every place, get a MinHash of BANDS x ROWS values by sliding minima; a window whose band equals a
-template's band is a candidate. At Jaccard s a candidate is missed with probability (1 - s**ROWS)**BANDS: 0.002 at 0.74, none at 1.
-Candidates are verified by exact containment: of a template's shingles, the share that the window holds must be ``least`` or more.
-Of overlapping windows with the same template the best, then the leftmost, is kept. Whole texts are read, all windows counted.
+template's band is a candidate. At Jaccard s a candidate is missed with probability (1 - s**ROWS)**BANDS: 0.0008 at 0.36, which is a window's
+least where 0.8 of a template are spread evenly over 1.5 of its length; 2e-8 at 0.667 (0.8 in one window); none at 1.
+Candidates are verified by exact containment in a span wider by half a template on both sides: of a template's distinct shingles, the share that the
+span holds must be ``least`` or more, so that inserted words don't push out what is there. A match is a shortest part of the span that
+holds so many. Of overlapping matches with the same template the best, then the shortest, then the leftmost is kept. Whole texts are read, all windows
+counted, those too that a text is too short to fill.
 
 Null or empty text: no match. Templates under three words can't be used. Repeated rows and null ids pass through, one result per row.
 """
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from .textkernel import _LANE, _LOWER, Block, blocks, mix, windows
 
-SHINGLE, BANDS, ROWS = 3, 8, 2
+SHINGLE, BANDS, ROWS = 3, 16, 1
 LEAST = 0.8
 #: Well-known notices, fixed values.
 TEMPLATES: Mapping[str, str] = {
@@ -82,11 +85,13 @@ class Scanner:
             for width, templates in self.by_width.items():
                 hits: dict[str, set[int]] = {}
                 keys = np.array([t[2] for t in templates], np.uint64)
-                for b, k in enumerate(_bands(s, width)):
-                    for at in np.flatnonzero(np.isin(k, keys[:, b])):
-                        for name, _, own in templates:
-                            if own[b] == k[at]:
-                                hits.setdefault(name, set()).add(int(at))
+                # so that a last text of under ``width`` shingles has a window
+                for b, k in enumerate(_bands(np.concatenate([s, np.zeros(width - 1, np.uint64)]), width)):
+                    some = np.flatnonzero(np.isin(k, keys[:, b]))
+                    for name, _, own in templates:
+                        at = some[k[some] == own[b]]
+                        if len(at):
+                            hits.setdefault(name, set()).update(at.tolist())
                 for name, own, _ in templates:
                     if name in hits:
                         self._verify(out, first, block, bounds, s, width, name, own, hits[name])
@@ -95,22 +100,45 @@ class Scanner:
         return out
 
     def _verify(self, out, first, block, bounds, s, width, name, own, hits) -> None:
-        words, wanted = width + SHINGLE - 1, np.unique(own)
-        good = []
-        for at in sorted(hits):
-            i = int(np.searchsorted(bounds, at, "right")) - 1
-            if at + words <= bounds[i + 1]:  # inside one text
-                share = float(np.isin(wanted, s[at : at + width]).mean())
-                if share >= self.least:
-                    good.append((i, -share, at))
-        taken: dict[int, list[int]] = {}
-        for i, share, at in sorted(good, key=lambda g: (g[0], g[1], g[2])):
-            if all(abs(at - t) >= words for t in taken.setdefault(i, [])):
-                taken[i].append(at)
-                a, b = block.starts[at] - block.off[i], block.ends[at + words - 1] - block.off[i]
+        wanted, wide, at = np.unique(own), max(SHINGLE, (width + 1) // 2), np.array(sorted(hits))
+        places = np.flatnonzero(np.isin(s, wanted))
+        which = np.searchsorted(wanted, s[places])
+        text = np.searchsorted(bounds, at, "right") - 1
+        low, high = np.maximum(at - wide, bounds[text]), np.minimum(at + width + wide, bounds[text + 1] - SHINGLE + 1)  # inside one text
+        parted = np.flatnonzero((text[1:] != text[:-1]) | (low[1:] > high[:-1])) + 1
+        least = next((k for k in range(1, len(wanted) + 1) if k / len(wanted) >= self.least), len(wanted) + 1)
+        good = set()
+        for j, e in zip([0, *parted], [*parted, len(at)]):  # spans that meet are read once
+            a, b = np.searchsorted(places, [low[j], high[e - 1]])
+            own, kinds = places[a:b].tolist(), which[a:b].tolist()
+            for k in range(least, len(set(kinds)) + 1):
+                good |= {(int(text[j]), -k / len(wanted), end - start, start) for start, end in _shortest(own, kinds, k) if end - start < width + 2 * wide}
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for i, share, size, start in sorted(good):
+            end = start + size + SHINGLE
+            if all(start >= e or end <= a for a, e in taken.setdefault(i, [])):
+                taken[i].append((start, end))
+                a, b = block.starts[start] - block.off[i], block.ends[end - 1] - block.off[i]
                 out[first + i].append({"license": name, "start": int(a), "end": int(b), "containment": -share})
 
 
+def _shortest(places: list[int], which: list[int], k: int):
+    """First and last place of the shortest run with ``k`` distinct values of ``which`` to each end that has one."""
+    seen: dict[int, int] = {}
+    a = 0
+    for b, w in enumerate(which):
+        seen[w] = seen.get(w, 0) + 1
+        start = None
+        while len(seen) >= k:
+            start, out = a, which[a]
+            seen[out] -= 1
+            if not seen[out]:
+                del seen[out]
+            a += 1
+        if start is not None:
+            yield places[start], places[b]
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """(doc_id, n_matches, licenses, matches): distinct names in order, and each match's bytes [start, end) of the text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
