@@ -107,6 +107,32 @@ def test_keep_first(docs):
     assert Counter(i for i in ids if i is not None and i < 5) == {0: 2} and {5, 6, 7, 12} <= set(ids)
 
 
+def test_keep_first_of_a_repeated_id(spark):
+    a, b, c = (prose(random.Random(i), 40) for i in range(3))
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, b), (11, c), (11, c)]
+    kept = ngram_join.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter([(3, a), (7, b), (7, b), (11, c), (11, c)])
+
+
+def test_components_of_long_paths_and_stars(spark):
+    from tickloom.llm.common import components
+
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(100, 160)] + [(500, i) for i in range(600, 900)] + [(899, 7), (1, 1)] + [(rng.randint(1000, 1100), rng.randint(1000, 1100)) for _ in range(60)]
+    top = {}
+
+    def root(i):
+        while top.setdefault(i, i) != i:
+            i = top[i]
+        return i
+
+    for a, b in links:
+        if a != b:
+            x, y = root(a), root(b)
+            top[max(x, y)] = min(x, y)
+    assert {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()} == {i: root(i) for i in list(top)}
+
+
 def test_keep_first_with_false_positives(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FILTER_BITS", 15)  # the least size: some kept ids pass the filter of dropped ones
     rows = [(i, " ".join(f"w{i % 3000}x{k}" for k in range(7))) for i in range(4000)] + [(None, "w1x0 w1x1 w1x2 w1x3 w1x4 w1x5 w1x6"), (7, "w7x0 w7x1 w7x2 w7x3 w7x4 w7x5 w7x6")]
@@ -196,28 +222,33 @@ def test_character_map_matches_library():
         assert len(m._rewrite(data)[1]) == len(m._rewrite(data)[0].encode()) + 1
 
 
-def test_packing(docs, none):
+def check_packing(given, rows):
+    """Pieces of (id, text) rows, those that repeat an id too, against the tokenizer."""
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(BYTES)
-    tokenizer.encode_special_tokens = True
-    rows = packing.pack(docs, BYTES).collect()
-    texts, by = {i: t for i, t, *_ in corpus() if i}, defaultdict(list)
-    for r in rows:
-        by[r.doc_id].append(r)
-    for i, t in texts.items():
-        ids, own = tokenizer.encode(t or "", add_special_tokens=False).ids + [0], sorted(by[i], key=lambda r: r.piece)
-        assert [r.start for r in own] == [sum(x.length for x in own[:k]) for k in range(len(own))] and sum(r.length for r in own) == len(ids)
-        assert all(r.length == 2048 for r in own[1:])
-        assert all(zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) == r.ids_crc32 for r in own)
+    tokenizer, want = Tokenizer.from_file(BYTES), Counter()
+    for i, t in given:
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        cuts = [0, *range((len(ids) - 1) % 2048 + 1, len(ids) + 1, 2048)]
+        want.update((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(itertools.pairwise(cuts)))
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
     sequences = defaultdict(list)
     for r in rows:
         sequences[r.sequence_id].append((r.offset, r.length))
     for s in map(sorted, sequences.values()):
         assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
+
+
+def test_packing(docs, none):
+    check_packing([r[:2] for r in corpus()], packing.pack(docs, BYTES).collect())
     assert packing.pack(none, BYTES).count() == 0
 
 
+def test_packing_takes_special_tokens_as_the_tokenizer_does(spark):
+    rows = [(0, "a<|endoftext|>b"), (0, "<|endoftext|>"), (1, "x <|endoftext|> y é漢"), (None, "<|endof text|>"), (2, "a<|endoftext|>b " * 900)]
+    check_packing(rows, packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), BYTES).collect())
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(30):
@@ -246,6 +277,23 @@ def test_secrets(docs, none):
     assert clean[16] == "[SECRET] and [SECRET] end" and clean[5] is None and secrets.find(none, None).count() == 0
 
 
+def test_secrets_beyond_the_patterns(spark):
+    """The chain learns from exact matches and tags secrets that no pattern knows; spans equal a plain reading, hexes included; copies don't fill the sample."""
+    rng = random.Random(6)
+    key = lambda n: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    learnt = [f"{prose(rng, 20)} password: {key(24)} {prose(rng, 20)}" for _ in range(60)] + [f"{prose(rng, 10)} token={key(30)}\n{prose(rng, 30)} {hexes(40)} {prose(rng, 4)}" for _ in range(60)] + ["Copied " + prose(rng, 30)] * 2000
+    planted = [f"{prose(rng, 20)} passwort: {key(24)} {prose(rng, 20)}" for _ in range(20)]
+    rows = list(enumerate(learnt + planted))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.found for r in secrets.find(docs, secrets.train(docs.where(F.col("doc_id") < len(learnt)))).collect()}
+    for i, t in rows:
+        want = [(m.start(), "assign", m.end()) for m in re.finditer(r"(?ai:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", t) if len(m[2]) >= 6] + [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert [(s["start"], s["kind"], s["end"]) for s in got[i] if s["kind"] != "crf"] == sorted(want)
+    tagged = [i for i, _ in rows[len(learnt) :] if any(s["kind"] == "crf" for s in got[i])]
+    assert len(tagged) >= 16 and not any(s["kind"] == "crf" for i in range(120, 2120) for s in got[i])
+
+
 def test_licenses(docs, spark, none):
     rng = random.Random(4)
     text = prose(rng, 50) + "\nReleased under the MIT License.\n" + prose(rng, 50)
@@ -314,6 +362,22 @@ def test_url_rules_see_the_whole_url(spark):
     assert {r.page_id for r in url_filter.judge(pages, labels, rules=()).collect() if r.verdict == "block"} == {i for i in range(400) if i % 8 < 5}
 
 
+def test_url_rules_match_by_index(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(400)]
+    rules = [(sorted(rng.sample(words, rng.randint(1, 3))), round(rng.uniform(0.8, 1), 3), rng.randint(20, 99)) for _ in range(300)]
+    pages = [(i, rng.sample(words, rng.randint(0, 40))) for i in range(500)]
+    found = spark.createDataFrame(pages, "page_id long, tokens array<string>").select("page_id", url_filter._matches(spark, rules, F.col("tokens")).alias("c")).collect()
+    assert {r.page_id: r.c for r in found} == {i: max((c for own, c, _ in rules if set(own) <= set(t)), default=None) for i, t in pages}
+
+
+def test_urls_repeated_and_empty(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", 1.0), (1, "http://a.com/en/1", 1.0), (None, None, None)], "page_id long, url string, confidence double")
+    labels = spark.createDataFrame([(1, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    assert Counter((r.page_id, r.verdict) for r in url_filter.judge(pages, labels).collect()) == {(1, "block"): 2, (None, "allow"): 1}
+    assert url_filter.judge(pages.limit(0), labels).count() == 0
+
+
 def test_url_rules_are_all_small_sets(spark):
     rng = random.Random(8)
     rows = [(sorted(rng.sample("abcdefgh", rng.randint(0, 6))),) for _ in range(400)]

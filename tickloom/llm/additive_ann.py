@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 BOOKS, WORDS, BEAM = 8, 256, 4
 SAMPLE = 10_000
 RERANK = 768
@@ -183,6 +185,6 @@ def search(rows: DataFrame, every: int = 50, k: int = 5, rerank: int = RERANK, s
                     got = index.search(ids[part[i : i + 64]], v[part[i : i + 64]], rerank)
                     yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = arrow_map(both, run, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return found.select("query_id", place, "vec_id", "score").where(F.col("rank") <= k)

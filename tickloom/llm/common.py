@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
@@ -17,12 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; make one only where none is named, as in tests."""
+    """Use the shared folder that the session names; make one only where none is named and all runs in one process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
         context.setCheckpointDir(named)
     elif context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
 
 
@@ -32,8 +35,24 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow whose worker, which Spark keeps for later tasks, gives freed memory back when a task ends."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def cells(total: np.ndarray, cell: int) -> Iterator[pa.RecordBatch]:
@@ -58,7 +77,7 @@ def gather_cells(df: DataFrame, size: int, cell: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 65535).astype("<u2").tobytes()], pa.binary())], ["cell", "counts"])
 
     out = np.zeros(size, np.uint16)
-    for k, v in df.repartition("cell").mapInArrow(add, "cell int, counts binary").collect():
+    for k, v in arrow_map(df.repartition("cell"), add, "cell int, counts binary").collect():
         out[k * cell : (k + 1) * cell] = np.frombuffer(v, "<u2")
     return out
 
@@ -90,7 +109,7 @@ def bit_filter(df: DataFrame, column: str, bits: int, cell: int = 4096) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["cell", "bits"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for k, v in df.select(column).mapInArrow(mark, "cell int, bits binary").repartition("cell").mapInArrow(join, "cell int, bits binary").collect():
+    for k, v in arrow_map(arrow_map(df.select(column), mark, "cell int, bits binary").repartition("cell"), join, "cell int, bits binary").collect():
         out[k * cell : (k + 1) * cell] = np.frombuffer(v, np.uint8)
     return out
 
@@ -103,19 +122,20 @@ def in_filter(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a long, b long)``: one row (node, component) per linked node.
 
-    Alternates large-star and small-star steps (min label, partial aggregation, equi-joins that
-    adaptive execution may split), each cut by a checkpoint, until no edge changes; rounds grow
-    with the logarithm of the longest path. ``component`` is the least node. Nothing is collected.
+    Alternates large-star and small-star steps (min label, partial aggregation, equi-joins) until no edge changes; rounds grow
+    with the logarithm of the longest path. Least neighbours are written before they are joined, so that both sides of a join come from a
+    shuffle of their own, and adaptive execution may split the edges of a star's centre or broadcast a small side. ``component`` is the
+    least node. Nothing is collected.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = cut(small)
+        # an edge's lower end gets its own least neighbour, if that is lower still
+        below = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(edges.join(below.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
+        edges = cut(small.distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 #: Letters a-z, the gap between words, and bins for all other letters.
-LETTERS, GAP, OTHER = 26, 26, 21
+LETTERS, GAP, OTHER = 26, 26, 101
 ALPHABET = LETTERS + 1 + OTHER
 DIM = 512
+#: Counts that a task holds before it hands them on.
+HELD = 1 << 18
 
 
 @functools.cache
@@ -46,11 +50,10 @@ def letter_vectors(dim: int, seed: int = 7) -> np.ndarray:
     return np.stack([base[:, permute][:, permute], base[:, permute], base])
 
 
-@functools.cache
-def trigram_vectors(dim: int, seed: int = 7) -> np.ndarray:
-    """Bound vectors of all ALPHABET**3 trigrams: a table of fixed size."""
-    a, b, c = letter_vectors(dim, seed)
-    return (a[:, None, None] * b[None, :, None] * c[None, None, :]).reshape(-1, dim)
+def bound(codes: np.ndarray, dim: int) -> np.ndarray:
+    """Bound vectors of trigrams, from the letters' vectors of each place."""
+    a, b, c = letter_vectors(dim)
+    return a[codes // (ALPHABET * ALPHABET)] * b[codes // ALPHABET % ALPHABET] * c[codes % ALPHABET]
 
 
 def trigrams(column: pa.Array):
@@ -87,32 +90,40 @@ def prototypes(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int
     """
 
     def count(batches):
-        sums: dict[str, np.ndarray] = {}
+        held: dict[str, list] = {}
+        n = 0
+
+        def settle():
+            for name, parts in held.items():
+                codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(codes), pa.string()), pa.array(codes.astype(np.int32)), pa.array(sums)], ["lang", "code", "n"])
+            held.clear()
+
         for b in batches:
             for name, got in zip(b.column(1).to_pylist(), trigrams(b.column(0))):
                 if got is not None:
-                    if name not in sums:
-                        sums[name] = np.zeros(ALPHABET**3, np.int64)
-                    sums[name][got[0]] += got[1]
-        for name, v in sums.items():
-            at = np.flatnonzero(v)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(v[at])], ["lang", "code", "n"])
+                    held.setdefault(name, []).append(got)
+                    n += len(got[0])
+                    if n > HELD:
+                        yield from settle()
+                        n = 0
+        yield from settle()
 
     def bundle(batches):
         sums: dict[str, np.ndarray] = {}
-        vectors = trigram_vectors(dim)
         for b in batches:
             names, codes, n = np.asarray(b.column(0).to_pylist(), object), np.asarray(b.column(1)), np.asarray(b.column(2))
             for name in sorted(set(names)):
                 own = names == name
                 for part in np.array_split(np.flatnonzero(own), max(1, int(own.sum()) // 4096)):
-                    sums[name] = sums.get(name, np.zeros(dim)) + n[part].astype(np.float64) @ vectors[codes[part]].astype(np.float64)
+                    sums[name] = sums.get(name, np.zeros(dim)) + n[part].astype(np.float64) @ bound(codes[part], dim).astype(np.float64)
         for name, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([v.tolist()], pa.list_(pa.float64()))], ["lang", "v"])
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = rows.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    parts = counts.mapInArrow(bundle, "lang string, v array<double>")
+    counts = arrow_map(rows, count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    parts = arrow_map(counts, bundle, "lang string, v array<double>")
     each = _sum_vectors(parts)
     return {k: v / max(np.linalg.norm(v), 1e-300) for k, v in sorted((r["lang"], np.array(r["v"])) for r in each.toLocalIterator())}
 
@@ -128,7 +139,6 @@ def judge(models: dict[str, np.ndarray], dim: int = DIM):
     matrix = np.stack([models[k] for k in names]).T.astype(np.float32) if names else np.zeros((dim, 0), np.float32)
 
     def run(column: pa.Array) -> tuple[list[str], list[float]]:
-        vectors = trigram_vectors(dim)
         pred, score = [], []
         for got in trigrams(column):
             if got is None or not names:
@@ -136,7 +146,7 @@ def judge(models: dict[str, np.ndarray], dim: int = DIM):
                 score.append(0.0)
                 continue
             codes, n = got
-            v = n.astype(np.float32) @ vectors[codes].astype(np.float32)
+            v = n.astype(np.float32) @ bound(codes, dim).astype(np.float32)
             cos = (v @ matrix) / max(float(np.linalg.norm(v)), 1e-30)
             k = int(np.argmax(cos))
             pred.append(names[k])
@@ -158,7 +168,7 @@ def classify(docs: DataFrame, models: dict[str, np.ndarray], text: str = "text",
             pred, score = run(b.column(b.num_columns - 1))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
 
-    return rows.mapInArrow(each, out)
+    return arrow_map(rows, each, out)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
@@ -185,4 +195,4 @@ def keep_languages(docs: DataFrame, languages: list[str] | None = None, min_scor
             pred, score = run(b.column(b.schema.get_field_index("text")))
             yield b.filter(pa.array([p != "und" and x >= min_score and (languages is None or p in languages) for p, x in zip(pred, score)], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return arrow_map(docs, each, docs.schema)

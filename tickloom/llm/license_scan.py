@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import arrow_map
 from .textkernel import _LANE, _LOWER, Block, blocks, mix, windows
 
 SHINGLE, BANDS, ROWS = 3, 16, 1
@@ -151,4 +152,4 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, least: float
             found = scanner(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(m) for m in found], pa.int64()), pa.array([sorted({x["license"] for x in m}) for m in found], pa.list_(pa.string())), pa.array(found, shape)], ["doc_id", "n_matches", "licenses", "matches"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_matches long, licenses array<string>, matches array<struct<license:string,start:bigint,end:bigint,containment:double>>")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_matches long, licenses array<string>, matches array<struct<license:string,start:bigint,end:bigint,containment:double>>")

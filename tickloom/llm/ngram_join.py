@@ -27,12 +27,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_filter, cells, components, cut, gather_cells, in_filter
+from .common import arrow_map, bit_filter, cells, components, cut, gather_cells, in_filter
 from .textkernel import Block, blocks, mix, windows
 
 SHINGLE = 5
@@ -41,8 +40,23 @@ CELL = 1 << 14
 FILTER_BITS = 24
 #: Sets in one chunk of a trie join.
 CHUNK = 128
-#: Hashes that a task remembers to emit copies once; more only means repeated rows, which later steps drop.
-REMEMBER = 200_000
+#: Places in a task's memory of the hashes it has seen, to emit copies once; a hash that another took the place of is emitted again,
+#: and later steps drop it.
+REMEMBER = 1 << 18
+
+
+class Seen:
+    """A table of fixed size of hashes met lately."""
+
+    def __init__(self) -> None:
+        self.at = np.arange(REMEMBER) ^ 1  # no hash that belongs in its place
+
+    def again(self, h: int) -> bool:
+        i = h & (REMEMBER - 1)
+        if self.at[i] == h:
+            return True
+        self.at[i] = h
+        return False
 
 
 def sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -90,7 +104,7 @@ def _sketch(docs: DataFrame) -> np.ndarray:
         yield from cells(total, CELL)
 
     # a byte each, by logarithm: what is broadcast halves, and only near counts of common shingles tie
-    return np.round(15 * np.log2(gather_cells(docs.select("text").mapInArrow(count, "cell int, counts binary"), size, CELL).astype(np.float32) + 1)).astype(np.uint8)
+    return np.round(15 * np.log2(gather_cells(arrow_map(docs.select("text"), count, "cell int, counts binary"), size, CELL).astype(np.float32) + 1)).astype(np.uint8)
 
 
 def _ordered(s: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -213,14 +227,14 @@ def _signatures(docs: DataFrame, counts) -> DataFrame:
                 prefix = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), prefix, pa.array(parts, pa.binary())], ["doc_id", "h", "n", "prefix", "parts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, h long, n long, prefix array<long>, parts binary")
+    return arrow_map(docs.select("doc_id", "text"), run, "doc_id long, h long, n long, prefix array<long>, parts binary")
 
 
 def _postings(signed: DataFrame, wanted=None) -> DataFrame:
     """(token, h, lead): one row for each prefix shingle of each set, once a task; lead: 1 if it is among those to index."""
 
     def run(batches):
-        told: set[int] = set()
+        told = Seen()
         for b in batches:
             flat, off = np.asarray(b.column(2).values), np.asarray(b.column(2).offsets)
             hs, ns = b.column(0).to_pylist(), b.column(1).to_pylist()
@@ -228,10 +242,8 @@ def _postings(signed: DataFrame, wanted=None) -> DataFrame:
                 tokens, owner, lead = [], [], []
                 for k in range(at, min(at + 512, len(hs))):
                     h = hs[k]
-                    if h is None or h in told:
+                    if h is None or told.again(h):
                         continue
-                    if len(told) < REMEMBER:
-                        told.add(h)
                     p = flat[off[k] : off[k + 1]]
                     first = np.arange(len(p)) < prefix_sizes(ns[k])[1]
                     if wanted is not None:
@@ -243,27 +255,25 @@ def _postings(signed: DataFrame, wanted=None) -> DataFrame:
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(owner)), pa.array(np.concatenate(lead).astype(np.int64))], ["token", "h", "lead"])
 
-    return signed.select("h", "n", "prefix").mapInArrow(run, "token long, h long, lead long")
+    return arrow_map(signed.select("h", "n", "prefix"), run, "token long, h long, lead long")
 
 
 def _sets_of(docs: DataFrame, wanted, counts) -> DataFrame:
     """(h, s): the ordered sets whose hash passes the filter, each once."""
 
     def run(batches):
-        order, bits, told = counts.value, wanted.value, set()
+        order, bits, told = counts.value, wanted.value, Seen()
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 hs, out = [], []
                 for s in sets(b.column(0).slice(i, 256)):
-                    if len(s) and (h := set_hash(s)) not in told and in_filter(np.array([h], np.int64), bits)[0]:
-                        if len(told) < REMEMBER:
-                            told.add(h)
+                    if len(s) and in_filter(np.array([h := set_hash(s)], np.int64), bits)[0] and not told.again(h):
                         hs.append(h)
                         out.append(_ordered(s, order).astype("<u8").tobytes())
                 if hs:
                     yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(out, pa.binary())], ["h", "s"])
 
-    return docs.select("text").mapInArrow(run, "h long, s binary").groupBy("h").agg(F.first("s").alias("s"))
+    return arrow_map(docs.select("text"), run, "h long, s binary").groupBy("h").agg(F.first("s").alias("s"))
 
 
 def may_link(parts: np.ndarray, n: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -306,7 +316,7 @@ def _possible(members: DataFrame, signed: DataFrame) -> DataFrame:
                 out = []
         yield batch([*out, *settle(now, group)])
 
-    return rows.mapInArrow(run, "chunk long, h long")
+    return arrow_map(rows, run, "chunk long, h long")
 
 
 def _trie_join(members: DataFrame, signed: DataFrame, docs: DataFrame, counts) -> DataFrame:
@@ -330,7 +340,7 @@ def _trie_join(members: DataFrame, signed: DataFrame, docs: DataFrame, counts) -
         out += chunk_links(list(group.items()))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return rows.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "a long, b long")
+    return arrow_map(rows.repartition("chunk").sortWithinPartitions("chunk"), run, "a long, b long")
 
 
 def _spread(h: str, k: str):
@@ -367,6 +377,11 @@ def _rest_chunks(lists: DataFrame, classes: DataFrame) -> DataFrame | None:
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs(doc_id, text)``; component_id is the least doc_id reachable by links."""
+    return _classes(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """The rows of ``jaccard_classes`` with ``h``, the hash of the row's set."""
     context = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
     counts = context.broadcast(_sketch(docs))
@@ -393,33 +408,52 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
     of_set = cut(ids.join(least, "component").select("h", "component_id"))
     whole = signed.select("doc_id", "h", "n").join(of_set, "h", "left")
-    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return whole.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _in_bits(ids, bits):
     """Column: may this hashed id be one that set ``bits``; null ids are not."""
 
-    @F.pandas_udf("boolean")
-    def hit(h: pd.Series) -> pd.Series:
-        return pd.Series(in_filter(h.to_numpy(np.int64), bits.value))
+    @F.arrow_udf("boolean")
+    def hit(h: pa.Array) -> pa.Array:
+        return pa.array(in_filter(np.asarray(h.cast(pa.int64())), bits.value))
 
     return ids.isNotNull() & hit(F.xxhash64(ids.cast("long")))
 
 
+def _with_set_hash(rows: DataFrame, text: str = "text", name: str = "__h") -> DataFrame:
+    at = rows.columns.index(text)
+
+    def run(batches):
+        for b in batches:
+            h = [set_hash(s) if len(s) else None for s in sets(b.column(at))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(h, pa.int64())], [*b.schema.names, name])
+
+    return arrow_map(rows, run, rows.withColumn(name, F.lit(None).cast("long")).schema)
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each class, that with the least id, with its own columns; empty texts are each their own class.
 
-    Rows that repeat a kept id all stay; rows without an id always stay.
+    Rows without an id always stay, and so do all rows that repeat a kept id with a text of the same class. Where an id is repeated with texts of
+    different classes, each row goes or stays with its own class.
 
     Whole rows are not shuffled where ids suffice: rows outside a filter of the dropped ids stay at once; of the others, an anti join of ids alone
     finds those to spare, and only rows that pass a filter of these meet them in a join. Both filters are 2^24 bits; beyond some ten million
     dropped ids they let more through, and the joins, which are exact, do more of the work.
     """
     context, ids = docs.sparkSession.sparkContext, F.col("doc_id")
-    drop = cut(jaccard_classes(docs).where("doc_id is not null and component_id < doc_id").select(ids.cast("long").alias("__drop")).distinct())
+    verdicts = cut(_classes(docs).where("doc_id is not null").select(ids.cast("long").alias("__drop"), "h", (F.col("component_id") < ids).alias("gone")))
+    drop = cut(verdicts.groupBy("__drop").agg(F.min("gone").alias("all_gone"), F.max("gone").alias("some_gone")).where("some_gone"))
+    mixed = cut(verdicts.where("not gone").join(drop.where("not all_gone").select("__drop"), "__drop", "left_semi").select(F.col("__drop").alias("__id"), F.col("h").alias("__kept")).distinct())
+    drop = drop.select("__drop")
     gone = _in_bits(ids, context.broadcast(bit_filter(drop.select(F.xxhash64("__drop").alias("b")), "b", FILTER_BITS)))
     doubtful = docs.where(gone).select(ids.cast("long").alias("__spared")).distinct()
     spared = cut(doubtful.join(drop, doubtful["__spared"] == drop["__drop"], "left_anti"))
     back = _in_bits(ids, context.broadcast(bit_filter(spared.select(F.xxhash64("__spared").alias("b")), "b", FILTER_BITS)))
     rest = docs.where(gone & back)
-    return docs.where(~gone).union(rest.join(spared, rest["doc_id"].cast("long") == spared["__spared"], "left_semi"))
+    kept = docs.where(~gone).union(rest.join(spared, rest["doc_id"].cast("long") == spared["__spared"], "left_semi"))
+    if not mixed.isEmpty():
+        of_mixed = _with_set_hash(docs.join(mixed.select("__id").distinct(), ids.cast("long") == F.col("__id"), "left_semi"))
+        kept = kept.union(of_mixed.join(mixed, (of_mixed["doc_id"].cast("long") == mixed["__id"]) & of_mixed["__h"].eqNullSafe(mixed["__kept"]), "left_semi").drop("__h"))
+    return kept

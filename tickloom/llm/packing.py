@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import arrow_map, cut
 
 CAPACITY = 2048
 #: Letters, and other characters of texts that are split here; texts with any other are left to the tokenizer whole.
@@ -32,7 +32,8 @@ _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _OTHER = re.compile(f"[^\t\n\r -~¡-©«-±´¶-¸»¿×÷‐-‧‰-⁞€{_LETTERS}]")
 #: The byte-level pre-split, for such texts.
 _SPLIT = re.compile(f" ?[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[0-9]+| ?[^ \t\n\r{_LETTERS}0-9]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
-CACHED = 400_000
+#: Bytes of words and ids that a task remembers.
+CACHED = 16 << 20
 
 
 def _byte_letters() -> dict[str, int]:
@@ -45,13 +46,18 @@ class _Known(dict):
     """Ids of the words met so far; a new word is merged when it is looked up."""
 
     def __init__(self, merge) -> None:
-        self.merge = merge
+        self.merge, self.held = merge, 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.merge(word.encode())
         self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        self.held += len(word) + len(out) + 100  # and what Python needs for both
         return out
 
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
 
 class Encoder:
     """Ids as little-endian bytes. Pre-split words are merged once each and remembered.
@@ -64,11 +70,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
         with open(path, encoding="utf-8") as f:
             whole = json.load(f)
-        added, letters = {t["content"] for t in whole.get("added_tokens", [])}, _byte_letters()
-        vocab = {t: i for t, i in whole["model"]["vocab"].items() if t not in added}
+        self.added, letters = {t["content"] for t in whole.get("added_tokens", [])}, _byte_letters()
+        vocab = {t: i for t, i in whole["model"]["vocab"].items() if t not in self.added}
         merges = [m if isinstance(m, str) else " ".join(m) for m in whole["model"]["merges"]]
         pre = whole.get("pre_tokenizer") or {}
         first = len(vocab) - len(merges)
@@ -87,10 +92,11 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for t in texts:
-            if self.ranked is None or _OTHER.search(t):
+            # an added token's string in a text is that token, as the tokenizer has it
+            if self.ranked is None or _OTHER.search(t) or any(a in t for a in self.added):
                 out.append(self._whole(t))
             else:
-                if len(self.known) > CACHED:
+                if self.known.held > CACHED:
                     self.known.clear()
                 out.append(b"".join(map(self.known.__getitem__, _SPLIT.findall(t))))
         return out
@@ -121,7 +127,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(cols[0])), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.int64()) for c in cols[2:5]), pa.array(cols[5], pa.int32()), pa.array(cols[6], pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, place long")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, task int, place long")
 
 
 class Tightest:
@@ -216,4 +222,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
             i = rank - s[:, 1]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(s[:, 2] + i // s[:, 3]), pa.array(s[:, 4] + i % s[:, 3] * length)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return arrow_map(ranked, run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
-from .textkernel import _BYTE, _POWERS, Block, blocks, mix, windows
+from .common import arrow_map
+from .textkernel import _BYTE, Block, blocks, hash_runs, mix, windows
 
 SYMBOLS = b"#*$%&|<>"
 FEATURES = 14
@@ -85,10 +86,7 @@ def measure(buf: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     doc_of_line = np.repeat(np.arange(docs), n_lines)
     words = np.searchsorted(block.starts, b) - np.searchsorted(block.starts, a)
 
-    up, down = _POWERS.upto(len(buf) + 1)
-    sums = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=sums[1:])
-    key = mix(mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)) + mix(doc_of_line.astype(np.uint64) + np.uint64(1)))
+    key = mix(hash_runs(_BYTE, buf, a, b) + mix(doc_of_line.astype(np.uint64) + np.uint64(1)))
     some = np.flatnonzero(words > 0)
     order = some[np.argsort(key[some], kind="stable")]
     dup = np.zeros(len(a), bool)
@@ -111,7 +109,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def _judge(column: pa.Array, model: crf.Chain, min_share: float) -> list[pa.Array]:
     """The counts, words in content lines, base_failed, kept, and the lines' labels of each row."""
     parts = []
-    for _, buf, off in blocks(column, 1 << 21):
+    for _, buf, off in blocks(column):
         m = measure(buf, off)
         labels = crf.viterbi(model, m["x"] @ model.weights.T, m["line_off"])
         content = np.add.reduceat(np.append(m["line_words"] * (labels == CONTENT), 0), m["line_off"][:-1])
@@ -128,7 +126,8 @@ def _judge(column: pa.Array, model: crf.Chain, min_share: float) -> list[pa.Arra
 def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_lines: int = 200) -> crf.Chain:
     """Fit on at most ``sample_docs`` labelled documents, those whose ids have the least hashes."""
     few = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").select("quality", "text", "doc_id")
+    # one text of each id, so that a repeated id counts once
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text")).select("quality", "text", "doc_id")
 
     def lines(batches):
         for b in batches:
@@ -139,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = 2000, sample_li
                     own = own[m["line_words"][own] > 0][:sample_lines]
                     yield pa.RecordBatch.from_arrays([b.column(2).slice(i + k, 1), b.column(0).slice(i + k, 1).cast(pa.int32()), pa.array([m["x"][own].astype("<f8").tobytes()], pa.binary())], ["doc_id", "quality", "x"])
 
-    got = sorted({(r["doc_id"], r["quality"], bytes(r["x"])) for r in rows.mapInArrow(lines, "doc_id long, quality int, x binary").toLocalIterator()})
+    got = sorted({(r["doc_id"], r["quality"], bytes(r["x"])) for r in arrow_map(rows, lines, "doc_id long, quality int, x binary").toLocalIterator()})
     got = [(q, np.frombuffer(x, "<f8").reshape(-1, FEATURES)) for _, q, x in got if x]
     if len({q for q, _ in got}) < 2:
         return DEFAULT
@@ -157,7 +156,7 @@ def judge(docs: DataFrame, model: crf.Chain, min_share: float = MIN_SHARE) -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), *_judge(b.column(1), model, min_share)], ["doc_id", *COUNTS, "content_words", "base_failed", "kept", "line_labels"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, content_words long, base_failed boolean, kept boolean, line_labels array<int>")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, {', '.join(f'{c} long' for c in COUNTS)}, content_words long, base_failed boolean, kept boolean, line_labels array<int>")
 
 
 def retain(docs: DataFrame, model: crf.Chain, min_share: float = MIN_SHARE) -> DataFrame:
@@ -167,4 +166,4 @@ def retain(docs: DataFrame, model: crf.Chain, min_share: float = MIN_SHARE) -> D
         for b in batches:
             yield b.filter(_judge(b.column(b.schema.get_field_index("text")), model, min_share)[7])
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -2,7 +2,7 @@
 
 Each line's words are tagged secret-begin, secret-inside or outside by Viterbi decoding of a linear chain; features
 are a word's shape, its neighbours' cue words and the document's share of digits. The model learns
-from words inside exact matches, on a bounded sample: at most ``sample_docs`` documents with a cue and as many of all,
+from words inside exact matches, once as they are and once without their cues, so that shape alone can tell, on a bounded sample: at most ``sample_docs`` distinct texts with a cue and half as many of all,
 those with the least hashes. Without any match in the sample nothing is added.
 
 Spans are (kind, start, end) in code points, end exclusive. Exact ones stay whatever the model
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import crf
+from .common import arrow_map
 from .textkernel import _LOWER, Block, blocks
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -28,9 +29,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
-FEATURES = 18
+FEATURES = 19
+#: Features: has a digit, is a cue, and those that a cue word near by gives.
+DIGIT, MIXED, CUE, CUES = 1, 4, 12, (11, 12, 13)
 #: Score that a document's words need beyond the model's, in favour of outside.
-CAUTION = 4.0
+CAUTION = 2.0
 #: Words on each side of a secret that are learnt from.
 WINDOW = 25
 _EDGE = b".,;:!?()[]{}<>\"'`"
@@ -43,7 +46,7 @@ def _table(chars: bytes) -> np.ndarray:
 
 
 _DIGITS, _CAPS, _SMALL = _table(b"0123456789"), _table(bytes(range(65, 91))), _table(bytes(range(97, 123)))
-_HEXES, _BODY, _LINK, _HIGH = _table(b"0123456789abcdef"), _table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), _table(b"=:"), _table(bytes(range(128, 256)))
+_HEXES, _BODY, _LINK, _HIGH, _AT = _table(b"0123456789abcdef"), _table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), _table(b"=:"), _table(bytes(range(128, 256))), _table(b"@")
 _FIRST = np.ones(256, np.int64)
 _FIRST[0x80:0xC0] = 0
 
@@ -83,7 +86,7 @@ def _scan(buf: np.ndarray, off: np.ndarray):
         np.cumsum(table[buf], out=sums[1:])
         return sums[e] - sums[s]
 
-    digits, caps, small, hexes, body, link, high = map(share, (_DIGITS, _CAPS, _SMALL, _HEXES, _BODY, _LINK, _HIGH))
+    digits, caps, small, hexes, body, link, high, at = map(share, (_DIGITS, _CAPS, _SMALL, _HEXES, _BODY, _LINK, _HIGH, _AT))
     kind = _DIGITS[buf] + 2 * _SMALL[buf] + 3 * _CAPS[buf]
     turns = np.zeros(n + 1, np.int64)
     np.cumsum(np.concatenate([[0], kind[1:] != kind[:-1]]) if n else np.zeros(0, np.int64), out=turns[1:])
@@ -96,7 +99,7 @@ def _scan(buf: np.ndarray, off: np.ndarray):
     x = np.zeros((len(s), FEATURES))
     of = np.repeat(doc_digits, np.diff(block.bounds))
     mixed = (digits > 0) & (caps + small > 0)
-    for i, v in enumerate((1.0, digits > 0, (caps > 1) & (small > 0), digits / np.maximum(size, 1), mixed, np.minimum(np.log1p(size) / 4, 1.5), (size >= 16) & mixed, (size >= 24) & mixed, link > 0, body == size, turn, before, cue, after, np.minimum(of * 10, 2), high > 0, (hexes >= size - 1) & (size >= 16), (digits >= 3) & mixed & (size >= 12))):
+    for i, v in enumerate((1.0, digits > 0, (caps > 1) & (small > 0), digits / np.maximum(size, 1), mixed, np.minimum(np.log1p(size) / 4, 1.5), (size >= 16) & mixed, (size >= 24) & mixed, link > 0, body == size, turn, before, cue, after, np.minimum(of * 10, 2), high > 0, (hexes >= size - 1) & (size >= 16), (digits >= 3) & mixed & (size >= 12), at > 0)):
         x[:, i] = v
     breaks = np.flatnonzero(buf == 10)
     lines = np.unique(np.concatenate([block.bounds, np.searchsorted(s, breaks)]))
@@ -142,11 +145,28 @@ def scan(column: pa.Array, model: crf.Chain | None) -> list[list[tuple[int, int,
     return [sorted(s) for s in out]
 
 
+def _without_cues(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same words as if no cue stood there, so that shapes are learnt too: a bare cue word is outside, the word after it begins the secret."""
+    bare = (x[:, CUE] > 0) & (x[:, DIGIT] == 0) & (y != OUTSIDE)
+    x, y = x.copy(), y.copy()
+    x[:, list(CUES)] = 0
+    y[bare] = OUTSIDE
+    after = np.flatnonzero(bare[:-1]) + 1
+    y[after[y[after] == INSIDE]] = BEGIN
+    y[(y == INSIDE) & (np.concatenate([[OUTSIDE], y[:-1]]) == OUTSIDE)] = BEGIN
+    return x, y
+
+
 def train(docs: DataFrame, sample_docs: int = 600) -> crf.Chain | None:
     """Fit on a bounded sample; the exact patterns give the labels."""
-    rows = docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("text").alias("k"))
-    cued = rows.where(F.col("text").rlike(r"AKIA|(?i:passw|secret|token|api_?key)")).orderBy("k").limit(sample_docs)
-    some = rows.orderBy("k").limit(sample_docs // 2)
+    # the least hashes of distinct texts come first; only texts with these are moved
+    key = F.xxhash64("text")
+    least = lambda rows, n: [r["k"] for r in rows.select(key.alias("k")).distinct().orderBy("k").limit(n).collect()]
+    rows = docs.where(F.col("text").isNotNull()).select("text")
+    wanted = sorted({*least(rows.where(F.col("text").rlike(r"AKIA|(?i:passw|secret|token|api_?key)")), sample_docs), *least(rows, sample_docs // 2)})
+    if not wanted:
+        return None
+    sample = rows.where(key.isin(wanted)).groupBy(key.alias("k")).agg(F.min("text").alias("text")).select("text")
 
     def features(batches):
         for b in batches:
@@ -163,14 +183,21 @@ def train(docs: DataFrame, sample_docs: int = 600) -> crf.Chain | None:
                             y[inside] = INSIDE
                             y[inside[:1]] = BEGIN
                     own = lines[(lines >= lo) & (lines <= hi)]
-                    # of a line with a secret the words around it, of two other lines of each text the first words
+                    # of a line with a secret the words around it; of three other lines of each text those around a word of letters and digits; of
+                    # the first two lines else the first words
+                    odd = 0
                     for n, (p, q) in enumerate(zip(own[:-1], own[1:])):
                         marked = np.flatnonzero(y[p - lo : q - lo]) + p
-                        if len(marked) or n < 2:
-                            p, q = (max(p, marked[0] - WINDOW), min(q, marked[0] + WINDOW)) if len(marked) else (p, min(q, p + WINDOW))
-                            yield pa.RecordBatch.from_arrays([pa.array([x[p:q].astype("<f4").tobytes()], pa.binary()), pa.array([y[p - lo : q - lo].tobytes()], pa.binary())], ["x", "y"])
-
-    got = sorted({(bytes(r["x"]), bytes(r["y"])) for r in cued.union(some).select("text").mapInArrow(features, "x binary, y binary").toLocalIterator()})
+                        like = marked if len(marked) or odd == 3 else np.flatnonzero(x[p:q, MIXED]) + p
+                        odd += len(like) > len(marked)
+                        if len(like) or n < 2:
+                            p, q = (max(p, like[0] - WINDOW), min(q, like[0] + WINDOW)) if len(like) else (p, min(q, p + WINDOW))
+                            seen = [(x[p:q], y[p - lo : q - lo])]
+                            if len(marked):
+                                seen.append(_without_cues(*seen[0]))
+                            yield pa.RecordBatch.from_arrays([pa.array([v.astype("<f4").tobytes() for v, _ in seen], pa.binary()), pa.array([v.tobytes() for _, v in seen], pa.binary())], ["x", "y"])
+
+    got = sorted({(bytes(r["x"]), bytes(r["y"])) for r in arrow_map(sample, features, "x binary, y binary").toLocalIterator()})
     if not any(any(y) for _, y in got):
         return None
     x = np.concatenate([np.frombuffer(v, "<f4").reshape(-1, FEATURES) for v, _ in got]).astype(np.float64)
@@ -189,7 +216,7 @@ def find(docs: DataFrame, model: crf.Chain | None) -> DataFrame:
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in x] for x in scan(b.column(1), model)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, shape)], ["doc_id", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, found array<struct<kind:string,start:bigint,end:bigint>>")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, found array<struct<kind:string,start:bigint,end:bigint>>")
 
 
 def redact(docs: DataFrame, model: crf.Chain | None, mark: str = "[SECRET]") -> DataFrame:
@@ -220,7 +247,7 @@ def redact(docs: DataFrame, model: crf.Chain | None, mark: str = "[SECRET]") ->
                 b = pa.RecordBatch.from_arrays(columns, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -17,12 +17,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import arrow_map
+
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words that a task remembers.
-CACHED = 400_000
+#: Bytes of words and ids that a task remembers.
+CACHED = 16 << 20
 
 
 def _varint(b: bytes, i: int) -> tuple[int, int]:
@@ -113,6 +116,10 @@ class Model:
         self.surface = [bytes([int(t[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else t.replace(MARK, " ").encode() for t, k in zip(self.texts, self.kinds)]
         self.by_word = not any(MARK in t.lstrip(MARK) for t, k in zip(self.texts, self.kinds) if k == NORMAL)
         self.known: dict[str, bytes] = {}
+        self.held = 0
+        self.pieces = pa.array(self.surface, pa.binary())
+        self.is_control = np.array([k == CONTROL for k in self.kinds])
+        self.is_normal = np.array([k == NORMAL for k in self.kinds])
         # the library merges what is normalised already: the same model without any normalisation of its own
         import sentencepiece
 
@@ -185,10 +192,11 @@ class Model:
         norms = [self.normalise(t) for t in texts]
         known = self.known
         split = [_WORDS.findall(n) if self.by_word else [n] if n else [] for n, _ in norms]
-        if len(known) > CACHED or not self.by_word:
-            known.clear()
+        if self.held > CACHED or not self.by_word:
+            self.forget()
         new = list(set().union(*split) - known.keys())
         known.update((w, np.array(ids, np.int32).tobytes()) for w, ids in zip(new, self.merge.encode(new, num_threads=1)))
+        self.held += sum(len(w) + len(known[w]) + 100 for w in new)  # and what Python needs for both
         out = []
         for words, (_, source) in zip(split, norms):
             ids = np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32)
@@ -198,17 +206,33 @@ class Model:
             out.append((np.append(ids, np.int32(self.end)), at, np.append(at[1:], at[-1])))
         return out
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.held = 0
+
+    def decode_all(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
+        """The texts of runs ``off[i]:off[i + 1]`` of ids. A leading space that normalisation put there goes; bytes that are no UTF-8 become U+FFFD each."""
+        if not len(ids):
+            return [""] * (len(off) - 1)
+        taken = self.pieces.take(pa.array(ids))
+        edges = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset : taken.offset + len(ids) + 1][off]
+        data = taken.buffers()[2]
+        data = b"" if data is None else data.to_pybytes()
+        said = np.flatnonzero(~self.is_control[ids])
+        out = []
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if self.prefix and data[a : a + 1] == b" ":
+                k = np.searchsorted(said, off[i])
+                if k < len(said) and said[k] < off[i + 1] and self.is_normal[ids[said[k]]]:
+                    a += 1
+            try:
+                out.append(data[a:b].decode())
+            except UnicodeDecodeError:
+                out.append(_lenient(data[a:b]))
+        return out
+
     def decode(self, ids: list[int]) -> str:
-        """The text of ids. A leading space that normalisation put there goes; bytes that are no UTF-8 become U+FFFD each."""
-        out = b"".join([self.surface[i] for i in ids])
-        if self.prefix:
-            first = next((i for i in ids if self.kinds[i] != CONTROL), None)
-            if first is not None and self.kinds[first] == NORMAL and out.startswith(b" "):
-                out = out[1:]
-        try:
-            return out.decode()
-        except UnicodeDecodeError:
-            return _lenient(out)
+        return self.decode_all(np.asarray(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -238,6 +262,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         m = model(path)
+        m.forget()  # of the task before
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -246,7 +271,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(off, pa.array(np.concatenate([g[k] for g in got]).astype(np.int32))) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["doc_id", "ids", "begins", "ends"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, ids array<int>, begins array<int>, ends array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -261,7 +286,10 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = [None if x is None else m.decode(x) for x in part.column(at).to_pylist()]
+                lists = part.column(at)
+                ids, sizes = np.asarray(lists.flatten().cast(pa.int64())), np.asarray(pc.fill_null(pc.list_value_length(lists), 0))
+                known = np.asarray(lists.is_valid())
+                texts = [t if ok else None for t, ok in zip(m.decode_all(ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)), known)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
-    return rows.mapInArrow(run, out)
+    return arrow_map(rows, run, out)

@@ -33,21 +33,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, extended when a longer text comes."""
+#: Bytes that are hashed at once; a longer run is hashed in parts, so tables and sums stay this long.
+SPAN = 1 << 18
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        while len(self.up) < n:
-            step = np.uint64(pow(_BASE, len(self.up), 1 << 64)), np.uint64(pow(_INV, len(self.up), 1 << 64))
-            self.up = np.concatenate([self.up, self.up * step[0]])
-            self.down = np.concatenate([self.down, self.down * step[1]])
-        return self.up[:n], self.down[:n]
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, np.uint64)
+    while len(out) < n:
+        out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
 
 
-_POWERS = _Powers()
+_UP, _DOWN = _powers(_BASE, SPAN + 1), _powers(_INV, SPAN + 1)
+
+
+def hash_runs(codes: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run ``buf[start:end]``; runs are in order and apart, ``codes`` has a number for each byte."""
+    out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN, "right")))
+        a, b = int(starts[i]), int(ends[j - 1])
+        if b - a <= SPAN:
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum(codes[buf[a:b]] * _UP[: b - a], out=sums[1:])
+            s = starts[i:j] - a
+            out[i:j] = (sums[ends[i:j] - a] - sums[s]) * _DOWN[s]
+        else:
+            parts = ((k, int((codes[buf[k : min(k + SPAN, b)]] * _UP[: min(SPAN, b - k)]).sum())) for k in range(a, b, SPAN))
+            out[i] = sum(v * pow(_BASE, k - a, 1 << 64) for k, v in parts) % (1 << 64)
+        i = j
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 class Block:
@@ -69,10 +84,7 @@ class Block:
 
     def hashes(self, lower: bool) -> np.ndarray:
         """A 64-bit hash of each word, of its A-Z lower-cased bytes if ``lower``."""
-        up, down = _POWERS.upto(len(self.buf) + 1)
-        sums = np.zeros(len(self.buf) + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[self.buf] if lower else self.buf] * up[: len(self.buf)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts] + (self.ends - self.starts).astype(np.uint64))
+        return hash_runs(_BYTE[_LOWER] if lower else _BYTE, self.buf, self.starts, self.ends)
 
 
 def windows(h: np.ndarray, k: int) -> np.ndarray:
@@ -99,7 +111,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def blocks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) for runs of whole rows of about ``most`` bytes; a longer text is one run."""
     buf, off = utf8(column)
     i, n = 0, len(off) - 1

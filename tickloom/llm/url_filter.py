@@ -20,7 +20,7 @@ import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -117,7 +117,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT,
     return rules_of(items, max(MIN_PAGES, math.ceil(min_support * n)), min_confidence)
 
 
-def _matches(rules: list[tuple[list[str], float, int]], tokens: Column) -> Column:
+def _matches(spark: SparkSession, rules: list[tuple[list[str], float, int]], tokens: Column) -> Column:
     """The confidence of the surest rule whose tokens are all there, or null."""
     if not rules:
         return F.lit(None).cast("double")
@@ -125,11 +125,13 @@ def _matches(rules: list[tuple[list[str], float, int]], tokens: Column) -> Colum
     for own, _, n in rules:
         for t in own:
             seen[t] = max(seen.get(t, 0), n)
-    # postings are placed by Spark's own hash, so that pages find them
-    posted = [{"t": min(own, key=lambda t: (seen[t], t)), "all": own, "c": c} for own, c, _ in rules]
-    kind = "array<struct<t:string,all:array<string>,c:double>>"
-    flat = F.from_json(F.lit(json.dumps(posted)), kind)
-    index = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.filter(flat, lambda r: _slot(r["t"]) == i))
+    # under its rarest token, in the slot that Spark's own hash gives; a constant, so that it is read once and looked up by place
+    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+    at = {r["t"]: r["slot"] for r in spark.createDataFrame([(t,) for t in sorted(seen)], "t string").select("t", _slot(F.col("t")).alias("slot")).collect()}
+    for own, c, _ in rules:
+        t = min(own, key=lambda t: (seen[t], t))
+        slots[at[t]].append({"t": t, "all": own, "c": c})
+    index = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<t:string,all:array<string>,c:double>>>")
     hit = lambda t: F.filter(F.get(index, _slot(t)), lambda r: (r["t"] == t) & (F.size(F.array_except(r["all"], tokens)) == 0))
     return F.array_max(F.transform(F.flatten(F.transform(tokens, hit)), lambda r: r["c"]))
 
@@ -138,5 +140,5 @@ def judge(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str, s
     """(page_id, host, path, rule, verdict, confidence) of every page; confidence: the mined rule's, where one fits."""
     mined = mine(pages, labels, min_support, min_confidence)
     parts = pages.select("page_id", "url", host().alias("host"), path().alias("path"))
-    found = parts.withColumns({"tokens": tokens("url", F.col("host"), F.col("path")), "own": explicit(rules, F.col("host"), F.col("path"))}).withColumn("confidence", _matches(mined, F.col("tokens")))
+    found = parts.withColumns({"tokens": tokens("url", F.col("host"), F.col("path")), "own": explicit(rules, F.col("host"), F.col("path"))}).withColumn("confidence", _matches(pages.sparkSession, mined, F.col("tokens")))
     return found.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", F.when(F.col("confidence").isNotNull(), "block").otherwise("allow")).alias("verdict"), "confidence")
