@@ -404,8 +404,8 @@ def _classes(docs: DataFrame) -> DataFrame:
         named = classes.join(over, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
         classes = cut(named.union(merged.select("node", "component")).groupBy("node").agg(F.min("component").alias("component")))
     counts.destroy()  # all that used it is written
-    ids = signed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first")).join(classes.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "first", F.coalesce("component", "h").alias("component"))
-    least = ids.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = cut(signed.where("h is not null").groupBy("h").agg(F.min("doc_id").alias("first")).join(classes.select(F.col("node").alias("h"), "component"), "h", "left").select("h", "first", F.coalesce("component", "h").alias("component")))
+    least = cut(ids.groupBy("component").agg(F.min("first").alias("component_id")))  # written, so that the join may split a large class
     of_set = cut(ids.join(least, "component").select("h", "component_id"))
     whole = signed.select("doc_id", "h", "n").join(of_set, "h", "left")
     return whole.select("doc_id", "h", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
