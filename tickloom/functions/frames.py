@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,23 @@ def from_row(x: Column, k: int) -> Column:
     return F.when(row() >= k, x)
 
 
+def over(a: Column, b: Column) -> Column:
+    """a / b; null where b is 0 or either is null. The rule for every ratio of the library."""
+    return F.try_divide(a, b)
+
+
+def correlation(a: str, b: str, w: WindowSpec | None = None) -> Column:
+    """Pearson's correlation of rows with both values; null where either is constant."""
+    x, y = F.when(F.col(b).isNotNull(), F.col(a)).cast("double"), F.when(F.col(a).isNotNull(), F.col(b)).cast("double")
+    one = lambda c: c if w is None else c.over(w)
+    return over(one(F.covar_pop(x, y)), one(F.stddev_pop(x)) * one(F.stddev_pop(y)))
+
+
+def in_order(df: DataFrame, *by: str) -> DataFrame:
+    """Each series whole in one partition and in order, for functions that stream it with a state of fixed size."""
+    return df.repartition("series").sortWithinPartitions("series", *(by or ("bar_id",)))
+
+
 def finite(x: Column) -> Column:
     """Null for NaN and infinities."""
     return F.when(~F.isnan(x) & (F.abs(x) < float("inf")), x)

@@ -10,37 +10,51 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import last, order, row, so_far
+from ..functions.frames import last, order, over, row, so_far
 from ..functions.special import chi2_sf, f_sf
 from . import stats
 
 
-def _met(df: DataFrame, a: str, b: str, by: str) -> DataFrame:
-    """Pairs of different rows of a series, each once, as (series, dx, dy); a series' length must be bounded by the caller."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    one = rows.select("series", F.col(by).alias("i"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-    two = one.select("series", F.col("i").alias("j"), F.col("x").alias("u"), F.col("y").alias("v"))
-    return one.join(two, "series").where("i < j").select("series", "i", "j", (F.col("x") - F.col("u")).alias("dx"), (F.col("y") - F.col("v")).alias("dy"))
+def _both(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(series, x, y, i, r): values of rows with both, around their means, and the dense ranks of each."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select("series", F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+    w = Window.partitionBy("series")
+    rows = rows.select("series", (F.col("x") - F.avg("x").over(w)).alias("x"), (F.col("y") - F.avg("y").over(w)).alias("y"))
+    return rows.withColumns({"i": stats.dense_rank("x").cast("long"), "r": stats.dense_rank("y")})
 
 
-def kendall(df: DataFrame, a: str, b: str, by: str = "bar_id") -> DataFrame:
-    """Kendall's tau-b by series; null where a column is constant."""
-    p = _met(df, a, b, by).select("series", F.signum("dx").alias("s"), F.signum("dy").alias("t"))
-    spread = F.sqrt(F.sum(F.abs("s")) * F.sum(F.abs("t")))
-    return p.groupBy("series").agg(F.when(spread > 0, F.sum(F.col("s") * F.col("t")) / spread).alias("tau"))
+def kendall(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Kendall's tau-b by series, counted without making pairs; null where a column is constant."""
+    rows = _both(df, a, b)
+    s = stats.rises_and_falls(rows.select("series", "i", "r")).groupBy("series").agg(F.sum(F.when(F.col("up") == 1, F.col("met")).otherwise(-F.col("met"))).alias("s"))
+    pairs = lambda n: F.col(n) * (F.col(n) - 1) / 2
+    tied = lambda k: rows.groupBy("series", k).agg(F.count("*").alias("n")).groupBy("series").agg(F.sum("n").alias("n"), F.sum(pairs("n")).alias(f"t_{k}"))
+    ties = tied("i").join(tied("r").drop("n"), "series")
+    return s.join(ties, "series").select("series", over(F.col("s").cast("double"), F.sqrt((pairs("n") - F.col("t_i")) * (pairs("n") - F.col("t_r")))).alias("tau"))
 
 
-def distance_correlation(df: DataFrame, a: str, b: str, by: str = "bar_id") -> DataFrame:
-    """Distance correlation by series, from distances' products and row means; 0 where a column is constant."""
-    p = _met(df, a, b, by).select("series", "i", "j", F.abs("dx").alias("x"), F.abs("dy").alias("y"))
-    n = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy("series").agg(F.count("*").cast("double").alias("n"))
-    ends = p.select("series", F.explode(F.array("i", "j")).alias("i"), "x", "y").groupBy("series", "i").agg(F.sum("x").alias("rx"), F.sum("y").alias("ry"))
-    rows = ends.groupBy("series").agg(F.sum(F.col("rx") * F.col("ry")).alias("rxy"), F.sum(F.col("rx") ** 2).alias("rxx"), F.sum(F.col("ry") ** 2).alias("ryy"), F.sum("rx").alias("tx"), F.sum("ry").alias("ty"))
-    pairs = p.groupBy("series").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") ** 2).alias("xx"), F.sum(F.col("y") ** 2).alias("yy"))
+def distance_correlation(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Distance correlation by series; 0 where a column is constant.
+
+    Sums of distances come from running sums in order of one column; the sum of products of distances from running sums of values by
+    bits of the other column's rank. So there are n log n rows and no pairs.
+    """
+    rows = _both(df, a, b).withColumn("xy", F.col("x") * F.col("y"))
+    n, w = F.count("*").over(Window.partitionBy("series")), Window.partitionBy("series")
+
+    def far(c: str, k: str):
+        below = w.orderBy(k).rangeBetween(Window.unboundedPreceding, -1)
+        less, less_sum = F.coalesce(F.count("*").over(below), F.lit(0)), F.coalesce(F.sum(c).over(below), F.lit(0.0))
+        return F.col(c) * (2 * less - n) - 2 * less_sum + F.sum(c).over(w)
+
+    ends = rows.withColumns({"rx": far("x", "i"), "ry": far("y", "r")}).groupBy("series").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("rx") * F.col("ry")).alias("rxy"), F.sum(F.col("rx") ** 2).alias("rxx"), F.sum(F.col("ry") ** 2).alias("ryy"), F.sum("rx").alias("tx"), F.sum("ry").alias("ty"), *[(F.count("*") * F.sum(F.col(c) ** 2) - F.sum(c) ** 2).alias(c * 2) for c in ("x", "y")])
+    met = stats.rises_and_falls(rows, {"sx": "x", "sy": "y", "sxy": "xy"})
+    product = F.col("met") * F.col("xy") - F.col("y") * F.col("sx") - F.col("x") * F.col("sy") + F.col("sxy")
+    pairs = met.groupBy("series").agg(F.sum(F.when(F.col("up") == 1, product).otherwise(-product)).alias("xy"))
     m = F.col("n")
     part = lambda k, u, v: F.greatest(2 * F.col(k) / m**2 - 2 * F.col(f"r{k}") / m**3 + F.col(f"t{u}") * F.col(f"t{v}") / m**4, F.lit(0.0))
     spread = F.sqrt(part("xx", "x", "x") * part("yy", "y", "y"))
-    return pairs.join(rows, "series").join(n, "series").select("series", F.when(spread > 0, F.sqrt(part("xy", "x", "y") / spread)).otherwise(0.0).alias("dcor"))
+    return pairs.join(ends, "series").select("series", F.coalesce(F.sqrt(over(part("xy", "x", "y"), F.when(spread > 1e-24, spread))), F.lit(0.0)).alias("dcor"))
 
 
 def expanding_zscore(df: DataFrame, columns: list[str], least: int = 10) -> DataFrame:

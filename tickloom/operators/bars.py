@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import in_order
+
 SCHEMA = "series long, bar_id long, ts_open timestamp, ts_close timestamp, open double, high double, low double, close double, volume double, cum_dollar double, vwap double, n_ticks long, threshold_used double"
 
 
@@ -15,36 +17,78 @@ def threshold_for(ticks: DataFrame, bars: int) -> DataFrame:
     return ticks.groupBy("series").agg(F.greatest(F.sum(F.col("price") * F.col("amount")) / bars, F.lit(1e-10)).alias("threshold"))
 
 
-def fold(price: np.ndarray, amount: np.ndarray, threshold: float, span: int | None = None, bounds: tuple[float, float] = (0.0, np.inf), keep_last: bool = False) -> list[tuple[int, int, float, float]]:
-    """(first row, row after the last, value, threshold) of each bar. With a ``span`` the threshold follows an average of bars' values."""
-    out, start, total, average = [], 0, 0.0, threshold
-    for i, value in enumerate((price * amount).tolist()):
-        total += value
-        if total >= threshold:
-            out.append((start, i + 1, total, threshold))
-            if span is not None:
-                alpha = 2.0 / (span + 1.0)
-                average = alpha * total + (1 - alpha) * average
-                threshold = min(max(average, bounds[0]), bounds[1])
-            start, total = i + 1, 0.0
-    if keep_last and start < len(price):
-        out.append((start, len(price), total, threshold))
-    return out
+def bounds_for(ticks: DataFrame, bars: int, factors: tuple[float, float] = (0.5, 2.0)) -> DataFrame:
+    """Per series the threshold and the least and largest one that an adaptive threshold may take; 1 for all without ticks or bars."""
+    total = F.sum(F.col("price") * F.col("amount")) / bars if bars > 0 else F.lit(1.0)
+    low = 1e-10
+    return ticks.groupBy("series").agg(F.greatest(total, F.lit(low)).alias("threshold"), F.greatest(total * factors[0], F.lit(low)).alias("least"), (total * factors[1]).alias("most"))
+
+
+class Fold:
+    """The open bar and the threshold of a series. Ticks come in runs of any length, in order; what is held does not grow."""
+
+    def __init__(self, threshold: float, span: int | None, bounds: tuple[float, float]) -> None:
+        self.threshold = self.average = threshold
+        self.span, self.bounds, self.bar, self.step = span, bounds, 0, 64
+        self.clear()
+
+    def clear(self) -> None:
+        self.n, self.value, self.volume, self.first, self.high, self.low, self.last, self.began, self.ended = 0, 0.0, 0.0, 0.0, -np.inf, np.inf, 0.0, None, None
+
+    def add(self, ts, p: np.ndarray, v: np.ndarray) -> None:
+        if not self.n:
+            self.first, self.began = p[0], ts[0]
+        self.n, self.volume, self.last, self.ended = self.n + len(p), self.volume + float(v.sum()), p[-1], ts[-1]
+        self.high, self.low = max(self.high, p.max()), min(self.low, p.min())
+
+    def close(self) -> tuple:
+        vwap = self.value / self.volume if self.volume > 0 else self.last
+        row = (self.bar, self.began, self.ended, self.first, self.high, self.low, self.last, self.volume, self.value, vwap, self.n, self.threshold)
+        if self.span is not None:  # the threshold follows an average of bars' values
+            alpha = 2.0 / (self.span + 1.0)
+            self.average = alpha * self.value + (1 - alpha) * self.average
+            self.threshold = min(max(self.average, self.bounds[0]), self.bounds[1])
+        self.bar, self.step = self.bar + 1, max(2 * self.n, 16)
+        self.clear()
+        return row
+
+    def feed(self, ts, p: np.ndarray, v: np.ndarray) -> list[tuple]:
+        """Bars that close in a run of ticks. A bar's value is summed tick by tick from its first, so it closes where a plain loop would close it."""
+        out, i, dollars = [], 0, p * v
+        while i < len(p):
+            sums = np.cumsum(np.concatenate([[self.value], dollars[i : i + self.step]]))[1:]
+            hit = np.flatnonzero(sums >= self.threshold)
+            k = int(hit[0]) + 1 if len(hit) else len(sums)
+            self.add(ts[i : i + k], p[i : i + k], v[i : i + k])
+            self.value = float(sums[k - 1])
+            if len(hit):
+                out.append(self.close())
+            i += k
+        return out
 
 
 def dollar_bars(ticks: DataFrame, bars: int = 20, adaptive: bool = False, span: int = 100, factors: tuple[float, float] = (0.5, 2.0), keep_last: bool = False) -> DataFrame:
-    """Bars of each series. The fold needs a series in order, so a series is one group; series run apart."""
-    rows = ticks.join(threshold_for(ticks, bars), "series").select("series", "seq", "ts", "price", "amount", "threshold")
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "seq"], kind="stable")
-        p, v, t = pdf["price"].to_numpy(), pdf["amount"].to_numpy(), float(pdf["threshold"].iloc[0])
-        found = fold(p, v, t, span if adaptive else None, (factors[0] * t, factors[1] * t), keep_last)
-        ts = pdf["ts"].to_numpy()
-        rows = []
-        for k, (a, b, value, used) in enumerate(found):
-            own, size = p[a:b], float(v[a:b].sum())
-            rows.append((pdf["series"].iloc[0], k, ts[a], ts[b - 1], own[0], own.max(), own.min(), own[-1], size, value, value / size if size > 0 else own[-1], b - a, used))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return rows.groupBy("series").applyInPandas(build, SCHEMA)
+    """Bars of each series; ticks with a null price, amount or time take no part.
+
+    A bar's start hangs on the end of the bar before, so a series is one stream in order; series run apart. A task holds a batch and the open bar, not the series.
+    """
+    known = ticks.dropna(subset=["ts", "price", "amount"])
+    rows = in_order(known.join(threshold_for(known, bars), "series").select("series", "seq", "ts", "price", "amount", "threshold"), "ts", "seq")
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches):
+        now, fold = None, None
+        for batch in batches:
+            out = []
+            for key, pdf in batch.groupby("series", sort=False, dropna=False):
+                if fold is None or key != now:
+                    if fold is not None and keep_last and fold.n:
+                        out.append((now, *fold.close()))
+                    t = float(pdf["threshold"].iloc[0])
+                    now, fold = key, Fold(t, span if adaptive else None, (factors[0] * t, factors[1] * t))
+                out += [(now, *bar) for bar in fold.feed(pdf["ts"].to_numpy(), pdf["price"].to_numpy(float), pdf["amount"].to_numpy(float))]
+            yield pd.DataFrame(out, columns=names)
+        if fold is not None and keep_last and fold.n:
+            yield pd.DataFrame([(now, *fold.close())], columns=names)
+
+    return rows.mapInPandas(run, SCHEMA)

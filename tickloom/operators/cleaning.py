@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import over
+
+
 def _by():
     return Window.partitionBy("series").orderBy("ts", "seq")
 
@@ -14,8 +17,8 @@ def drop_missing(df: DataFrame, required: tuple[str, ...] = ("ts", "price", "amo
 
 
 def first_of_each(df: DataFrame, key: tuple[str, ...] = ("series", "ts", "seq"), by: str = "seq") -> DataFrame:
-    """The first row of each key."""
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(by))).where("__n = 1").drop("__n")
+    """The first row of each key, by an aggregate that tasks prepare, so a key with many rows is no hot spot; nulls of a key are equal, of ``by`` first."""
+    return df.groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.min_by(F.struct(*df.columns), F.struct(by)).alias("__row")).select("__row.*")
 
 
 def in_range(df: DataFrame, start, end) -> DataFrame:
@@ -30,7 +33,7 @@ def drop_dust(df: DataFrame, least: float = 1e-10) -> DataFrame:
 def drop_jumps(df: DataFrame, most: float = 0.05) -> DataFrame:
     """Drop ticks that move by more than ``most`` from the tick before; the first stays."""
     before = F.lag("price").over(_by())
-    return df.withColumn("__c", F.abs(F.col("price") / before - 1)).where(F.col("__c").isNull() | (F.col("__c") <= most)).drop("__c")
+    return df.withColumn("__c", F.abs(over(F.col("price"), before) - 1)).where(F.col("__c").isNull() | (F.col("__c") <= most)).drop("__c")
 
 
 def drop_by_zscore(df: DataFrame, window: int = 1000, threshold: float = 6.0, least: int = 100) -> DataFrame:
@@ -56,8 +59,9 @@ def drop_by_mad(df: DataFrame, column: str = "price", threshold: float = 15.0, l
 def fill_forward(df: DataFrame, columns: list[str], by: str = "bar_id") -> DataFrame:
     """Nulls take the value before; a leading gap takes the first value after it."""
     w = Window.partitionBy("series").orderBy(by)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return df.withColumns({c: F.coalesce(F.last(c, True).over(back), F.first(c, True).over(ahead)) for c in columns})
+    # the first value of a series, found by an aggregate over the whole of it, fills its leading gap
+    back, whole = w.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("series")
+    return df.withColumns({c: F.coalesce(F.last(c, True).over(back), F.min_by(c, F.when(F.col(c).isNotNull(), F.col(by))).over(whole)) for c in columns})
 
 
 def fill_train_median(df: DataFrame, columns: list[str], split: str = "split") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import correlation, over
+
 
 def walk_forward(n: int, folds: int = 5, embargo: int = 0, least: int = 1) -> list[tuple[range, range]]:
     """Expanding train and the slice after it; ``embargo`` rows before a validation slice are left out."""
@@ -73,7 +75,7 @@ def class_weights(df: DataFrame, label: str = "label") -> DataFrame:
 
 def accuracy(df: DataFrame, truth: str, guess: str) -> DataFrame:
     """Accuracy and Matthews correlation of 0/1 columns."""
-    return df.agg(F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy"), F.corr(F.col(truth).cast("double"), F.col(guess).cast("double")).alias("mcc"))
+    return df.agg(F.avg((F.col(truth) == F.col(guess)).cast("double")).alias("accuracy"), correlation(truth, guess).alias("mcc"))
 
 
 def sign_errors(df: DataFrame, truth: str, guess: str) -> DataFrame:
@@ -110,7 +112,7 @@ def trading_summary(df: DataFrame, position: str, capital: float = 10_000.0, cos
     win, loss = F.sum(held(F.greatest("trade", F.lit(0.0)))), -F.sum(held(F.least("trade", F.lit(0.0))))
     deepest = F.max(F.struct("dd", (-F.col(by)).alias("i"), "peak"))
     n, sd = F.count(held(F.lit(1))), F.stddev_samp(held(F.col("own")))
-    return rows.groupBy("series").agg(n.alias("n_trades"), F.count(F.when(F.col("held") & (F.col("trade") > 0), 1)).alias("n_profitable"), F.coalesce(F.avg(held((F.col("trade") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"), F.sum(held(F.col("gross"))).alias("gross_pnl"), F.sum(held(F.col("trade"))).alias("net_pnl"), F.sum(held(F.abs("gross") * cost)).alias("total_costs"), F.when(sd > 0, F.avg(held(F.col("own"))) / sd * per_year**0.5).alias("sharpe"), deepest["dd"].alias("max_drawdown"), (100 * deepest["dd"] / deepest["peak"]).alias("max_drawdown_pct"), F.when(loss > 0, win / loss).alias("profit_factor"))
+    return rows.groupBy("series").agg(n.alias("n_trades"), F.count(F.when(F.col("held") & (F.col("trade") > 0), 1)).alias("n_profitable"), F.coalesce(F.avg(held((F.col("trade") > 0).cast("double"))), F.lit(0.0)).alias("win_rate"), F.sum(held(F.col("gross"))).alias("gross_pnl"), F.sum(held(F.col("trade"))).alias("net_pnl"), F.sum(held(F.abs("gross") * cost)).alias("total_costs"), F.when(sd > 0, F.avg(held(F.col("own"))) / sd * per_year**0.5).alias("sharpe"), deepest["dd"].alias("max_drawdown"), (100 * over(deepest["dd"], deepest["peak"])).alias("max_drawdown_pct"), F.when(loss > 0, win / loss).alias("profit_factor"))
 
 
 def markov(train: DataFrame, df: DataFrame, label: str = "label", by: str = "bar_id") -> DataFrame:

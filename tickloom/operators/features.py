@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import from_row, full, last, order, previous, row, so_far
+from ..functions.frames import from_row, full, last, order, over, previous, row, so_far
+
 
 def R() -> Column:
     return F.col("log_return")
@@ -86,8 +87,8 @@ def range_volatility(bars: DataFrame, windows=(5, 10, 20)) -> DataFrame:
     """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang volatility, range and body ratios. Terms with a price of 0 or less are null."""
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     good = (o > 0) & (h > 0) & (lo > 0) & (c > 0)
-    hl, co = F.log(h / lo), F.log(c / o)
-    rows = bars.withColumns({"__pk": F.when((h > 0) & (lo > 0), hl * hl / (4 * math.log(2))), "__gk": F.when(good, 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co), "__rs": F.when(good, F.log(h / c) * F.log(h / o) + F.log(lo / c) * F.log(lo / o)), "__on": F.log(o / F.lag("close").over(order())), "__co": F.when(good, co)})
+    hl, co = F.log(over(h, lo)), F.log(over(c, o))
+    rows = bars.withColumns({"__pk": F.when((h > 0) & (lo > 0), hl * hl / (4 * math.log(2))), "__gk": F.when(good, 0.5 * hl * hl - (2 * math.log(2) - 1) * co * co), "__rs": F.when(good, F.log(over(h, c)) * F.log(over(h, o)) + F.log(over(lo, c)) * F.log(over(lo, o))), "__on": F.log(over(o, F.lag("close").over(order()))), "__co": F.when(good, co)})
     floor, out = lambda x: F.when(x.isNotNull(), F.sqrt(F.greatest(x, F.lit(0.0)))), {}
     for k in windows:
         w = last(k)
@@ -95,7 +96,7 @@ def range_volatility(bars: DataFrame, windows=(5, 10, 20)) -> DataFrame:
         kappa = 0.34 / (1.34 + (k + 1) / (k - 1))
         yz = F.var_samp("__on").over(w) + kappa * F.var_samp("__co").over(w) + (1 - kappa) * F.avg("__rs").over(w)
         out |= {f"parkinson_vol_{k}": F.sqrt(mean("__pk")), f"garman_klass_vol_{k}": floor(mean("__gk")), f"rogers_satchell_vol_{k}": floor(mean("__rs")), f"yang_zhang_vol_{k}": F.when((row() > k) & (F.count("__on").over(w) >= 2), floor(yz))}
-    out |= {"range_ratio": F.when(c > 0, (h - lo) / c), "body_ratio": F.when(c > 0, F.when(h - lo > 1e-10, F.abs(c - o) / (h - lo)).otherwise(0.0))}
+    out |= {"range_ratio": F.when(c > 0, over(h - lo, c)), "body_ratio": F.when(c > 0, F.when(h - lo > 1e-10, over(F.abs(c - o), h - lo)).otherwise(0.0))}
     return rows.withColumns(out).drop("__pk", "__gk", "__rs", "__on", "__co")
 
 
@@ -105,7 +106,7 @@ def order_flow(bars: DataFrame, window: int = 50) -> DataFrame:
     rows = bars.withColumns({"__d": C() - F.lag("close").over(order()), "__v": b - s})
     total = F.sum(b + s).over(w)
     spread = F.var_pop("__v").over(w) * window
-    cols = {f"vpin_{window}": F.when((row() >= window) & (total > 0), F.sum(F.abs(b - s)).over(w) / total), f"kyle_lambda_{window}": F.when((F.count("__d").over(w) >= window) & (spread >= 1e-10), F.covar_pop("__v", "__d").over(w) / F.var_pop("__v").over(w))}
+    cols = {f"vpin_{window}": F.when((row() >= window) & (total > 0), over(F.sum(F.abs(b - s)).over(w), total)), f"kyle_lambda_{window}": F.when((F.count("__d").over(w) >= window) & (spread >= 1e-10), over(F.covar_pop("__v", "__d").over(w), F.var_pop("__v").over(w)))}
     return rows.withColumns(cols).drop("__d", "__v")
 
 
@@ -123,8 +124,8 @@ def drawdowns(bars: DataFrame, crashes=(0.05, 0.10, 0.20)) -> DataFrame:
     top, low = F.max(C()).over(w), F.min(C()).over(w)
     rows = bars.withColumns({"rolling_max": top, "rolling_min": low})
     rows = rows.withColumns({"__t": F.when(F.coalesce(C() > F.lag("rolling_max").over(order()), F.lit(True)), F.col("bar_id")), "__l": F.when(F.coalesce(C() < F.lag("rolling_min").over(order()), F.lit(True)), F.col("bar_id"))})
-    dd = C() / F.col("rolling_max") - 1
-    cols = {"drawdown": dd, "drawup": C() / F.col("rolling_min") - 1, "bars_since_high": F.col("bar_id") - F.last("__t", True).over(w), "bars_since_low": F.col("bar_id") - F.last("__l", True).over(w)}
+    dd = over(C(), F.col("rolling_max")) - 1
+    cols = {"drawdown": dd, "drawup": over(C(), F.col("rolling_min")) - 1, "bars_since_high": F.col("bar_id") - F.last("__t", True).over(w), "bars_since_low": F.col("bar_id") - F.last("__l", True).over(w)}
     return rows.withColumns(cols | {f"crash_{round(100 * x)}pct": (dd <= -x).cast("int") for x in crashes}).drop("__t", "__l")
 
 
@@ -168,7 +169,7 @@ def entropy(bars: DataFrame, window: int = 50, bins: int = 10) -> DataFrame:
     w = last(window)
     rows = bars.withColumns({"__x": F.collect_list("log_return").over(w)})
     low, high, n = F.array_min("__x"), F.array_max("__x"), F.size("__x")
-    bin_of = F.transform("__x", lambda v: F.least(F.floor((v - low) / (high - low) * bins), F.lit(bins - 1)))
+    bin_of = F.transform("__x", lambda v: F.least(F.floor(over(v - low, high - low) * bins), F.lit(bins - 1)))
     share = lambda b: F.size(F.filter(bin_of, lambda v: v == b)) / n
     terms = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.when(share(b) > 0, -share(b) * F.log(share(b))).otherwise(0.0))
     value = F.when((row() < window) | (n < window // 2), F.lit(None)).when(high == low, 0.0).otherwise(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t))

@@ -1,6 +1,6 @@
 """Technical indicators of bars (series, bar_id, open, high, low, close, volume).
 
-Windowed ones share a sort. Exponential and Wilder averages are recursions: ``smooth`` folds each series once for all of
+Windowed ones share a sort. Exponential and Wilder averages are recursions: ``smooth`` streams each series once for all of
 an indicator family. A value is null until its window is full, or its average has seen as many values as its length.
 """
 
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.frames import full, last, order, row, so_far
+from ..functions.frames import full, in_order, last, order, over, row, so_far
+
 
 def _cols() -> tuple[Column, ...]:
     return tuple(F.col(c) for c in ("high", "low", "close", "volume"))
@@ -39,18 +40,29 @@ Step = tuple[str, str | Callable[[pd.DataFrame], pd.Series], float | None]
 def smooth(bars: DataFrame, steps: list[Step]) -> DataFrame:
     """Add columns step by step: y = a * x + (1 - a) * y over a series in order, from its first x on; nulls keep y.
 
-    A step is (name, x, a); x is a column, also one of an earlier step, or a function of the rows; without a, y is x.
+    A step is (name, x, a); x is a column, also one of an earlier step, or a function of single rows; without a, y is x. Rows stream in order;
+    what is held is a batch and each average's last value.
     """
     shape = StructType([*bars.schema.fields, *[StructField(n, DoubleType()) for n, _, _ in steps]])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_id", kind="stable")
-        for name, source, a in steps:
-            x = (pdf[source] if isinstance(source, str) else source(pdf)).astype(float)
-            pdf[name] = x if a is None else x.ewm(alpha=a, adjust=False, ignore_na=True).mean()
-        return pdf
+    def average(x: pd.Series, a: float, before: float) -> pd.Series:
+        known = pd.concat([pd.Series([before]), x])
+        return known.ewm(alpha=a, adjust=False, ignore_na=True).mean().iloc[1:]
+
+    def run(batches):
+        now, held = None, {}
+        for batch in batches:
+            for key, pdf in batch.groupby("series", sort=False, dropna=False):
+                if key != now:
+                    now, held = key, {}
+                pdf = pdf.copy()
+                for name, source, a in steps:
+                    x = (pdf[source] if isinstance(source, str) else source(pdf)).astype(float)
+                    pdf[name] = x if a is None else average(x, a, held.get(name, float("nan")))
+                    held[name] = pdf[name].iloc[-1]
+                yield pdf
 
-    return bars.groupBy("series").applyInPandas(run, shape)
+    return in_order(bars).mapInPandas(run, shape)
 
 
 def _seen(x: str, n: int, value: Column) -> Column:
@@ -75,17 +87,17 @@ def momentum_indicators(bars: DataFrame) -> DataFrame:
     rows = rows.withColumns({"__dtp": F.col("__tp") - _before("__tp"), "__up": F.greatest("__d", F.lit(0.0)), "__down": F.greatest(-F.col("__d"), F.lit(0.0)), "__bp": c - F.least("low", "__pc"), "__tr": F.greatest("high", "__pc") - F.least("low", "__pc")})
     rows = rows.withColumns({"__up": F.when(F.col("__d").isNotNull(), F.col("__up")), "__down": F.when(F.col("__d").isNotNull(), F.col("__down"))})
     steps: list[Step] = [(f"__{k}{n}", f"__{k}", 1 / n) for n in (14, 7) for k in ("up", "down")]
-    steps += [("__e12", "close", 2 / 13), ("__e26", "close", 2 / 27), ("__macd", lambda p: p["__e12"] - p["__e26"], None), ("__ms", "__macd", 0.2), ("__ppo", lambda p: 100 * p["__macd"] / p["__e26"], None), ("__ps", "__ppo", 0.2)]
+    steps += [("__e12", "close", 2 / 13), ("__e26", "close", 2 / 27), ("__macd", lambda p: p["__e12"] - p["__e26"], None), ("__ms", "__macd", 0.2), ("__ppo", lambda p: 100 * p["__macd"] / p["__e26"].where(p["__e26"] != 0), None), ("__ps", "__ppo", 0.2)]
     rows = smooth(rows, steps)
     high, low = F.max("high").over(last(14)), F.min("low").over(last(14))
     ready = F.count("close").over(last(14)) >= 14
     rows = rows.withColumn("stoch_k", F.when(ready, 100 * _over(c - low, high - low)))
-    share = lambda n: full(F.sum, F.col("__bp"), n) / F.sum("__tr").over(last(n))
-    out = {f"rsi_{n}": _seen("__d", n, F.when(F.col(f"__down{n}") == 0, 100.0).otherwise(100 - 100 / (1 + F.col(f"__up{n}") / F.col(f"__down{n}")))) for n in (14, 7)}
+    share = lambda n: over(full(F.sum, F.col("__bp"), n), F.sum("__tr").over(last(n)))
+    out = {f"rsi_{n}": _seen("__d", n, F.when(F.col(f"__down{n}") == 0, 100.0).otherwise(100 - 100 / (1 + over(F.col(f"__up{n}"), F.col(f"__down{n}"))))) for n in (14, 7)}
     for name, x, s in (("macd", "__macd", "__ms"), ("ppo", "__ppo", "__ps")):
         out |= {name: _seen("close", 26, F.col(x)), f"{name}_signal": _seen("close", 34, F.col(s)), f"{name}_diff": _seen("close", 34, F.col(x) - F.col(s))}
     out |= {"stoch_d": full(F.avg, F.col("stoch_k"), 3), "williams_r": F.when(ready, -100 * _over(high - c, high - low))}
-    out |= {f"roc_{n}": 100 * (c / F.lag("close", n).over(order()) - 1) for n in (10, 20)}
+    out |= {f"roc_{n}": 100 * (over(c, F.lag("close", n).over(order())) - 1) for n in (10, 20)}
     out |= {"awesome": full(F.avg, F.col("__mid"), 5) - full(F.avg, F.col("__mid"), 34), "ultimate": 100 * (4 * share(7) + 2 * share(14) + share(28)) / 7, "mfi_14": money_flow()}
     return _plain(rows.withColumns(out))
 
@@ -94,7 +106,7 @@ def volatility_indicators(bars: DataFrame) -> DataFrame:
     """Bollinger (20, 2), Keltner (20) and Donchian (20) bands with width and place, ATR (14, 7), ulcer index (14)."""
     h, lo, c, _ = _cols()
     rows = bars.withColumns({"__pc": _before("close"), "__top": F.max("close").over(last(14))})
-    rows = rows.withColumns({"__tr": F.greatest(h - lo, F.abs(h - F.col("__pc")), F.abs(lo - F.col("__pc"))), "__fall": 100 * (c / F.col("__top") - 1)})
+    rows = rows.withColumns({"__tr": F.greatest(h - lo, F.abs(h - F.col("__pc")), F.abs(lo - F.col("__pc"))), "__fall": 100 * (over(c, F.col("__top")) - 1)})
     rows = smooth(rows, [(f"__atr{n}", "__tr", 1 / n) for n in (14, 7)])
     mean, std = full(F.avg, c, 20), full(F.stddev_pop, c, 20)
     bands = {"bb": (mean - 2 * std, mean, mean + 2 * std), "kc": (full(F.avg, (4 * lo - 2 * h + c) / 3, 20), full(F.avg, _typical(), 20), full(F.avg, (4 * h - 2 * lo + c) / 3, 20))}
@@ -102,7 +114,7 @@ def volatility_indicators(bars: DataFrame) -> DataFrame:
     bands["dc"] = (low, low + (high - low) / 2, high)
     out = {}
     for k, (low, mid, high) in bands.items():
-        out |= {f"{k}_low": low, f"{k}_mid": mid, f"{k}_high": high, f"{k}_width": 100 * (high - low) / (F.avg("close").over(last(20)) if k == "dc" else mid), f"{k}_place": _over(c - low, high - low)}
+        out |= {f"{k}_low": low, f"{k}_mid": mid, f"{k}_high": high, f"{k}_width": 100 * over(high - low, F.avg("close").over(last(20)) if k == "dc" else mid), f"{k}_place": _over(c - low, high - low)}
     out |= {f"atr_{n}": _seen("__tr", n, F.col(f"__atr{n}")) for n in (14, 7)} | {"ulcer": F.sqrt(full(F.avg, F.col("__fall") ** 2, 14))}
     return _plain(rows.withColumns(out))
 
@@ -128,8 +140,8 @@ def trend_indicators(bars: DataFrame) -> DataFrame:
         mean = F.col(f"__a{n}")
         spread = F.aggregate(F.transform(f"__l{n}", lambda x: F.abs(x - mean)), F.lit(0.0), lambda a, x: a + x) / n  # noqa: B023
         out[f"cci_{n}"] = _over(F.col("__tp") - F.col(f"__a{n}"), 0.015 * spread)
-    out |= {"trix": 100 * _seen("close", 43, F.col("__t3") / F.lag("__t3").over(order()) - 1), "mass_index": F.when(row() >= 41, full(F.sum, F.col("__mass"), 25))}
-    out |= {f"vortex_{k}": full(F.sum, F.col(x), 14) / F.sum("__tr").over(last(14)) for k, x in (("plus", "__vp"), ("minus", "__vm"))}
+    out |= {"trix": 100 * _seen("close", 43, over(F.col("__t3"), F.lag("__t3").over(order())) - 1), "mass_index": F.when(row() >= 41, full(F.sum, F.col("__mass"), 25))}
+    out |= {f"vortex_{k}": over(full(F.sum, F.col(x), 14), F.sum("__tr").over(last(14))) for k, x in (("plus", "__vp"), ("minus", "__vm"))}
     mid = lambda n: (full(F.max, h, n) + full(F.min, lo, n)) / 2
     out |= {"dpo": F.lag("close", 11).over(order()) - full(F.avg, c, 20), "ichimoku_conversion": mid(9), "ichimoku_base": mid(26), "ichimoku_a": (mid(9) + mid(26)) / 2, "ichimoku_b": mid(52)}
     return _plain(rows.withColumns(out))
@@ -138,8 +150,8 @@ def trend_indicators(bars: DataFrame) -> DataFrame:
 def volume_indicators(bars: DataFrame) -> DataFrame:
     """OBV, CMF (20), accumulation/distribution, ease of movement with mean (14), force index (13), MFI (14), negative volume index, cumulative VWAP."""
     h, lo, c, v = _cols()
-    rows = bars.withColumns({"__d": c - _before("close"), "__pc": _before("close"), "__pv": _before("volume"), "__tp": _typical(), "__mf": F.when(h == lo, 0.0).otherwise((2 * c - h - lo) / (h - lo)) * v, "__dm": (h + lo) / 2 - F.lag((h + lo) / 2).over(order())})
-    rows = rows.withColumns({"__dtp": F.col("__tp") - _before("__tp"), "__f": F.col("__d") * v, "emv": F.col("__dm") * _over(h - lo, v), "__n": F.when(v < F.col("__pv"), F.log(c / F.col("__pc"))).otherwise(0.0)})
+    rows = bars.withColumns({"__d": c - _before("close"), "__pc": _before("close"), "__pv": _before("volume"), "__tp": _typical(), "__mf": F.when(h == lo, 0.0).otherwise(over(2 * c - h - lo, h - lo)) * v, "__dm": (h + lo) / 2 - F.lag((h + lo) / 2).over(order())})
+    rows = rows.withColumns({"__dtp": F.col("__tp") - _before("__tp"), "__f": F.col("__d") * v, "emv": F.col("__dm") * _over(h - lo, v), "__n": F.when(v < F.col("__pv"), F.log(over(c, F.col("__pc")))).otherwise(0.0)})
     rows = smooth(rows, [("__force", "__f", 1 / 7)])
     w = so_far()
     out = {"obv": F.sum(F.coalesce(F.signum("__d"), F.lit(0.0)) * v).over(w), "cmf_20": _over(full(F.sum, F.col("__mf"), 20), F.sum("volume").over(last(20))), "adi": F.sum("__mf").over(w), "emv_14": full(F.avg, F.col("emv"), 14), "force_13": _seen("__f", 13, F.col("__force"))}

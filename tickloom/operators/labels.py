@@ -7,25 +7,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import in_order, over
+
 
 def ewm_volatility(bars: DataFrame, span: int = 100, least: int = 10) -> DataFrame:
-    """Bias-corrected deviation of exponentially weighted returns; a fold of four sums over each series in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_id")
-        keep, w, w2, m, s, n, out = 1 - 2.0 / (span + 1), 0.0, 0.0, 0.0, 0.0, 0, []
-        for r in pdf["log_return"].to_numpy():
-            w, w2 = w * keep, w2 * keep * keep
-            s *= keep
-            if not np.isnan(r):
-                w, w2, n = w + 1, w2 + 1, n + 1
-                d = r - m
-                m += d / w
-                s += d * (r - m)
-            out.append(float(np.sqrt(s / w * w * w / (w * w - w2))) if n >= max(least, 2) and w * w > w2 else None)
-        return pd.DataFrame({"series": pdf["series"], "bar_id": pdf["bar_id"], "vol": out})
-
-    found = bars.select("series", "bar_id", "log_return").groupBy("series").applyInPandas(run, "series long, bar_id long, vol double")
+    """Bias-corrected deviation of exponentially weighted returns; four sums that stream along each series in order."""
+
+    def run(batches):
+        now, keep = None, 1 - 2.0 / (span + 1)
+        w = w2 = m = s = 0.0
+        n = 0
+        for batch in batches:
+            out = []
+            for key, r in zip(batch["series"], batch["log_return"]):
+                if key != now:
+                    now, w, w2, m, s, n = key, 0.0, 0.0, 0.0, 0.0, 0
+                w, w2, s = w * keep, w2 * keep * keep, s * keep
+                if r == r:
+                    w, w2, n = w + 1, w2 + 1, n + 1
+                    d = r - m
+                    m += d / w
+                    s += d * (r - m)
+                out.append(float(np.sqrt(s / w * w * w / (w * w - w2))) if n >= max(least, 2) and w * w > w2 else None)
+            yield pd.DataFrame({"series": batch["series"], "bar_id": batch["bar_id"], "vol": pd.Series(out, index=batch.index, dtype=float)})
+
+    found = in_order(bars.select("series", "bar_id", "log_return")).mapInPandas(run, "series long, bar_id long, vol double")
     return bars.join(found, ["series", "bar_id"])
 
 
@@ -37,7 +43,7 @@ def triple_barrier(bars: DataFrame, vol: str, up: float = 1.5, down: float = 1.0
     """
     w = Window.partitionBy("series").orderBy("bar_id").rowsBetween(1, hold)
     rows = bars.where(F.col("close").isNotNull()).withColumn("__p", F.collect_list("close").over(w)).where(F.col(vol).isNotNull() & (F.size("__p") > 0))
-    rows = rows.withColumn("__r", F.transform("__p", lambda p: p / F.col("close") - 1))
+    rows = rows.withColumn("__r", F.transform("__p", lambda p: over(p, F.col("close")) - 1))
     hit = F.filter(F.transform("__r", lambda r, i: F.when((r >= up * F.col(vol)) | (r <= -down * F.col(vol)), i)), lambda i: i.isNotNull())
     at = F.when(F.size(hit) > 0, hit[0]).otherwise(F.size("__p") - 1)
     rows = rows.withColumn("__at", at).withColumns({"t1": F.col("bar_id") + F.col("__at") + 1, "ret": F.get("__r", F.col("__at"))})
@@ -49,10 +55,37 @@ def class_shares(labelled: DataFrame) -> DataFrame:
 
 
 def economics(labelled: DataFrame, cost: float = 0.01) -> DataFrame:
-    """Of trades with a label other than 0: number, net return, win rate, Sharpe."""
+    """Of trades with a label other than 0: number, net return, win rate, Sharpe (null where all trades are equal)."""
     net = F.col("label") * F.col("ret") - cost * F.abs("ret")
     trades = labelled.where("label <> 0").select(net.alias("net"))
-    return trades.agg(F.count("*").alias("n_trades"), F.sum("net").alias("total_return"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), (F.avg("net") / F.stddev_samp("net") * F.sqrt(F.count("*"))).alias("sharpe"))
+    return trades.agg(F.count("*").alias("n_trades"), F.sum("net").alias("total_return"), F.avg((F.col("net") > 0).cast("double")).alias("win_rate"), (over(F.avg("net"), F.stddev_samp("net")) * F.sqrt(F.count("*"))).alias("sharpe"))
+
+
+def vertical_barriers(bars: DataFrame, events: DataFrame, hold: int) -> DataFrame:
+    """t1 of each event (series, bar_id): the bar ``hold`` rows later, or the last of the series; null where the event has no bar."""
+    w = Window.partitionBy("series").orderBy("bar_id")
+    ends = bars.select("series", "bar_id", F.coalesce(F.lead("bar_id", hold).over(w), F.max("bar_id").over(Window.partitionBy("series"))).alias("t1"))
+    return events.drop("t1").join(ends, ["series", "bar_id"], "left")
+
+
+def side_barriers(events: DataFrame, up: float, down: float, vol: str = "vol", side: str = "side") -> DataFrame:
+    """pt and sl, the barriers of an event in the direction of its side."""
+    return events.withColumns({"pt": up * F.col(vol) * F.col(side), "sl": -down * F.col(vol) * F.col(side)})
+
+
+def first_touch(bars: DataFrame, events: DataFrame, hold: int, side: str = "side") -> DataFrame:
+    """For events with pt and sl (``side_barriers``): touch, the first of at most ``hold`` bars after each where the return
+    reaches a barrier; t1, it or the last bar of the path; ret there; meta_label: whether ret goes with the side. A side of 1 takes profit from above, any other from
+    below; a barrier on the wrong side of 0 is never touched. Events without a path go."""
+    w = Window.partitionBy("series").orderBy("bar_id").rowsBetween(1, hold)
+    paths = bars.where(F.col("close").isNotNull()).select("series", "bar_id", F.transform(F.collect_list(F.struct("bar_id", "close")).over(w), lambda p: F.struct(p["bar_id"].alias("t"), (over(p["close"], F.col("close")) - 1).alias("r"))).alias("__p"))
+    rows = events.join(paths, ["series", "bar_id"]).where("size(__p) > 0")
+    pt, sl, r = F.col("pt"), F.col("sl"), lambda p: p["r"]
+    long = lambda p: ((pt > 0) & (r(p) >= pt)) | ((sl < 0) & (r(p) <= sl))
+    short = lambda p: ((pt < 0) & (r(p) <= pt)) | ((sl > 0) & (r(p) >= sl))
+    hits = F.filter("__p", lambda p: F.coalesce(F.when(F.col(side) == 1, long(p)).otherwise(short(p)), F.lit(False)))
+    rows = rows.withColumn("__hit", F.get(hits, F.lit(0))).withColumn("__end", F.coalesce("__hit", F.element_at("__p", -1)))
+    return rows.withColumns({"touch": F.col("__hit.t"), "t1": F.col("__end.t"), "ret": F.col("__end.r")}).withColumn("meta_label", F.coalesce(F.col("ret") * F.col(side) > 0, F.lit(False)).cast("int")).drop("__p", "__hit", "__end")
 
 
 def meta_label(labelled: DataFrame, side: str = "side") -> DataFrame:

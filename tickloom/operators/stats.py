@@ -6,6 +6,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import correlation, over
+from ..functions.lineage import cut
+
 
 def pairs(columns: list[str]) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
@@ -13,33 +16,38 @@ def pairs(columns: list[str]) -> list[tuple[str, str]]:
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, corr) of every pair of columns, from one aggregate."""
-    flat = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs(columns)])
+    flat = df.agg(*[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs(columns)])
     return flat.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("corr")) for a, b in pairs(columns)])).alias("x")).select("x.*")
 
 
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Average ranks of each column. Counts by value come first, so a run of equal values is one row of the window.
+    """Average ranks of each column; nulls have none.
 
-    The window runs over distinct values in one order; its running sum is the only part that isn't parallel.
+    Counts by value come first, so a run of equal values is one row. Values are dealt to ranges; a range's rows count from the sum of
+    the ranges before it, so no task sees all values.
     """
     for c in columns:
         n = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("__n"))
-        ranks = n.select("__v", (F.sum("__n").over(Window.orderBy("__v")) - (F.col("__n") - 1) / 2).alias(f"{c}_rank"))
+        dealt = cut(n.repartitionByRange("__v").withColumn("__p", F.spark_partition_id()))
+        sums = dealt.groupBy("__p").agg(F.sum("__n").alias("__s"))
+        before = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__before"))  # one row a range
+        own = F.sum("__n").over(Window.partitionBy("__p").orderBy("__v"))
+        ranks = dealt.join(F.broadcast(before), "__p").select("__v", (F.col("__before") + own - (F.col("__n") - 1) / 2).alias(f"{c}_rank"))
         df = df.join(ranks, df[c] == ranks["__v"], "left").drop("__v")
     return df
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = average_ranks(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b), [a, b])
-    return rows.agg(F.corr(f"{a}_rank", f"{b}_rank").alias("spearman"))
+    return rows.agg(correlation(f"{a}_rank", f"{b}_rank").alias("spearman"))
 
 
 def f_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """r squared over (1 - r squared), times n - 2."""
+    """r squared over (1 - r squared), times n - 2; null for a constant column or r of 1 or -1."""
     n = F.count("*")
-    flat = df.dropna(subset=[*columns, target]).agg(n.alias("n"), *[F.corr(c, target).alias(c) for c in columns])
+    flat = df.dropna(subset=[*columns, target]).agg(n.alias("n"), *[correlation(c, target).alias(c) for c in columns])
     rows = flat.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("r")) for c in columns])).alias("x")).select("x.feature", "x.r", "n")
-    return rows.select("feature", "r", (F.col("r") ** 2 / (1 - F.col("r") ** 2) * (F.col("n") - 2)).alias("f_score"))
+    return rows.select("feature", "r", (over(F.col("r") ** 2, 1 - F.col("r") ** 2) * (F.col("n") - 2)).alias("f_score"))
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -51,34 +59,53 @@ def vif(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def autocorrelation(df: DataFrame, column: str, most: int = 10, by: str = "bar_id") -> DataFrame:
-    """(series, lag, acf): biased, around the whole mean."""
+    """(series, lag, acf): biased, around the whole mean; null for a constant series."""
     whole = df.where(F.col(column).isNotNull()).withColumn("__d", F.col(column) - F.avg(column).over(Window.partitionBy("series")))
     w = Window.partitionBy("series").orderBy(by)
     rows = whole.withColumns({f"__{k}": F.col("__d") * F.lag("__d", k).over(w) for k in range(1, most + 1)})
     sums = rows.groupBy("series").agg(F.sum(F.col("__d") ** 2).alias("s"), *[F.sum(f"__{k}").alias(str(k)) for k in range(1, most + 1)])
-    return sums.select("series", F.posexplode(F.array(*[F.col(f"`{k}`") / F.col("s") for k in range(1, most + 1)])).alias("i", "acf")).select("series", (F.col("i") + 1).alias("lag"), "acf")
+    return sums.select("series", F.posexplode(F.array(*[over(F.col(f"`{k}`"), F.col("s")) for k in range(1, most + 1)])).alias("i", "acf")).select("series", (F.col("i") + 1).alias("lag"), "acf")
 
 
 def ljung_box(df: DataFrame, column: str, most: int = 10) -> DataFrame:
     n = df.where(F.col(column).isNotNull()).groupBy("series").agg(F.count("*").alias("n"))
-    return autocorrelation(df, column, most).join(n, "series").groupBy("series").agg((F.first("n") * (F.first("n") + 2) * F.sum(F.col("acf") ** 2 / (F.col("n") - F.col("lag")))).alias("q"))
+    return autocorrelation(df, column, most).join(n, "series").groupBy("series").agg((F.first("n") * (F.first("n") + 2) * F.sum(over(F.col("acf") ** 2, F.col("n") - F.col("lag")))).alias("q"))
 
 
 def jarque_bera(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy("series").agg((F.count(column) / 6 * (F.skewness(column) ** 2 + F.kurtosis(column) ** 2 / 4)).alias("jb"))
 
 
+def rises_and_falls(rows: DataFrame, sums: dict[str, str] | None = None) -> DataFrame:
+    """Of ``rows(series, i, r, ...)``, r a rank from 0: for each row and bit of r the rows of the series before it (less i) that part from r at that bit.
+
+    Two ranks differ first at one bit: under equal higher bits, the larger has a 1 there and the smaller a 0. So each pair with different i and r is counted
+    once, from running sums over groups of equal higher bits; there are n log n rows and no pairs. Adds ``up`` (1 if the rows before
+    are the smaller ones), ``met``, their number, and for each (name, column) of ``sums`` the column's sum over them.
+    """
+    top = rows.agg(F.max("r")).first()[0]
+    bits = max(int(top or 0).bit_length(), 1)
+    each = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).withColumn("__bit", F.expr("shiftright(r, __b) & 1"))
+    w = Window.partitionBy("series", "__b", F.expr("shiftright(r, __b + 1)")).orderBy("i").rangeBetween(Window.unboundedPreceding, -1)
+    other = lambda c: F.coalesce(F.when(F.col("__bit") == 1, F.sum(F.when(F.col("__bit") == 0, c)).over(w)).otherwise(F.sum(F.when(F.col("__bit") == 1, c)).over(w)), F.lit(0))
+    return each.withColumns({"up": F.col("__bit"), "met": other(F.lit(1))} | {k: other(F.col(c)) for k, c in (sums or {}).items()}).drop("__b", "__bit")
+
+
+def dense_rank(by: str):
+    return F.dense_rank().over(Window.partitionBy("series").orderBy(by)) - 1
+
+
 def mann_kendall(df: DataFrame, column: str, by: str = "bar_id") -> DataFrame:
-    """S: concordant less discordant pairs in time, for series of bounded length (an even subsample is taken of longer ones by the caller)."""
-    a = df.select("series", F.col(by).alias("i"), F.col(column).alias("x")).where("x is not null")
-    b = a.select("series", F.col("i").alias("j"), F.col("x").alias("y"))
-    return a.join(b, "series").where("i < j").groupBy("series").agg(F.sum(F.signum(F.col("y") - F.col("x"))).cast("long").alias("s"))
+    """S: concordant less discordant pairs in time, counted without making pairs; nulls take no part."""
+    rows = df.where(F.col(column).isNotNull()).select("series", F.col(by).cast("long").alias("i"), F.col(column).alias("x"))
+    met = rises_and_falls(rows.select("series", "i", dense_rank("x").alias("r")))
+    return met.groupBy("series").agg(F.sum(F.when(F.col("up") == 1, F.col("met")).otherwise(-F.col("met"))).cast("long").alias("s"))
 
 
 def rolling_correlation(df: DataFrame, a: str, b: str, k: int = 50, by: str = "bar_id") -> DataFrame:
     w = Window.partitionBy("series").orderBy(by).rowsBetween(-(k - 1), 0)
     both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)
-    return df.withColumn(f"corr_w{k}", F.when(F.count(both).over(w) >= k, F.coalesce(F.nanvl(F.corr(a, b).over(w), F.lit(0.0)), F.lit(0.0))))
+    return df.withColumn(f"corr_w{k}", F.when(F.count(both).over(w) >= k, F.coalesce(F.nanvl(correlation(a, b, w), F.lit(0.0)), F.lit(0.0))))
 
 
 def stability(df: DataFrame, column: str, periods: int = 10, by: str = "bar_id") -> DataFrame:
@@ -91,5 +118,5 @@ def stability(df: DataFrame, column: str, periods: int = 10, by: str = "bar_id")
 
 def quality(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: share of nulls, constant or not, largest absolute z."""
-    flat = df.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).isNull().cast("double")).alias("null_share"), (F.coalesce(F.var_samp(c), F.lit(0.0)) == 0).alias("constant"), F.greatest((F.max(c) - F.avg(c)) / F.stddev_samp(c), (F.avg(c) - F.min(c)) / F.stddev_samp(c)).alias("max_z")).alias(c) for c in columns])
+    flat = df.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).isNull().cast("double")).alias("null_share"), (F.coalesce(F.var_samp(c), F.lit(0.0)) == 0).alias("constant"), over(F.greatest(F.max(c) - F.avg(c), F.avg(c) - F.min(c)), F.stddev_samp(c)).alias("max_z")).alias(c) for c in columns])
     return flat.select(F.explode(F.array(*columns)).alias("x")).select("x.*")

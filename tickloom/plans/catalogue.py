@@ -67,7 +67,7 @@ def _bar_sql(named: dict[str, str], extra: str = "", source: str = "bars") -> st
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = B.dollar_bars(_ticks(spark, sf_dir).withColumn("series", F.lit(0).cast("long")))
-    return found.withColumn("log_return", F.log(F.col("close") / F.lag("close").over(features.order()))).orderBy("bar_id")
+    return found.withColumn("log_return", F.log(F.try_divide(F.col("close"), F.lag("close").over(features.order())))).orderBy("bar_id")
 
 
 # cleaning
