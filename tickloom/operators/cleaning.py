@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import over
+from ..functions.frames import in_order, over
+from ..functions.running import near_median, numbers
 
 
 def _by():
@@ -46,14 +51,71 @@ def drop_by_zscore(df: DataFrame, window: int = 1000, threshold: float = 6.0, le
 
 
 def drop_by_mad(df: DataFrame, column: str = "price", threshold: float = 15.0, least: int = 100, high_only: bool = False) -> DataFrame:
-    """Expanding median and median absolute deviation; a row stays if it is near, or if the deviation is null or 0."""
-    w = _by().rowsBetween(Window.unboundedPreceding, 0)
-    rows = df.withColumn("__m", F.when(F.count(column).over(w) >= least, F.percentile(column, 0.5).over(w))).withColumn("__d", F.abs(F.col(column) - F.col("__m")))
-    rows = rows.withColumn("__mad", F.when(F.count("__d").over(w) >= least, F.percentile("__d", 0.5).over(w)))
-    off = (F.col("__d") > threshold * 1.4826 * F.col("__mad")) & (F.col("__mad") > 0)
-    if high_only:
-        off = off & (F.col(column) > F.col("__m"))
-    return rows.where(~F.coalesce(off, F.lit(False))).drop("__m", "__d", "__mad")
+    """Median and median absolute deviation so far; a row stays if it is near, or if the deviation is null or 0.
+
+    Each series streams in order through two running quantiles, in logarithmic time a row; exact ones must hold a series' values, as numbers.
+    """
+    at, key = df.columns.index(column), df.columns.index("series")
+
+    def run(batches):
+        states: dict = {}
+        for b in batches:
+            yield b.filter(pa.array(near_median(b.column(key).to_pylist(), numbers(b.column(at)), states, threshold, least, high_only)))
+
+    return in_order(df, "ts", "seq").mapInArrow(run, df.schema)
+
+
+def dollar_value(price: str = "price", amount: str = "amount", quoted: bool = False):
+    """What a trade is worth: price times amount, or the amount where it is given in the quote currency."""
+    return F.col(amount) if quoted else F.col(price) * F.col(amount)
+
+
+def drop_by_dollar_value(df: DataFrame, threshold: float = 15.0, least: int = 100, quoted: bool = False) -> DataFrame:
+    """``drop_by_mad`` of price times amount."""
+    return drop_by_mad(df.withColumn("__value", dollar_value(quoted=quoted)), "__value", threshold, least).drop("__value")
+
+
+def drop_by_volume(df: DataFrame, threshold: float = 20.0, dust: float = 1e-10, least: int = 100, by_mad: bool = True) -> DataFrame:
+    """Dust goes first; then amounts far over the median so far, unless ``by_mad`` is off."""
+    rows = drop_dust(df, dust)
+    return drop_by_mad(rows, "amount", threshold, least, high_only=True) if by_mad else rows
+
+
+def strip_columns(df: DataFrame, unwanted: tuple[str, ...] = ("symbol", "info")) -> DataFrame:
+    return df.drop(*unwanted)
+
+
+def valid_numbers(df: DataFrame, columns: tuple[str, ...] = ("price", "amount")) -> DataFrame:
+    """Columns as doubles; what is no number is null, and rows with a null, NaN or infinity go."""
+    rows = df.withColumns({c: F.expr(f"try_cast(`{c}` AS double)") for c in columns})
+    good = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in columns]
+    return rows.where(reduce(and_, good)) if good else rows
+
+
+def outlier_report(stages: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(step, stage, n, removed): rows after each stage and how many fewer than after the one before."""
+    counts = reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(i).alias("step"), F.lit(name).alias("stage"), "n") for i, (name, df) in enumerate(stages)])
+    before = F.lag("n").over(Window.orderBy("step"))  # one row a stage
+    return counts.withColumn("removed", F.coalesce(before - F.col("n"), F.lit(0)))
+
+
+def clean(df: DataFrame, key: tuple[str, ...] = ("series", "ts", "seq"), value_threshold: float = 15.0) -> list[tuple[str, DataFrame]]:
+    """The chain of a tape's cleaning, by stage: numbers, repeats, dust, dollar values. The last stage's rows are the clean tape."""
+    stages = [("all", df), ("numbers", valid_numbers(drop_missing(strip_columns(df))))]
+    for name, step in (("repeats", lambda d: first_of_each(d, key)), ("dust", lambda d: drop_by_volume(d, by_mad=False)), ("dollar_value", lambda d: drop_by_dollar_value(d, value_threshold))):
+        stages.append((name, step(stages[-1][1])))
+    return stages
+
+
+def fill_zero(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.fillna(0.0, subset=columns)
+
+
+def drop_first_incomplete(df: DataFrame, columns: list[str], by: str = "bar_id") -> DataFrame:
+    """Rows of each series before its first row without a null in ``columns`` go; a series without such a row goes whole."""
+    whole = reduce(and_, [F.col(c).isNotNull() for c in columns])
+    first = F.min(F.when(whole, F.col(by))).over(Window.partitionBy("series"))
+    return df.withColumn("__first", first).where(F.col(by) >= F.col("__first")).drop("__first")
 
 
 def fill_forward(df: DataFrame, columns: list[str], by: str = "bar_id") -> DataFrame:

@@ -19,6 +19,34 @@ def walk_forward(n: int, folds: int = 5, embargo: int = 0, least: int = 1) -> li
     return out
 
 
+def folds(df: DataFrame, n_splits: int = 5, embargo: float = 0.01, least: int = 50, end: str | None = "t1", by: str = "bar_id") -> DataFrame:
+    """(fold, role, series, ``by``): walk-forward folds of each series; validation slice k after all rows before it as training, less the last ``embargo`` of a slice's
+    length and less events that end in it or later (unless none would be left). Folds with under ``least`` training rows go."""
+    w = Window.partitionBy("series")
+    keep = ["series", by, *([end] if end else [])]
+    rows = df.select(*keep, (F.row_number().over(w.orderBy(by)) - 1).alias("i"), F.count("*").over(w).alias("n"))
+    size = F.greatest(F.floor(F.col("n") / n_splits), F.lit(1))
+    rows = rows.withColumn("size", size).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n_splits - 1))))
+    start = F.col("fold") * F.col("size")
+    stop = F.when(F.col("fold") == n_splits - 1, F.col("n")).otherwise(start + F.col("size"))
+    gap = F.floor((stop - start) * embargo)
+    role = F.when((F.col("i") >= start) & (F.col("i") < stop), "validation").when(F.col("i") < start - gap, "train")
+    rows = rows.withColumn("role", role).where("role is not null")
+    group = Window.partitionBy("series", "fold")
+    if end:
+        begins = F.min(F.when(F.col("role") == "validation", F.col(by))).over(group)
+        rows = rows.withColumn("late", (F.col("role") == "train") & F.coalesce(F.col(end) >= begins, F.lit(False)))
+        left = F.count(F.when((F.col("role") == "train") & ~F.col("late"), 1)).over(group)
+        rows = rows.withColumn("late", F.col("late") & (left > 0)).where("not late")
+    train = F.count(F.when(F.col("role") == "train", 1)).over(group)
+    held = F.count(F.when(F.col("role") == "validation", 1)).over(group)
+    return rows.withColumns({"__t": train, "__h": held}).where((F.col("__t") >= least) & (F.col("__h") > 0)).select("fold", "role", "series", by)
+
+
+def residuals(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    return df.withColumn("residual", F.col(truth) - F.col(guess))
+
+
 def purge(train: DataFrame, validation_start, end: str = "t1") -> DataFrame:
     """Training events that end before the validation begins."""
     return train.where(F.col(end) < F.lit(validation_start))

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import from_row, full, last, order, over, previous, row, so_far
+from ..functions.frames import from_row, full, in_order, last, order, over, previous, row, so_far
+from ..functions.running import Quantile, numbers
+from .indicators import smooth
 
 
 def R() -> Column:
@@ -136,13 +140,79 @@ def since_shock(bars: DataFrame, threshold: float, name: str = "bars_since_shock
 
 
 def volatility_regime(bars: DataFrame, window: int = 20, quantiles=(0.75, 0.90, 0.95), least: int = 40) -> DataFrame:
-    """Rolling deviation of returns, flags of whether it is over expanding quantiles, and its expanding z-score."""
+    """Rolling deviation of returns, flags of whether it is over the quantiles of all so far, and its z-score among all so far.
+
+    The quantiles are exact and stream along each series, in logarithmic time a row.
+    """
     rows = bars.withColumn("volatility", full(F.stddev_samp, R(), window, least=2))
     v, w = F.col("volatility"), so_far()
-    enough = F.count(v).over(w) >= least
-    cols = {f"vol_regime_{round(100 * q)}": F.when(v.isNull() | ~enough, 0).otherwise((v > F.percentile(v, F.lit(q)).over(w)).cast("int")) for q in quantiles}
     std = F.stddev_samp(v).over(w)
-    return rows.withColumns(cols | {"vol_zscore": F.when(enough & (std > 1e-10), (v - F.avg(v).over(w)) / std)})
+    rows = rows.withColumn("vol_zscore", F.when((F.count(v).over(w) >= least) & (std > 1e-10), (v - F.avg(v).over(w)) / std))
+    names = [f"vol_regime_{round(100 * q)}" for q in quantiles]
+    key, at = rows.columns.index("series"), rows.columns.index("volatility")
+
+    def run(batches):
+        now, held = object(), []
+        for b in batches:
+            flags: list[list[int]] = [[] for _ in names]
+            for k, x in zip(b.column(key).to_pylist(), numbers(b.column(at))):
+                if k != now:
+                    now, held = k, [Quantile(q) for q in quantiles]
+                for out, q in zip(flags, held):
+                    if x is not None:
+                        q.push(x)
+                    out.append(int(x is not None and len(q) >= least and x > q.value()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(f, pa.int32()) for f in flags]], [*b.schema.names, *names])
+
+    return in_order(rows).mapInArrow(run, rows.withColumns({n: F.lit(0) for n in names}).schema)
+
+
+def durations(bars: DataFrame) -> DataFrame:
+    """bar_duration_ts and time_gap_bars in seconds; the first gap of a series is 0."""
+    seconds = lambda a, b: (F.unix_micros(b.cast("timestamp")) - F.unix_micros(a.cast("timestamp"))) / 1e6
+    gap = seconds(F.lag("ts_close").over(order()), F.col("ts_open"))
+    return bars.withColumns({"bar_duration_ts": seconds(F.col("ts_open"), F.col("ts_close")), "time_gap_bars": F.coalesce(gap, F.lit(0.0))})
+
+
+def acceleration(bars: DataFrame, column: str = "bar_duration_ts", span: int | None = None) -> DataFrame:
+    """temporal_acceleration: the duration before less the own one; temporal_jerk: how it changes. With a span also temporal_acceleration_smooth, of
+    exponential averages that start at a series' first value; a null repeats the average before it."""
+    d = F.col(column)
+    rows = bars.withColumn("temporal_acceleration", F.lag(d).over(order()) - d)
+    rows = rows.withColumn("temporal_jerk", F.col("temporal_acceleration") - F.lag("temporal_acceleration").over(order()))
+    if span is None:
+        return rows
+    rows = smooth(rows, [("__ema", column, 2.0 / (span + 1.0))])
+    return rows.withColumn("temporal_acceleration_smooth", F.lag("__ema").over(order()) - F.col("__ema")).drop("__ema")
+
+
+#: Fixed patterns of names and their kinds, the first that fits; names that none fits are slow.
+LAG_KINDS = (
+    ("no_lag", r"_sin$|_cos$|hour_|day_|month_|frac_diff|^log_price$|timestamp|datetime|^date$|crash_\d+|vol_regime_|vol_zscore$|drawdown$|drawup$|rolling_max$|rolling_min$|return_streak$"),
+    ("aggregated", r"cum_return_\d+|realized_vol_\d+|local_sharpe_\d+|ma_\d+|price_zscore_\d+|cross_ma_|max_return_\d+|min_return_\d+|volatility_\d+|_roll_|_sum_\d+|_mean_\d+|bars_since_"),
+    ("slow", r"parkinson|garman_klass|rogers_satchell|yang_zhang|range_ratio$|body_ratio$|intrabar_var|intrabar_vol|tick_range$|realized_var|tick_realized|vpin|kyle_lambda|entropy|range_efficiency|vol_of_vol"),
+    ("fast", r"^log_return$|^return$|^r_t$|volume_imbalance$|^oi$|order_imbalance$|^volume$|^volume_btc$|^volume_usd$|^tick_count$|tick_intensity|^n_ticks$|activity|^buy_volume$|^sell_volume$|signed_volume|tick_mean_return"),
+)
+
+
+def lag_kind(name: str) -> str:
+    return next((kind for kind, pattern in LAG_KINDS if re.search(pattern, name.lower())), "slow")
+
+
+def planned_lags(df: DataFrame, columns: list[str], ks=(1, 5, 10, 15, 25, 50)) -> DataFrame:
+    """Lags of the columns whose names call for them (``lag_kind``)."""
+    return lags(df, [c for c in columns if lag_kind(c) != "no_lag"], ks)
+
+
+def rolling_spearman(df: DataFrame, a: str, b: str, k: int = 50) -> DataFrame:
+    """spearman_wk: correlation of the ranks of two columns in a frame of k rows; ties are ranked in order of rows; null unless the frame has k rows and no null."""
+    pair = F.collect_list(F.struct(F.col(a).alias("x"), F.col(b).alias("y"))).over(last(k))
+    rank = lambda p, i: F.size(F.filter("__w", lambda q, j: (q[i] < p[i])))
+    tied = lambda p, i, at: F.size(F.filter("__w", lambda q, j: (q[i] == p[i]) & (j < at)))
+    far = F.transform("__w", lambda p, at: F.pow((rank(p, "x") + tied(p, "x", at) - rank(p, "y") - tied(p, "y", at)).cast("double"), 2))
+    total = F.aggregate(far, F.lit(0.0), lambda s, x: s + x)
+    good = (F.size("__w") == k) & F.forall("__w", lambda p: p["x"].isNotNull() & p["y"].isNotNull())
+    return df.withColumn("__w", pair).withColumn(f"spearman_w{k}", F.when(good, 1 - 6 * total / (k * (k * k - 1)))).drop("__w")
 
 
 def rolling_zscore(df: DataFrame, columns: list[str], window: int = 100, least: int = 10) -> DataFrame:
@@ -164,6 +234,19 @@ def frac_diff(bars: DataFrame, d: float = 0.5, size: int = 20, name: str | None
     return bars.withColumn(name or f"frac_diff_d{round(10 * d):02d}", terms)
 
 
+def frac_diff_expanding(bars: DataFrame, d: float = 0.5, least: int = 20, name: str = "frac_diff_expanding") -> DataFrame:
+    """Fractional difference of log price with weights over all history; null before ``least`` rows and from the first unknown price on.
+
+    The definition joins each row with all before it, so cost grows with the square of a series' length; the fixed width of ``frac_diff`` does not.
+    A series' prices are held as an array in each row only while its sum is taken.
+    """
+    x = F.log("close")
+    rows = bars.withColumn("__x", F.reverse(F.collect_list(F.coalesce(x, F.lit(float("nan")))).over(so_far())))
+    step = lambda s, v: F.struct((s["k"] + 1).alias("k"), (-s["w"] * (d - s["k"]) / (s["k"] + 1)).alias("w"), (s["t"] + s["w"] * v).alias("t"))
+    total = F.aggregate("__x", F.struct(F.lit(0.0).alias("k"), F.lit(1.0).alias("w"), F.lit(0.0).alias("t")), step, lambda s: s["t"])
+    return rows.withColumn(name, F.when((row() >= least) & ~F.isnan(total), total)).drop("__x")
+
+
 def entropy(bars: DataFrame, window: int = 50, bins: int = 10) -> DataFrame:
     """Shannon entropy of a frame's returns in equal-width bins; half a frame of values is needed."""
     w = last(window)

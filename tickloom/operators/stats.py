@@ -120,3 +120,70 @@ def quality(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: share of nulls, constant or not, largest absolute z."""
     flat = df.agg(*[F.struct(F.lit(c).alias("feature"), F.avg(F.col(c).isNull().cast("double")).alias("null_share"), (F.coalesce(F.var_samp(c), F.lit(0.0)) == 0).alias("constant"), over(F.greatest(F.max(c) - F.avg(c), F.avg(c) - F.min(c)), F.stddev_samp(c)).alias("max_z")).alias(c) for c in columns])
     return flat.select(F.explode(F.array(*columns)).alias("x")).select("x.*")
+
+
+def linear_trend(df: DataFrame, column: str, by: str = "bar_id") -> DataFrame:
+    """Per series the regression on row numbers from 0 (slope, intercept, r_squared, std_error), and means and deviations of its two halves."""
+    w = Window.partitionBy("series")
+    rows = df.where(F.col(column).isNotNull()).select("series", F.col(column).cast("double").alias("y"), (F.row_number().over(w.orderBy(by)) - 1).cast("double").alias("x"), F.count("*").over(w).alias("n"))
+    half = lambda first: F.when((F.col("x") < F.floor(F.col("n") / 2)) == F.lit(first), F.col("y"))
+    n, sx, sy, sxy = F.count("*"), F.var_pop("x"), F.var_pop("y"), F.covar_pop("x", "y")
+    slope, r2 = over(sxy, sx), over(sxy * sxy, sx * sy)
+    change = {"mean_first_half": F.avg(half(True)), "mean_second_half": F.avg(half(False)), "std_first_half": F.stddev_pop(half(True)), "std_second_half": F.stddev_pop(half(False))}
+    fit = {"slope": slope, "intercept": F.avg("y") - slope * F.avg("x"), "r_squared": r2, "std_error": F.sqrt(over(over((1 - r2) * sy, sx), n - 2))}
+    found = rows.groupBy("series").agg(*[v.alias(k) for k, v in (fit | change).items()])
+    return found.withColumns({"mean_change": F.col("mean_second_half") - F.col("mean_first_half"), "std_change": F.col("std_second_half") - F.col("std_first_half")})
+
+
+def vif_level(vif, high: float = 10.0, critical: float = 100.0):
+    """How bad an inflation factor is."""
+    return F.when(F.isnan(vif) | (F.abs(vif) == float("inf")), "infinite").when(vif > critical, "critical").when(vif > high, "high").when(vif > 5.0, "moderate").otherwise("low")
+
+
+def collinear_to_drop(corr: DataFrame, vif: DataFrame, threshold: float = 0.8, most: float = 10.0) -> DataFrame:
+    """(feature): of each pair of columns correlated over ``threshold`` the one with the larger inflation (of equals the second), and all over ``most``."""
+    v = lambda side: vif.select(F.col("feature").alias(side), F.col("vif").alias(f"v{side}"))
+    pairs = corr.where(F.abs("corr") > threshold).join(v("a"), "a", "left").join(v("b"), "b", "left")
+    of_pair = pairs.select(F.when(F.coalesce("va", F.lit(0.0)) > F.coalesce("vb", F.lit(0.0)), F.col("a")).otherwise(F.col("b")).alias("feature"))
+    return of_pair.union(vif.where(F.col("vif") > most).select("feature")).distinct()
+
+
+def embedding_outliers(df: DataFrame, x: str, y: str, threshold: float = 3.0) -> DataFrame:
+    """distance_from_center, its z_score over all rows, and is_outlier; z is null where all distances are equal."""
+    c = df.agg(F.avg(x).alias("__cx"), F.avg(y).alias("__cy"))
+    rows = df.join(F.broadcast(c)).withColumn("distance_from_center", F.sqrt(F.pow(F.col(x) - F.col("__cx"), 2) + F.pow(F.col(y) - F.col("__cy"), 2))).drop("__cx", "__cy")
+    d = F.col("distance_from_center")
+    s = rows.agg(F.avg(d).alias("__m"), F.stddev_pop(d).alias("__s"))
+    return rows.join(F.broadcast(s)).withColumn("z_score", over(d - F.col("__m"), F.col("__s"))).withColumn("is_outlier", F.coalesce(F.abs("z_score") > threshold, F.lit(False))).drop("__m", "__s")
+
+
+def cluster_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
+    """(n_clusters, calinski_harabasz, davies_bouldin, silhouette) of rows with a label; null under two clusters.
+
+    Two aggregates by cluster. The silhouette is that of squared distances, which follow from a cluster's sums, so rows never meet rows.
+    """
+    rows = df.dropna(subset=[*columns, label]).select(F.col(label).alias("__c"), F.array(*[F.col(c).cast("double") for c in columns]).alias("__v"))
+    rows = rows.withColumn("__q", F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x))
+    dims = range(len(columns))
+    own = cut(rows.groupBy("__c").agg(F.count("*").alias("n"), F.sum("__q").alias("q"), F.array(*[F.sum(F.get("__v", F.lit(i))) for i in dims]).alias("s")))
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    center = F.transform("s", lambda x: x / F.col("n"))
+    cells = own.select("__c", "n", "q", "s", center.alias("m"))
+    # one row a cluster on either side: their number, not the rows', is squared
+    near = rows.join(F.broadcast(cells), "__c").withColumn("d", F.sqrt(F.greatest(F.col("__q") - 2 * dot(F.col("__v"), F.col("m")) + dot(F.col("m"), F.col("m")), F.lit(0.0))))
+    spread = near.groupBy("__c").agg(F.avg("d").alias("spread"), F.sum(F.col("d") ** 2).alias("within"))
+    each = cut(cells.join(spread, "__c"))
+    whole = each.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("within").alias("within"), F.sum("q").alias("q"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in dims]).alias("s"))
+    a, b = (each.select(*[F.col(c).alias(f"{k}_{c}") for c in ("__c", "m", "spread")]) for k in "ab")
+    gap = F.sqrt(F.greatest(dot(F.col("a_m"), F.col("a_m")) - 2 * dot(F.col("a_m"), F.col("b_m")) + dot(F.col("b_m"), F.col("b_m")), F.lit(0.0)))
+    worst = a.join(F.broadcast(b), F.col("a___c") != F.col("b___c")).groupBy("a___c").agg(F.max(over(F.col("a_spread") + F.col("b_spread"), gap)).alias("w"))
+    db = worst.agg(F.avg("w").alias("davies_bouldin"))
+    others = rows.join(F.broadcast(cells.select(F.col("__c").alias("o"), "n", "q", "m"))).withColumn("d", F.col("__q") + F.col("q") / F.col("n") - 2 * dot(F.col("__v"), F.col("m")))
+    inner = F.col("o") == F.col("__c")
+    sil = others.withColumn("__id", F.struct("__c", "__v", "__q")).groupBy("__id", "__c").agg(F.max(F.when(inner & (F.col("n") > 1), F.col("d") * F.col("n") / (F.col("n") - 1))).alias("a"), F.min(F.when(~inner, F.col("d"))).alias("b"), F.count(F.when(inner, 1)).alias("times"))
+    score = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(over(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    mean = sil.agg(over(F.sum(score * F.col("times")), F.sum("times").cast("double")).alias("silhouette"))
+    between = F.col("q") - dot(F.col("s"), F.col("s")) / F.col("n") - F.col("within")
+    ch = over(between * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1))
+    two = lambda x: F.when(F.col("k") >= 2, x)
+    return whole.join(F.broadcast(db)).join(F.broadcast(mean)).select(F.col("k").alias("n_clusters"), two(ch).alias("calinski_harabasz"), two(F.col("davies_bouldin")).alias("davies_bouldin"), two(F.col("silhouette")).alias("silhouette"))

@@ -380,11 +380,6 @@ def _(s, d):
     return _pick(labels.economics(_labelled(s, d)), ["n_trades", "total_return", "win_rate", "sharpe"], [])
 
 
-@query("ewm_volatility")
-def _(s, d):
-    return _pick(labels.ewm_volatility(_bars(s, d)), ["vol"])
-
-
 # statistics
 
 _COLS = ["open", "high", "low", "volume", "log_return"]
@@ -516,4 +511,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import analysis_queries, indicator_queries, model_queries  # noqa: E402, F401  their queries add themselves
+from . import analysis_queries, indicator_queries, model_queries, more_queries  # noqa: E402, F401  their queries add themselves

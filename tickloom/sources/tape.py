@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import over
@@ -58,3 +58,37 @@ def date_chunks(spark: SparkSession, start: str, end: str, days: int = 14) -> Da
 def bounds(df: DataFrame, ts: str = "ts") -> DataFrame:
     """Least and largest time and the number of rows; Parquet answers from its statistics where it may."""
     return df.agg(F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), F.count("*").alias("n"))
+
+
+def slim(df: DataFrame, floats: tuple[str, ...] = ("price", "amount")) -> DataFrame:
+    """Prices and amounts as 4-byte floats."""
+    return df.withColumns({c: F.col(c).cast("float") for c in floats})
+
+
+def instrument_id(symbol: Column, salt: str = "") -> Column:
+    """The first 16 hexadecimal digits of a symbol's MD5, as a number."""
+    return F.conv(F.substring(F.md5(F.concat(symbol, F.lit(salt))), 1, 16), 16, 10).cast("decimal(20,0)")
+
+
+def as_time(ts: Column) -> Column:
+    """Times from numbers of milliseconds (from 10^11 on) or seconds."""
+    return F.timestamp_millis(F.when(F.abs(ts) >= 100_000_000_000, ts).otherwise(ts * 1000).cast("long"))
+
+
+def write_splits(df: DataFrame, path: str, split: str = "split") -> None:
+    """Train and test rows in folders of their own under ``path``, from one pass."""
+    df.write.mode("overwrite").partitionBy(split).parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, name: str, split: str = "split") -> DataFrame:
+    """One part of what ``write_splits`` wrote; the other is not read."""
+    return spark.read.parquet(path).where(F.col(split) == name).drop(split)
+
+
+def write_subset(df: DataFrame, path: str, features: list[str], key: tuple[str, ...] = ("series", "bar_id")) -> None:
+    require(df, [*key, *features]).select(*key, *features).write.mode("overwrite").parquet(path)
+
+
+def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
+    """Replace a table in any of Spark's formats."""
+    df.write.mode("overwrite").format(kind).save(path)
