@@ -30,7 +30,7 @@ def bars_of(spark, closes):
 TICK_OPS = {
     "jumps": cleaning.drop_jumps, "zscore": cleaning.drop_by_zscore, "mad": lambda t: cleaning.drop_by_mad(t, least=2), "value": lambda t: cleaning.drop_by_dollar_value(t, least=2), "volume": cleaning.drop_by_volume,
     "chain": lambda t: cleaning.clean(t)[-1][1], "first": lambda t: cleaning.first_of_each(t, ("series", "price")), "rule": flow.tick_rule, "imbalance": lambda t: flow.imbalance(flow.direct(t), ["series"]),
-    "tick_bars": tape.tick_bars, "dollar": bars.dollar_bars, "adaptive": lambda t: bars.dollar_bars(t, adaptive=True, keep_last=True), "bounds": bars.bounds_for,
+    "tick_bars": tape.tick_bars, "dollar": bars.dollar_bars, "adaptive": lambda t: bars.dollar_bars(t, adaptive=True, keep_last=True), "bounds": lambda t: bars.bounds_for(t, 5),
     "asof": lambda t: flow.bar_of_tick(t, tape.tick_bars(t, 3)), "intrabar": lambda t: flow.intrabar(t, tape.tick_bars(t, 3)),
 }
 BAR_OPS = {
