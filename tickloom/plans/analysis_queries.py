@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..operators import analysis
-from .catalogue import ALL, BARS, KEY, O, _bar_sql, _bars, _pick, _w, query
+from .catalogue import _ACF, ALL, BARS, KEY, O, _bar_sql, _bars, _pick, _w, query
 
 _PAIRS = f"""{BARS}, c AS (SELECT series, bar_id, volume AS x, log_return AS y FROM bars WHERE volume IS NOT NULL AND log_return IS NOT NULL),
 p AS (SELECT a.series, a.bar_id AS i, b.bar_id AS j, a.x - b.x AS dx, a.y - b.y AS dy FROM c a JOIN c b ON a.series = b.series)"""
@@ -65,12 +65,16 @@ def _(s, d):
     return _pick(analysis.adf(_bars(s, d), "close", choose=True), ["n", "lags", "statistic", "critical", "stationary"], ["series"])
 
 
-@query("partial_autocorrelation")
+@query("partial_autocorrelation", _ACF.replace("WITH ", "WITH RECURSIVE ", 1) + """, v AS (SELECT a.series, list(a.s / z.s ORDER BY lag) AS r FROM a JOIN z USING (series) GROUP BY a.series),
+d AS (SELECT series, r, 1 AS k, [r[1]] AS phi, 1 - r[1] * r[1] AS rest, r[1] AS pacf FROM v UNION ALL SELECT series, r, k + 1, list_append(list_transform(range(1, k + 1), lambda i: phi[i] - x * phi[k + 1 - i]), x), rest * (1 - x * x), x
+ FROM (SELECT *, (r[k + 1] - list_sum(list_transform(range(1, k + 1), lambda i: phi[i] * r[k + 1 - i]))) / rest AS x FROM d WHERE k < 10) t) SELECT series, k AS lag, round(pacf, 6) AS pacf FROM d""")
 def _(s, d):
     return _pick(analysis.partial_autocorrelation(_bars(s, d), "log_return"), ["pacf"], ["series", "lag"])
 
 
-@query("ljung_box_p")
+# the tail of chi-square with ten degrees of freedom is a finite sum
+@query("ljung_box_p", _ACF + """, b AS (SELECT series, any_value(n) * (any_value(n) + 2) * sum((a.s / z.s) ** 2 / (n - lag)) AS q FROM a JOIN z USING (series) GROUP BY series)
+SELECT series, round(q, 6) AS q, round(exp(-q / 2) * (1 + q / 2 + (q / 2) ** 2 / 2 + (q / 2) ** 3 / 6 + (q / 2) ** 4 / 24), 6) AS p FROM b""")
 def _(s, d):
     return _pick(analysis.ljung_box(_bars(s, d), "log_return"), ["q", "p"], ["series"])
 
