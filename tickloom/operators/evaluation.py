@@ -152,6 +152,32 @@ def markov(train: DataFrame, df: DataFrame, label: str = "label", by: str = "bar
     return rows.join(best, rows["__before"] == best["before"], "left").join(least).withColumn("prediction", F.coalesce("__best", "__least")).drop("before", "__before", "__best", "__least")
 
 
+def markov_path(train: DataFrame, df: DataFrame, label: str = "label", by: str = "bar_id") -> DataFrame:
+    """prediction: the likeliest class after the last training label of the series, then the likeliest after that prediction, and so on, no label of ``df`` being used.
+
+    The likeliest classes run into a cycle, so the path is looked up by the row's number, not walked. Ties, unseen labels and series without training rows start from
+    the least class. As many rows reach the driver as there are classes.
+    """
+    counts = transitions(train, label, by).collect()  # classes squared
+    classes = sorted(r[label] for r in train.where(F.col(label).isNotNull()).select(label).distinct().collect())
+    if not classes:
+        return df.withColumn("prediction", F.lit(None).cast(dict(df.dtypes).get(label, "int")))
+    after = {c: min(((-r["n"], r["after"]) for r in counts if r["before"] == c and r["after"] is not None), default=(0, classes[0]))[1] for c in classes}
+    paths = []
+    for c in [*classes, None]:
+        walk, here = [], after[c] if c is not None else classes[0]
+        while here not in walk:
+            walk.append(here)
+            here = after[here]
+        paths.append(F.struct(F.lit(c).alias("c"), F.array(*[F.lit(x) for x in walk]).alias("walk"), F.lit(walk.index(here)).alias("loop")))
+    start = train.groupBy("series").agg(F.max_by(label, by).alias("__start"))
+    rows = df.join(start, "series", "left").withColumn("__i", F.row_number().over(Window.partitionBy("series").orderBy(by)) - 1)
+    rows = rows.withColumn("__p", F.filter(F.array(*paths), lambda p: p["c"].eqNullSafe(F.col("__start")))[0])
+    loop, size = F.col("__p.loop"), F.size("__p.walk")
+    place = F.when(F.col("__i") < size, F.col("__i")).otherwise(loop + F.pmod(F.col("__i") - loop, size - loop))
+    return rows.withColumn("prediction", F.get("__p.walk", place)).drop("__start", "__i", "__p")
+
+
 def random_guess(train: DataFrame, df: DataFrame, label: str = "label", seed: int = 42) -> DataFrame:
     """prediction: classes drawn with the shares they have in ``train``; as many numbers reach the driver as there are classes."""
     shares = train.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")).orderBy(label).collect()
