@@ -378,17 +378,19 @@ def test_urls_repeated_and_empty(spark):
     assert url_filter.judge(pages.limit(0), labels).count() == 0
 
 
-def test_url_rules_are_all_small_sets(spark):
+@pytest.mark.parametrize("max_sets", [url_filter.MAX_SETS, 0])  # by FP-growth, by levels
+def test_url_rules_are_all_small_sets(spark, max_sets):
     rng = random.Random(8)
     rows = [(sorted(rng.sample("abcdefgh", rng.randint(0, 6))),) for _ in range(400)]
+    rows = [(t + ["i"] * ("a" in t),) for (t,) in rows]  # i is on the same rows as a
     rows = [(t, rng.random() < (0.9 if {"a", "b"} <= set(t) or {"c", "d", "e"} <= set(t) else 0.3)) for (t,) in rows]
     want = []
     for size in (1, 2, 3):
-        for own in itertools.combinations("abcdefgh", size):
+        for own in itertools.combinations("abcdefghi", size):
             held = [b for t, b in rows if set(own) <= set(t)]
             if sum(held) >= 15 and sum(held) / len(held) >= 0.7 and not any(set(k) < set(own) for k, _, _ in want):
                 want.append((list(own), sum(held) / len(held), len(held)))
-    assert {len(k) for k, _, _ in want} >= {2, 3} and url_filter.rules_of(spark.createDataFrame(rows, "items array<string>, bad boolean"), 15, 0.7) == want
+    assert {len(k) for k, _, _ in want} >= {2, 3} and url_filter.rules_of(spark.createDataFrame(rows, "items array<string>, bad boolean"), 15, 0.7, max_sets) == want
 
 
 def test_chats(spark):

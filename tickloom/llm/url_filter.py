@@ -1,9 +1,11 @@
 """URL filters, in DataFrame functions only.
 
-Combinations of URL tokens are mined from labelled pages; rules "tokens -> block" are kept by support and
-confidence, without those that a rule on fewer of the same tokens already makes. Tokens come from the whole url, so a page may have many, and
-FP-growth, which knows no longest set, could list all subsets of a long common url. Sets are counted level by level instead, up to MAX_TOKENS:
-only tokens and pairs frequent among bad pages, and no rule yet, are extended. That gives exactly FP-growth's rules of that length. An inverted index holds each rule under its
+Spark's FP-growth mines combinations of URL tokens from labelled pages, the label being an item of its transaction; rules
+"tokens -> block" of up to MAX_TOKENS tokens are kept by support and confidence, without those that a rule on fewer of the same tokens already makes.
+Tokens come from the whole url, so a page may have many, and FP-growth, which knows no longest set, lists all subsets of a long common url. So
+transactions hold only tokens that are frequent among bad pages and no rule by themselves, and tokens that are on exactly the same pages, such as those of one
+host, count as one until the rules are written. The number of sets is bounded before mining (each frequent set is in ``need`` transactions or more, so there are at most
+sum(2 ** size) / need). Beyond MAX_SETS, sets are counted level by level, which gives the same rules. An inverted index holds each rule under its
 rarest token, in hashed slots of one array, so a page looks up its own tokens and checks only rules posted there.
 Explicit rules on hosts and paths go first.
 
@@ -18,8 +20,11 @@ from __future__ import annotations
 
 import json
 import math
+from collections import defaultdict
 from collections.abc import Sequence
+from itertools import combinations, product
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +35,8 @@ MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.002, 0.8, 3
 #: Pages that a rule needs at least, where the support asks for fewer.
 MIN_PAGES = 20
 MAX_RULES = 512
+#: Frequent sets, as bounded before mining, up to which FP-growth lists them.
+MAX_SETS = 2_000_000
 SLOTS = 1024
 #: (host, path, verdict)
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -74,36 +81,66 @@ def _slot(token: Column) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(SLOTS))
 
 
-def rules_of(items: DataFrame, need: int, min_confidence: float) -> list[tuple[list[str], float, int]]:
-    """(tokens, confidence, number of rows) of the smallest sets of up to MAX_TOKENS tokens that ``need`` bad rows or more hold, and whose rows
-    are bad with that confidence; from rows (items array<string>, distinct, bad boolean)."""
-    counts = (F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"))
-    rule = F.col("n_bad") / F.col("n") >= min_confidence
-    ones = items.select("bad", F.explode("items").alias("t")).groupBy("t").agg(*counts).where(F.col("n_bad") >= need).select("t", "n", "n_bad", rule.alias("rule"), _slot(F.col("t")).alias("slot")).collect()
-    kept = [([r["t"]], r["n_bad"] / r["n"], r["n"]) for r in ones if r["rule"]]
-    rest = sorted((r["t"], r["slot"]) for r in ones if not r["rule"])
-    if len(rest) < 2:
-        return sorted(kept, key=lambda k: k[0])
-    slots: list[list[dict]] = [[] for _ in range(SLOTS)]
-    for i, (t, slot) in enumerate(rest):
-        slots[slot].append({"t": t, "i": i})
-    index = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<t:string,i:int>>>")
-    known = F.transform(F.flatten(F.transform("items", lambda t: F.filter(F.get(index, _slot(t)), lambda r: r["t"] == t))), lambda r: r["i"])
-    rows = cut(items.select("bad", known.alias("ids")).where("size(ids) > 1"))
-    keys, sets = ["t0"], rows.select("bad", "ids", F.explode("ids").alias("t0"))
-    for size in range(2, MAX_TOKENS + 1):
-        before, new = keys, f"t{size - 1}"
+def _grown(rows: DataFrame, need: int, size: int) -> DataFrame:
+    """(ids, n, n_bad) of sets of two tokens or more, up to ``size``, in ``need`` bad rows or more, by FP-growth."""
+    n, bad = rows.count(), F.array_contains("items", -1)
+    if n < need:
+        return rows.limit(0).select("ids", F.lit(0).alias("n"), F.lit(0).alias("n_bad"))
+    baskets = rows.select(F.when(F.col("bad"), F.array_append("ids", -1)).otherwise(F.col("ids")).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=(need - 0.5) / n).fit(baskets).freqItemsets
+    own = sets.select(F.array_sort(F.array_remove("items", -1)).alias("ids"), F.when(~bad, F.col("freq")).alias("n"), F.when(bad, F.col("freq")).alias("n_bad"))
+    return own.where(F.size("ids").between(2, size)).groupBy("ids").agg(F.max("n").alias("n"), F.max("n_bad").alias("n_bad")).where("n_bad is not null")
+
+
+def _by_level(rows: DataFrame, need: int, size: int, rule: Column) -> DataFrame:
+    """The same sets, less those that hold a rule, counted size by size: only sets that are no rule are extended."""
+    keys, sets, levels = ["t0"], rows.select("bad", "ids", F.explode("ids").alias("t0")), []
+    for k in range(2, size + 1):
+        before, new = keys, f"t{k - 1}"
         keys = [*keys, new]
         sets = sets.select("bad", "ids", *before, F.explode(F.filter("ids", lambda x: x > F.col(before[-1]))).alias(new))
-        if size > 2:  # all subsets one smaller are frequent and no rule
-            for left in range(size - 2, -1, -1):
-                own = [k for i, k in enumerate(keys) if i != left]
+        if k > 2:  # all subsets one smaller are frequent and no rule
+            for left in range(k - 2, -1, -1):
+                own = [t for i, t in enumerate(keys) if i != left]
                 sets = sets.join(F.broadcast(open_sets.toDF(*own)), own, "left_semi")
-        found = cut(sets.groupBy(*keys).agg(*counts).where(F.col("n_bad") >= need))
-        kept += [([rest[r[k]][0] for k in keys], r["n_bad"] / r["n"], r["n"]) for r in found.where(rule).collect()]
+        found = cut(sets.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad")).where(F.col("n_bad") >= need))
+        levels.append(found.select(F.array(*keys).alias("ids"), "n", "n_bad"))
         open_sets = found.where(~rule).select(*keys)
-        if size < MAX_TOKENS:
+        if k < size:
             sets = sets.join(F.broadcast(open_sets), keys, "left_semi")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
+
+
+def rules_of(items: DataFrame, need: int, min_confidence: float, max_sets: int = MAX_SETS) -> list[tuple[list[str], float, int]]:
+    """(tokens, confidence, number of rows) of the smallest sets of up to MAX_TOKENS tokens that ``need`` bad rows or more hold, and whose rows
+    are bad with that confidence; from rows (items array<string>, distinct, bad boolean)."""
+    rule = F.col("n_bad") / F.col("n") >= min_confidence
+    # sums of 128 bits of each row's hash tell which tokens are on the same rows
+    marks = [F.sum(f"mark{k}").alias(f"mark{k}") for k in (0, 1)]
+    each = items.select("bad", *[F.xxhash64("items", F.lit(k)).cast("decimal(20,0)").alias(f"mark{k}") for k in (0, 1)], F.explode("items").alias("t"))
+    ones = each.groupBy("t").agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad"), *marks).where(F.col("n_bad") >= need).select("*", rule.alias("rule"), _slot(F.col("t")).alias("slot")).collect()
+    kept = [([r["t"]], r["n_bad"] / r["n"], r["n"]) for r in ones if r["rule"]]
+    twins = defaultdict(list)
+    for r in ones:
+        if not r["rule"]:
+            twins[r["n"], r["n_bad"], r["mark0"], r["mark1"]].append((r["t"], r["slot"]))
+    groups = sorted(sorted(g) for g in twins.values())
+    if len(groups) > 1:
+        slots: list[list[dict]] = [[] for _ in range(SLOTS)]
+        for i, ((t, slot), *_) in enumerate(groups):
+            slots[slot].append({"t": t, "i": i})
+        index = F.from_json(F.lit(json.dumps(slots)), "array<array<struct<t:string,i:int>>>")
+        known = F.transform(F.flatten(F.transform("items", lambda t: F.filter(F.get(index, _slot(t)), lambda r: r["t"] == t))), lambda r: r["i"])
+        rows = cut(items.select("bad", F.array_sort(known).alias("ids")).where("size(ids) > 1"))
+        bound = rows.agg(F.sum(F.pow(F.lit(2.0), F.size("ids") + F.col("bad").cast("int")))).first()[0] or 0
+        sets = _grown(rows, need, MAX_TOKENS) if bound / need <= max_sets else _by_level(rows, need, MAX_TOKENS, rule)
+        found = {tuple(r["ids"]): (r["n_bad"] / r["n"], r["n"]) for r in sets.where(rule).collect()}
+        for ids, (c, n) in found.items():
+            if not any(small in found for k in range(2, len(ids)) for small in combinations(ids, k)):
+                kept += [([t for t, _ in own], c, n) for own in product(*(groups[i] for i in ids))]
     return sorted(((sorted(own), c, n) for own, c, n in kept), key=lambda k: (len(k[0]), k[0]))
 
 
