@@ -424,3 +424,23 @@ def test_pipeline(spark):
     assert kept <= set(docs) and len(kept) > 0.5 * len(docs)
     want = brute_classes([(i, docs[i]) for i in kept])
     assert all(c == i or not n for i, (n, c) in want.items())
+
+
+def test_pipeline_stages_on_edges(spark, docs, none):
+    import corpus_pipeline
+
+    sf_dir, rows = "/root/testdata/sf0.001", [tuple(r) for r in docs.collect()]
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        got[name] = [tuple(r) for r in out.collect()]
+        assert stage(spark, none, sf_dir).count() == 0
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+        if name in ("language_id", "quality_rules", "ngram_join"):
+            assert not Counter(got[name]) - Counter(rows)
+    assert Counter(got["language_id"]) == Counter(r for r in rows if any(c.isalpha() for c in r[1] or ""))
+    assert all(len(split(r[1])) >= 50 for r in got["quality_rules"])
+    assert len(got["secret_scan"]) == len(rows) and Counter(r[0] for r in got["secret_scan"]) == Counter(r[0] for r in rows)
+    assert [r[0] for r in got["secret_scan"] if "[SECRET]" in (r[1] or "")] == [r[0] for r in rows if "AKIA" in (r[1] or "")]
+    assert {r[0] for r in got["best_fit_packing"]} == {r[0] for r in rows}
