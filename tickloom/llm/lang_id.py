@@ -25,8 +25,8 @@ from .common import arrow_map
 LETTERS, GAP, OTHER = 26, 26, 101
 ALPHABET = LETTERS + 1 + OTHER
 DIM = 512
-#: Counts that a task holds before it hands them on.
-HELD = 1 << 18
+#: Counts that a task holds before it hands them on; trigrams bound at a time.
+HELD, PART = 1 << 18, 1 << 12
 
 
 @functools.cache
@@ -146,7 +146,7 @@ def judge(models: dict[str, np.ndarray], dim: int = DIM):
                 score.append(0.0)
                 continue
             codes, n = got
-            v = n.astype(np.float32) @ bound(codes, dim).astype(np.float32)
+            v = sum(n[i : i + PART].astype(np.float32) @ bound(codes[i : i + PART], dim).astype(np.float32) for i in range(0, len(codes), PART))
             cos = (v @ matrix) / max(float(np.linalg.norm(v)), 1e-30)
             k = int(np.argmax(cos))
             pred.append(names[k])
