@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import in_order, over
-from ..functions.running import near_median, numbers
+from ..functions.frames import over
+from ..functions.lineage import cut
+from ..functions.running import add_quantiles, shape
+from ..functions.slices import in_slices
 
 
 def _by():
@@ -42,27 +43,44 @@ def drop_jumps(df: DataFrame, most: float = 0.05) -> DataFrame:
 
 
 def drop_by_zscore(df: DataFrame, window: int = 1000, threshold: float = 6.0, least: int = 100) -> DataFrame:
-    """Keep ticks within ``threshold`` deviations of the mean of the last ``window``; all while fewer than ``least`` are there."""
-    w = _by().rowsBetween(-(window - 1), 0)
-    z = F.abs(F.col("price") - F.avg("price").over(w))
-    std = F.stddev_samp("price").over(w)
-    rows = df.withColumns({"__n": F.count("price").over(w), "__z": z, "__s": std})
-    return rows.where("__n < least_ or __s is null or (__s > 0 and __z <= thr_ * __s)".replace("least_", str(least)).replace("thr_", repr(threshold))).drop("__n", "__z", "__s")
+    """Keep ticks within ``threshold`` deviations of the mean of the last ``window``; all while fewer than ``least`` are there.
 
-
-def drop_by_mad(df: DataFrame, column: str = "price", threshold: float = 15.0, least: int = 100, high_only: bool = False) -> DataFrame:
+    A frame's sums are differences of running sums, so a row costs the same for any window; values are taken about the series' mean, and whether a frame is
+    constant comes from the rows since the price last changed, not from a difference that rounding may spoil.
+    """
+    w, whole = _by(), Window.partitionBy("series")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col("price")
+    known = F.when(x.isNotNull() & ~F.isnan(x), x)
+    rows = df.withColumn("__x", known - F.avg(known).over(whole))
+    rows = rows.withColumns({"__n": F.count("__x").over(so_far), "__s": F.coalesce(F.sum("__x").over(so_far), F.lit(0.0)), "__ss": F.coalesce(F.sum(F.col("__x") * F.col("__x")).over(so_far), F.lit(0.0)), "__r": F.row_number().over(w), "__before": F.last("__x", True).over(w.rowsBetween(Window.unboundedPreceding, -1))})
+    rows = rows.withColumn("__changed", F.max(F.when(F.col("__x") != F.col("__before"), F.col("__n"))).over(so_far))
+    left = lambda c: F.col(c) - F.coalesce(F.lag(c, window).over(w), F.lit(0))
+    rows = rows.withColumns({"__fn": left("__n"), "__fs": left("__s"), "__fss": left("__ss")})
+    n = F.col("__fn")
+    mean = over(F.col("__fs"), n)
+    constant = F.coalesce(F.col("__n") - F.col("__changed") + 1 >= n, F.lit(True))
+    std = F.when(n > 1, F.when(constant, 0.0).otherwise(F.sqrt(F.greatest(F.col("__fss") - n * mean * mean, F.lit(0.0)) / (n - 1))))
+    far = F.abs(F.col("__x") - mean)
+    keep = (n < least) | std.isNull() | ((std > 0) & (far <= threshold * std))
+    return rows.where(keep).select(df.columns)
+
+
+def drop_by_mad(df: DataFrame, column: str = "price", threshold: float = 15.0, least: int = 100, high_only: bool = False, slices: int | None = None) -> DataFrame:
     """Median and median absolute deviation so far; a row stays if it is near, or if the deviation is null or 0.
 
-    Each series streams in order through two running quantiles, in logarithmic time a row; exact ones must hold a series' values, as numbers.
+    Both medians are exact and taken by slices of time (``functions/running.py``), so no task holds a series. Runs jobs while the plan is built.
     """
-    at, key = df.columns.index(column), df.columns.index("series")
-
-    def run(batches):
-        states: dict = {}
-        for b in batches:
-            yield b.filter(pa.array(near_median(b.column(key).to_pylist(), numbers(b.column(at)), states, threshold, least, high_only)))
-
-    return in_order(df, "ts", "seq").mapInArrow(run, df.schema)
+    by = ("ts", "seq")
+    sliced = in_slices(df, *by, slices=slices)
+    parts = shape(sliced)
+    x = F.col(column).cast("double")
+    rows = cut(add_quantiles(sliced, column, {"__middle": 0.5}, by, parts, least).withColumn("__far", F.abs(x - F.col("__middle"))))
+    rows = add_quantiles(rows, "__far", {"__mad": 0.5}, by, parts, least)
+    out = (F.col("__mad") > 0) & (F.col("__far") > threshold * 1.4826 * F.col("__mad"))
+    if high_only:
+        out = out & (x > F.col("__middle"))
+    return rows.where(~F.coalesce(out & ~F.isnan("__far"), F.lit(False))).select(df.columns)
 
 
 def dollar_value(price: str = "price", amount: str = "amount", quoted: bool = False):

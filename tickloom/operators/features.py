@@ -5,12 +5,13 @@ from __future__ import annotations
 import math
 import re
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import from_row, full, in_order, last, order, over, previous, row, so_far
-from ..functions.running import Quantile, numbers
+from ..functions.convolution import fractional_difference
+from ..functions.frames import from_row, full, last, order, over, previous, row, so_far
+from ..functions.running import add_quantiles, shape
+from ..functions.slices import SLICE, in_slices
 from .indicators import smooth
 
 
@@ -139,32 +140,19 @@ def since_shock(bars: DataFrame, threshold: float, name: str = "bars_since_shock
     return bars.withColumn(name, F.coalesce(row() - hit, row() - 1))
 
 
-def volatility_regime(bars: DataFrame, window: int = 20, quantiles=(0.75, 0.90, 0.95), least: int = 40) -> DataFrame:
+def volatility_regime(bars: DataFrame, window: int = 20, quantiles=(0.75, 0.90, 0.95), least: int = 40, slices: int | None = None) -> DataFrame:
     """Rolling deviation of returns, flags of whether it is over the quantiles of all so far, and its z-score among all so far.
 
-    The quantiles are exact and stream along each series, in logarithmic time a row.
+    The quantiles are exact and taken by slices of time (``functions/running.py``). Runs jobs while the plan is built.
     """
     rows = bars.withColumn("volatility", full(F.stddev_samp, R(), window, least=2))
     v, w = F.col("volatility"), so_far()
     std = F.stddev_samp(v).over(w)
     rows = rows.withColumn("vol_zscore", F.when((F.count(v).over(w) >= least) & (std > 1e-10), (v - F.avg(v).over(w)) / std))
-    names = [f"vol_regime_{round(100 * q)}" for q in quantiles]
-    key, at = rows.columns.index("series"), rows.columns.index("volatility")
-
-    def run(batches):
-        now, held = object(), []
-        for b in batches:
-            flags: list[list[int]] = [[] for _ in names]
-            for k, x in zip(b.column(key).to_pylist(), numbers(b.column(at))):
-                if k != now:
-                    now, held = k, [Quantile(q) for q in quantiles]
-                for out, q in zip(flags, held):
-                    if x is not None:
-                        q.push(x)
-                    out.append(int(x is not None and len(q) >= least and x > q.value()))
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(f, pa.int32()) for f in flags]], [*b.schema.names, *names])
-
-    return in_order(rows).mapInArrow(run, rows.withColumns({n: F.lit(0) for n in names}).schema)
+    names = {f"vol_regime_{round(100 * q)}": q for q in quantiles}
+    sliced = in_slices(rows, "bar_id", slices=slices)
+    found = add_quantiles(sliced, "volatility", {f"__{n}": q for n, q in names.items()}, ("bar_id",), shape(sliced), least)
+    return found.withColumns({n: F.coalesce((v > F.col(f"__{n}")) & ~F.isnan(v), F.lit(False)).cast("int") for n in names}).drop(SLICE, *[f"__{n}" for n in names])
 
 
 def durations(bars: DataFrame) -> DataFrame:
@@ -234,17 +222,14 @@ def frac_diff(bars: DataFrame, d: float = 0.5, size: int = 20, name: str | None
     return bars.withColumn(name or f"frac_diff_d{round(10 * d):02d}", terms)
 
 
-def frac_diff_expanding(bars: DataFrame, d: float = 0.5, least: int = 20, name: str = "frac_diff_expanding") -> DataFrame:
+def frac_diff_expanding(bars: DataFrame, d: float = 0.5, least: int = 20, name: str = "frac_diff_expanding", block: int | None = None, slices: int | None = None) -> DataFrame:
     """Fractional difference of log price with weights over all history; null before ``least`` rows and from the first unknown price on.
 
-    The definition joins each row with all before it, so cost grows with the square of a series' length; the fixed width of ``frac_diff`` does not.
-    A series' prices are held as an array in each row only while its sum is taken.
+    Each row's sum is over all rows before it; ``functions/convolution.py`` takes all of them in n log n. Rows are known by (series, bar_id). Runs jobs while the plan is built.
     """
-    x = F.log("close")
-    rows = bars.withColumn("__x", F.reverse(F.collect_list(F.coalesce(x, F.lit(float("nan")))).over(so_far())))
-    step = lambda s, v: F.struct((s["k"] + 1).alias("k"), (-s["w"] * (d - s["k"]) / (s["k"] + 1)).alias("w"), (s["t"] + s["w"] * v).alias("t"))
-    total = F.aggregate("__x", F.struct(F.lit(0.0).alias("k"), F.lit(1.0).alias("w"), F.lit(0.0).alias("t")), step, lambda s: s["t"])
-    return rows.withColumn(name, F.when((row() >= least) & ~F.isnan(total), total)).drop("__x")
+    found = fractional_difference(bars.select("series", "bar_id", F.log("close").alias("x")), "bar_id", d, block, slices)
+    value = found.select(F.col("series").alias("__series"), F.col("bar_id").alias("__bar"), F.when(F.col("pos") >= least - 1, F.col("y")).alias(name))
+    return bars.join(value, F.col("series").eqNullSafe(F.col("__series")) & (F.col("bar_id") == F.col("__bar")), "left").drop("__series", "__bar")
 
 
 def entropy(bars: DataFrame, window: int = 50, bins: int = 10) -> DataFrame:

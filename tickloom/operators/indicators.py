@@ -1,7 +1,6 @@
 """Technical indicators of bars (series, bar_id, open, high, low, close, volume).
 
-Windowed ones share a sort. Exponential and Wilder averages are recursions: ``smooth`` streams each series once for all of
-an indicator family. A value is null until its window is full, or its average has seen as many values as its length.
+Windowed ones share a sort. Exponential and Wilder averages are linear recurrences: ``smooth`` takes all of an indicator family by slices of time. A value is null until its window is full, or its average has seen as many values as its length.
 """
 
 from __future__ import annotations
@@ -13,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.frames import full, in_order, last, order, over, row, so_far
+from ..functions.frames import full, last, order, over, row, so_far
+from ..functions.slices import SLICE, carry, in_slices, stitch, summaries
 
 
 def _cols() -> tuple[Column, ...]:
@@ -37,32 +37,67 @@ def _over(a: Column, b: Column) -> Column:
 Step = tuple[str, str | Callable[[pd.DataFrame], pd.Series], float | None]
 
 
-def smooth(bars: DataFrame, steps: list[Step]) -> DataFrame:
+def smooth(bars: DataFrame, steps: list[Step], slices: int | None = None) -> DataFrame:
     """Add columns step by step: y = a * x + (1 - a) * y over a series in order, from its first x on; nulls keep y.
 
-    A step is (name, x, a); x is a column, also one of an earlier step, or a function of single rows; without a, y is x. Rows stream in order;
-    what is held is a batch and each average's last value.
+    A step is (name, x, a); x is a column, also one of an earlier step, or a function of single rows; without a, y is x.
+
+    Series are cut in time. Over n values that begin with x0, y becomes y0 + (1 - a)^n (y - x0), where y0 is what the values give alone: a slice is
+    summed up by (n, x0, y0), and composing these gives the y with which each slice begins. Averages of averages take a pass for each level. Runs jobs
+    while the plan is built; a task holds a batch and each average's last value.
     """
+    sliced = in_slices(bars, "bar_id", slices=slices)
     shape = StructType([*bars.schema.fields, *[StructField(n, DoubleType()) for n, _, _ in steps]])
+    level: dict[str, int] = {}
+    for name, source, a in steps:  # a function may read all that comes before it
+        below = level.get(source, 0) if isinstance(source, str) else max(level.values(), default=0)
+        level[name] = below + (a is not None)
 
     def average(x: pd.Series, a: float, before: float) -> pd.Series:
         known = pd.concat([pd.Series([before]), x])
         return known.ewm(alpha=a, adjust=False, ignore_na=True).mean().iloc[1:]
 
-    def run(batches):
-        now, held = None, {}
-        for batch in batches:
-            for key, pdf in batch.groupby("series", sort=False, dropna=False):
-                if key != now:
-                    now, held = key, {}
-                pdf = pdf.copy()
-                for name, source, a in steps:
-                    x = (pdf[source] if isinstance(source, str) else source(pdf)).astype(float)
-                    pdf[name] = x if a is None else average(x, a, held.get(name, float("nan")))
+    def add(pdf: pd.DataFrame, held: dict, top: int) -> pd.DataFrame:
+        """The steps of all levels up to ``top``, from the last values in ``held``, which move on."""
+        pdf = pdf.copy()
+        for name, source, a in steps:
+            if level[name] <= top:
+                x = (pdf[source] if isinstance(source, str) else source(pdf)).astype(float)
+                pdf[name] = x if a is None else average(x, a, held.get(name, float("nan")))
+                if a is not None:
                     held[name] = pdf[name].iloc[-1]
-                yield pdf
+        return pdf
+
+    states: dict[int, dict] = {}
+    for top in range(1, max(level.values(), default=0) + 1):
+        own = {name: (source, a) for name, source, a in steps if a is not None and level[name] == top}
+
+        def feed(total, part, top=top, own=own):
+            rows = add(part, total["held"], top - 1)
+            for name, (source, a) in own.items():
+                x = (rows[source] if isinstance(source, str) else source(rows)).astype(float)
+                known = x.dropna()
+                if len(known):
+                    n, first, y = total["own"].get(name, (0, float(known.iloc[0]), float("nan")))
+                    total["own"][name] = (n + len(known), first, float(average(known, a, y).iloc[-1]))
+
+        def advance(state, total, own=own):
+            out = {}
+            for name, (_, a) in own.items():
+                n, first, y = total["own"].get(name, (0, 0.0, float("nan")))
+                before = (state or {}).get(name, float("nan"))
+                out[name] = before if not n else y if before != before else y + (1 - a) ** n * (before - first)
+            return out
+
+        parts = summaries(sliced, bars.drop("series").columns, lambda state: {"held": dict(state or {}), "own": {}}, feed, states)
+        states = {k: states.get(k, {}) | v for k, v in stitch(parts, advance).items()}
+
+    top = max(level.values(), default=0)
+
+    def step(held, part):
+        return add(part.drop(columns=SLICE), held, top), held
 
-    return in_order(bars).mapInPandas(run, shape)
+    return carry(sliced, states, lambda state: dict(state or {}), step, shape)
 
 
 def _seen(x: str, n: int, value: Column) -> Column:
@@ -87,7 +122,7 @@ def momentum_indicators(bars: DataFrame) -> DataFrame:
     rows = rows.withColumns({"__dtp": F.col("__tp") - _before("__tp"), "__up": F.greatest("__d", F.lit(0.0)), "__down": F.greatest(-F.col("__d"), F.lit(0.0)), "__bp": c - F.least("low", "__pc"), "__tr": F.greatest("high", "__pc") - F.least("low", "__pc")})
     rows = rows.withColumns({"__up": F.when(F.col("__d").isNotNull(), F.col("__up")), "__down": F.when(F.col("__d").isNotNull(), F.col("__down"))})
     steps: list[Step] = [(f"__{k}{n}", f"__{k}", 1 / n) for n in (14, 7) for k in ("up", "down")]
-    steps += [("__e12", "close", 2 / 13), ("__e26", "close", 2 / 27), ("__macd", lambda p: p["__e12"] - p["__e26"], None), ("__ms", "__macd", 0.2), ("__ppo", lambda p: 100 * p["__macd"] / p["__e26"].where(p["__e26"] != 0), None), ("__ps", "__ppo", 0.2)]
+    steps += [("__e12", "close", 2 / 13), ("__e26", "close", 2 / 27), ("__macd", lambda p: p["__e12"] - p["__e26"], None), ("__ppo", lambda p: 100 * p["__macd"] / p["__e26"].where(p["__e26"] != 0), None), ("__ms", "__macd", 0.2), ("__ps", "__ppo", 0.2)]
     rows = smooth(rows, steps)
     high, low = F.max("high").over(last(14)), F.min("low").over(last(14))
     ready = F.count("close").over(last(14)) >= 14

@@ -7,31 +7,63 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import in_order, over
-
-
-def ewm_volatility(bars: DataFrame, span: int = 100, least: int = 10) -> DataFrame:
-    """Bias-corrected deviation of exponentially weighted returns; four sums that stream along each series in order."""
-
-    def run(batches):
-        now, keep = None, 1 - 2.0 / (span + 1)
-        w = w2 = m = s = 0.0
-        n = 0
-        for batch in batches:
-            out = []
-            for key, r in zip(batch["series"], batch["log_return"]):
-                if key != now:
-                    now, w, w2, m, s, n = key, 0.0, 0.0, 0.0, 0.0, 0
-                w, w2, s = w * keep, w2 * keep * keep, s * keep
-                if r == r:
-                    w, w2, n = w + 1, w2 + 1, n + 1
-                    d = r - m
-                    m += d / w
-                    s += d * (r - m)
-                out.append(float(np.sqrt(s / w * w * w / (w * w - w2))) if n >= max(least, 2) and w * w > w2 else None)
-            yield pd.DataFrame({"series": batch["series"], "bar_id": batch["bar_id"], "vol": pd.Series(out, index=batch.index, dtype=float)})
-
-    found = in_order(bars.select("series", "bar_id", "log_return")).mapInPandas(run, "series long, bar_id long, vol double")
+from ..functions.frames import over
+from ..functions.slices import carry, in_slices, scan, stitch, summaries
+
+
+class Weighted:
+    """Exponentially weighted sums of a run of values: of the weights, their squares, and the values' distances from ``centre`` and these squared.
+
+    Sums that follow each other compose: the earlier ones fade by the later ones' length and move to their centre.
+    """
+
+    def __init__(self, keep: float, sums: tuple | None = None) -> None:
+        self.keep, self.rows = keep, 0
+        self.n, self.w, self.w2, self.centre, self.x, self.xx = sums or (0, 0.0, 0.0, None, 0.0, 0.0)
+
+    def sums(self) -> tuple:
+        return self.n, self.w, self.w2, self.centre, self.x, self.xx
+
+    def feed(self, r: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Number of values, and weights, squared weights, sums and sums of squares after each row; nulls (NaN) only let the past fade."""
+        known = ~np.isnan(r)
+        if self.centre is None and known.any():
+            self.centre = float(r[known][0])
+        d = np.where(known, r - (self.centre or 0.0), 0.0)
+        n = self.n + np.cumsum(known)
+        out = tuple(scan(k, b, y) for k, b, y in ((self.keep, known.astype(float), self.w), (self.keep**2, known.astype(float), self.w2), (self.keep, d, self.x), (self.keep, d * d, self.xx)))
+        self.rows += len(r)
+        self.n, (self.w, self.w2, self.x, self.xx) = int(n[-1]), (float(o[-1]) for o in out)
+        return n, *out
+
+    def after(self, before: tuple | None) -> tuple:
+        """The sums of all values before and these."""
+        if before is None or before[3] is None:
+            return self.sums()
+        n, w, w2, centre, x, xx = before
+        fade = self.keep**self.rows
+        d = (centre if self.centre is None else self.centre) - centre
+        x, xx = x - d * w, xx - 2 * d * x + d * d * w
+        return n + self.n, fade * w + self.w, fade * fade * w2 + self.w2, centre + d, fade * x + self.x, fade * xx + self.xx
+
+
+def ewm_volatility(bars: DataFrame, span: int = 100, least: int = 10, slices: int | None = None) -> DataFrame:
+    """Bias-corrected deviation of exponentially weighted returns: five sums that are linear recurrences, by slices of time. Runs jobs while the plan is built."""
+    keep = 1 - 2.0 / (span + 1)
+    sliced = in_slices(bars.select("series", "bar_id", "log_return"), "bar_id", slices=slices)
+    returns = lambda part: part["log_return"].to_numpy(float, na_value=np.nan)
+    parts = summaries(sliced, ["log_return"], lambda _: Weighted(keep), lambda total, part: total.feed(returns(part)) and None)
+    states = stitch(parts, lambda before, total: total.after(before))
+
+    def step(total, part):
+        n, w, w2, x, xx = total.feed(returns(part))
+        with np.errstate(all="ignore"):
+            spread = np.maximum(xx / w - (x / w) ** 2, 0.0)
+            vol = np.sqrt(spread * w * w / (w * w - w2))
+        good = (n >= max(least, 2)) & (w * w > w2)
+        return pd.DataFrame({"series": part["series"], "bar_id": part["bar_id"], "vol": pd.Series(np.where(good, vol, np.nan), index=part.index)}), total
+
+    found = carry(sliced, states, lambda s: Weighted(keep, s), step, f"series {dict(bars.dtypes)['series']}, bar_id {dict(bars.dtypes)['bar_id']}, vol double")
     return bars.join(found, ["series", "bar_id"])
 
 
