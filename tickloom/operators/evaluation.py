@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import correlation, over
+from .stats import average_ranks
 
 
 def walk_forward(n: int, folds: int = 5, embargo: int = 0, least: int = 1) -> list[tuple[range, range]]:
@@ -189,3 +190,33 @@ def random_guess(train: DataFrame, df: DataFrame, label: str = "label", seed: in
     for top, value in reversed(cuts):
         guess = F.when(draw < top, F.lit(value)).otherwise(guess if top < 1 else F.lit(value))
     return df.withColumn("__draw", F.rand(seed)).withColumn("prediction", guess).drop("__draw")
+
+
+def temporal_order(df: DataFrame, by: str = "bar_id", ts: str = "ts") -> DataFrame:
+    """(series, n, n_back, in_order): rows, those whose time lies before the row's before them in the order of ``by``, and whether there is none. A null time is not compared."""
+    before = F.lag(ts).over(Window.partitionBy("series").orderBy(by))
+    marked = df.select("series", F.coalesce(F.col(ts) < before, F.lit(False)).alias("__back"))
+    return marked.groupBy("series").agg(F.count("*").alias("n"), F.sum(F.col("__back").cast("long")).alias("n_back")).withColumn("in_order", F.col("n_back") == 0)
+
+
+def temporal_split(df: DataFrame, ts: str = "ts", split: str = "split") -> DataFrame:
+    """(series, train_end, test_start, apart): the last time of train, the first of test, and whether the one lies before the other; null where either part is empty."""
+    end, start = F.max(F.when(F.col(split) == "train", F.col(ts))), F.min(F.when(F.col(split) == "test", F.col(ts)))
+    return df.groupBy("series").agg(end.alias("train_end"), start.alias("test_start")).withColumn("apart", F.col("train_end") < F.col("test_start"))
+
+
+def binary_metrics(df: DataFrame, truth: str, guess: str, score: str | None = None) -> DataFrame:
+    """One row: n, accuracy, precision, recall, f1 for truth and guess of 0 and 1, and auc of the score (null without one, or where all rows are of one class).
+
+    The area under the curve comes from the sum of average ranks of the ones; ranks are taken by ranges of scores.
+    """
+    t, g = F.col(truth) == 1, F.col(guess) == 1
+    n = lambda c: F.sum(c.cast("long"))
+    known = df.where(F.col(truth).isNotNull() & F.col(guess).isNotNull())
+    sums = known.agg(F.count("*").alias("n"), F.avg((t == g).cast("double")).alias("accuracy"), over(n(t & g), n(g)).alias("precision"), over(n(t & g), n(t)).alias("recall"), over(2 * n(t & g), n(t) + n(g)).alias("f1"))
+    if score is None:
+        return sums.withColumn("auc", F.lit(None).cast("double"))
+    ranked = average_ranks(known.where(F.col(score).isNotNull()).select(F.col(truth).cast("long").alias("__t"), F.col(score).alias("__s")), ["__s"])
+    ones, rows = F.sum("__t"), F.count("*")
+    area = ranked.agg(over(F.sum(F.when(F.col("__t") == 1, F.col("__s_rank"))) - ones * (ones + 1) / 2, ones * (rows - ones)).alias("auc"))
+    return sums.crossJoin(area)  # one row each

@@ -97,3 +97,23 @@ def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], object], folds: int =
 def meta_rows(told: DataFrame, label: str = "label") -> DataFrame:
     """Covered rows with a direction predicted; meta_label: 1 if it came true."""
     return told.where("coverage = 1 and prediction <> 0").withColumn("meta_label", (F.col("prediction") == F.col(label)).cast("int"))
+
+
+def meta_features(told: DataFrame, features: list[str], label: str = "label", directional: bool = True) -> DataFrame:
+    """Covered rows (with a direction predicted, unless ``directional`` is off) with meta_label, 1 if the prediction came true; nulls and NaN of the features take the median of these rows, 0 without one."""
+    rows = told.where("coverage = 1" + (" and prediction <> 0" if directional else "")).withColumn("meta_label", (F.col("prediction") == F.col(label)).cast("int"))
+    clean = rows.withColumns({f: F.when(~F.isnan(F.col(f).cast("double")), F.col(f).cast("double")) for f in features})
+    middle = clean.agg(*[F.percentile(f, 0.5).alias(f) for f in features]).first()
+    return clean.fillna({f: float(middle[f]) if middle[f] is not None else 0.0 for f in features})
+
+
+def train_meta(rows: DataFrame, features: list[str], fit: Callable[[DataFrame], object]) -> tuple[object, DataFrame]:
+    """A model of meta_label from the rows of ``meta_features``, and its metrics on them. ``fit`` gives something with ``transform``; where that adds proba in the order of the classes, its last is the score."""
+    from .evaluation import binary_metrics
+
+    model = fit(rows)
+    told = model.transform(rows)
+    score = None
+    if "proba" in told.columns:
+        told, score = told.withColumn("__score", F.element_at("proba", -1)), "__score"
+    return model, binary_metrics(told, "meta_label", "prediction", score)

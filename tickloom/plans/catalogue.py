@@ -400,7 +400,20 @@ def _(s, d):
     return _pick(stats.f_scores(_bars(s, d), ["volume", "v_buy", "v_sell"], "log_return"), ["r", "f_score"], ["feature"])
 
 
-@query("vif")
+def determinant(m: list[list[str]]) -> str:
+    """By the first row; of test sizes only."""
+    if len(m) == 1:
+        return m[0][0]
+    parts = [f"{'-' if i % 2 else '+'} {x} * ({determinant([r[:i] + r[i + 1 :] for r in m[1:]])})" for i, x in enumerate(m[0])]
+    return " ".join(parts).removeprefix("+ ")
+
+
+_V4 = ["open", "volume", "v_buy", "v_sell"]
+_M4 = [["(1 + 1e-8)" if a == b else f"r_{min(a, b)}_{max(a, b)}" for b in _V4] for a in _V4]
+_VIF4 = " UNION ALL ".join(f"SELECT '{c}' AS feature, round(({determinant([r[:i] + r[i + 1 :] for j, r in enumerate(_M4) if j != i])}) / ({determinant(_M4)}), 6) AS vif FROM c" for i, c in enumerate(_V4))
+
+
+@query("vif", f"WITH {BARS}, c AS (SELECT {', '.join(f'corr({min(a, b)}, {max(a, b)}) AS r_{min(a, b)}_{max(a, b)}' for a, b in stats.pairs(_V4))} FROM bars) {_VIF4}")
 def _(s, d):
     return _pick(stats.vif(_bars(s, d), ["open", "volume", "v_buy", "v_sell"]), ["vif"], ["feature"])
 
@@ -511,4 +524,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import analysis_queries, fitted_queries, indicator_queries, model_queries, more_queries, search_queries  # noqa: E402, F401  their queries add themselves
+from . import analysis_queries, fitted_queries, indicator_queries, model_queries, more_queries, search_queries, slice_queries  # noqa: E402, F401  their queries add themselves

@@ -25,7 +25,13 @@ def _sql(ctes: list[str], named: dict[str, str], source: str) -> str:
     return f"WITH {', '.join([_B, *ctes])} SELECT series, bar_id, {_r(named)} FROM {source}"
 
 
+#: Columns that each family's query compares.
+NAMED: dict[str, list[str]] = {}
+
+
 def _ask(name: str, ctes: list[str], named: dict[str, str], source: str, family) -> None:
+    NAMED[name] = list(named)
+
     @query(name, _sql(ctes, named, source))
     def _(s, d):
         return _pick(family(_bars(s, d)), list(named))

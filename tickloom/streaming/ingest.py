@@ -1,16 +1,25 @@
-"""Streaming ingestion: deduplicated ticks and bars with state."""
+"""Streaming ingestion: deduplicated ticks, and volume-clock bars that are the batch operator's.
+
+Ticks may come late, repeated and out of order within the watermark's delay. They wait in map state, by time and number, until the watermark passes them; a timer then
+takes the due ones in order and folds them as ``operators.bars`` does. A series' state is its waiting ticks and one open bar; both are in the state store, so a
+query that restarts from its checkpoint goes on with the same bars.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.bars import SCHEMA
+from ..operators.bars import SCHEMA, Fold
 
-STATE = "bar_id long, first_us long, open double, high double, low double, volume double, value double, n long"
+#: The state store that map state and timers need.
+STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+KEY, TICK = "us long, seq long", "price double, amount double"
+OPEN = "bar long, n long, value double, volume double, first double, high double, low double, last double, began long, ended long"
 
 
 def deduplicate(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -18,21 +27,61 @@ def deduplicate(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return ticks.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["series", "seq"])
 
 
-def dollar_bars(ticks: DataFrame, threshold: float) -> DataFrame:
-    """Fixed-threshold bars of each series; the open bar is state of fixed size between micro-batches. A batch is put in order of ts and seq."""
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bar, first, o, h, lo, volume, value, n = state.get if state.exists else (0, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
-        pdf = pd.concat(list(parts)).sort_values(["ts", "seq"], kind="stable")
-        out = []
-        for ts, p, v in zip(pdf["ts"], pdf["price"], pdf["amount"]):
-            if n == 0:
-                first, o, h, lo, volume, value = int(pd.Timestamp(ts).value // 1000), p, p, p, 0.0, 0.0
-            h, lo, volume, value, n = max(h, p), min(lo, p), volume + v, value + p * v, n + 1
-            if value >= threshold:
-                out.append((key[0], bar, pd.Timestamp(first, unit="us"), ts, o, h, lo, p, volume, value, value / volume if volume > 0 else p, n, threshold))
-                bar, n = bar + 1, 0
-        state.update((bar, first, float(o), float(h), float(lo), float(volume), float(value), n))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return ticks.groupBy("series").applyInPandasWithState(step, SCHEMA, STATE, "append", GroupStateTimeout.NoTimeout)
+def _fold(threshold: float, held: tuple | None) -> Fold:
+    fold = Fold(threshold, None, (0.0, np.inf))
+    if held is not None:
+        fold.bar, fold.n, fold.value, fold.volume, fold.first, fold.high, fold.low, fold.last, fold.began, fold.ended = held
+    return fold
+
+
+class TickBars(StatefulProcessor):
+    """Bars of a fixed threshold; see ``dollar_bars``."""
+
+    def __init__(self, threshold: float) -> None:
+        self.threshold = threshold
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting, self.open = handle.getMapState("waiting", KEY, TICK), handle.getValueState("open", OPEN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(rows))
+        pdf = pdf.dropna(subset=["ts", "price", "amount"])
+        if len(pdf):
+            us = pdf["ts"].astype("datetime64[us]").astype("int64")
+            for at, seq, price, amount in zip(us.tolist(), pdf["seq"].tolist(), pdf["price"].tolist(), pdf["amount"].tolist()):
+                self.waiting.updateValue((at, seq), (price, amount))
+            for ms in sorted(set((us // 1000 + 1).tolist())):
+                self.handle.registerTimer(ms)
+        yield from ()
+
+    @staticmethod
+    def _plain(v):
+        return v.item() if isinstance(v, np.generic) else v
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        limit = timerValues.getCurrentWatermarkInMs() * 1000
+        due = sorted((*k, *v) for k, v in self.waiting.iterator() if k[0] < limit)
+        if not due:  # an earlier timer of this batch took them
+            return
+        for t in due:
+            self.waiting.removeKey(t[:2])
+        fold = _fold(self.threshold, self.open.get() if self.open.exists() else None)
+        us, price, amount = (np.array([t[i] for t in due]) for i in (0, 2, 3))
+        found = fold.feed(us, price.astype(float), amount.astype(float))
+        self.open.update(tuple(map(self._plain, (fold.bar, fold.n, fold.value, fold.volume, fold.first, fold.high, fold.low, fold.last, fold.began or 0, fold.ended or 0))))
+        at = lambda t: pd.Timestamp(int(t), unit="us")
+        if found:
+            yield pd.DataFrame([(key[0], f[0], at(f[1]), at(f[2]), *f[3:]) for f in found], columns=[c.split()[0] for c in SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def dollar_bars(ticks: DataFrame, threshold: float, delay: str = "10 minutes") -> DataFrame:
+    """Bars of each series of a stream with a fixed threshold: those of the batch operator over all ticks that the watermark has passed.
+
+    A tick later than the watermark is dropped by Spark; ticks with a null time, price or amount take no part. Append mode, with the state store of ``STORE``.
+    """
+    marked = ticks.withWatermark("ts", delay)
+    return marked.groupBy("series").transformWithStateInPandas(statefulProcessor=TickBars(threshold), outputStructType=SCHEMA, outputMode="Append", timeMode="EventTime")
