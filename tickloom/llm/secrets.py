@@ -3,7 +3,8 @@
 Each line's words are tagged secret-begin, secret-inside or outside by Viterbi decoding of a linear chain; features
 are a word's shape, its neighbours' cue words and the document's share of digits. The model learns
 from words inside exact matches, once as they are and once without their cues, so that shape alone can tell, on a bounded sample: at most ``sample_docs`` distinct texts with a cue and half as many of all,
-those with the least hashes. Without any match in the sample nothing is added.
+those with the least hashes. A fifth of the sample's windows is held out: the model is made as cautious as finding these
+windows' matches without their cues allows. Without any match in the sample nothing is added.
 
 Spans are (kind, start, end) in code points, end exclusive. Exact ones stay whatever the model
 says; the model's (kind ``crf``) are kept where they touch no exact one. Null or empty text: no spans.
@@ -13,6 +14,7 @@ Repeated rows and null ids pass through, one result per row.
 from __future__ import annotations
 
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +33,11 @@ _CUES = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 FEATURES = 19
 #: Features: has a digit, is a cue, and those that a cue word near by gives.
-DIGIT, MIXED, CUE, CUES = 1, 4, 12, (11, 12, 13)
-#: Score that a document's words need beyond the model's, in favour of outside.
-CAUTION = 2.0
+DIGIT, MIXED, LINK, CUE, CUES = 1, 4, 8, 12, (11, 12, 13)
+#: Scores in favour of outside that are tried on held-out windows, and the share of their matches that must still be found.
+TRIED, FOUND = (0.0, 1.0, 2.0, 3.0, 4.0, 6.0, 8.0, 12.0), 0.95
+#: Weight of a window without its cues beside the one with them.
+BARE = 3.0
 #: Words on each side of a secret that are learnt from.
 WINDOW = 25
 _EDGE = b".,;:!?()[]{}<>\"'`"
@@ -122,9 +126,7 @@ def scan(column: pa.Array, model: crf.Chain | None) -> list[list[tuple[int, int,
                 out[first + i] = exact_spans(buf[off[i] : off[i + 1]].tobytes().decode())
         if model is None or not len(block.starts):
             continue
-        scores = x @ model.weights.T
-        scores[:, OUTSIDE] += CAUTION
-        labels = crf.viterbi(model, scores, lines)
+        labels = crf.viterbi(model, x @ model.weights.T, lines)
         begins = np.flatnonzero(labels == BEGIN)
         if not len(begins):
             continue
@@ -146,13 +148,12 @@ def scan(column: pa.Array, model: crf.Chain | None) -> list[list[tuple[int, int,
 
 
 def _without_cues(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The same words as if no cue stood there, so that shapes are learnt too: a bare cue word is outside, the word after it begins the secret."""
-    bare = (x[:, CUE] > 0) & (x[:, DIGIT] == 0) & (y != OUTSIDE)
+    """The same words as if no cue stood there, so that shapes are learnt too: a bare cue word or sign is outside, the word after it begins the secret."""
+    bare = ((x[:, CUE] > 0) | (x[:, LINK] > 0)) & (x[:, DIGIT] == 0) & (y != OUTSIDE)
     x, y = x.copy(), y.copy()
     x[:, list(CUES)] = 0
+    x[bare, LINK] = 0  # the cue's own sign goes with it
     y[bare] = OUTSIDE
-    after = np.flatnonzero(bare[:-1]) + 1
-    y[after[y[after] == INSIDE]] = BEGIN
     y[(y == INSIDE) & (np.concatenate([[OUTSIDE], y[:-1]]) == OUTSIDE)] = BEGIN
     return x, y
 
@@ -200,10 +201,32 @@ def train(docs: DataFrame, sample_docs: int = 600) -> crf.Chain | None:
     got = sorted({(bytes(r["x"]), bytes(r["y"])) for r in arrow_map(sample, features, "x binary, y binary").toLocalIterator()})
     if not any(any(y) for _, y in got):
         return None
-    x = np.concatenate([np.frombuffer(v, "<f4").reshape(-1, FEATURES) for v, _ in got]).astype(np.float64)
-    y = np.concatenate([np.frombuffer(v, np.int8) for _, v in got])
-    off = np.concatenate([[0], np.cumsum([len(v) for _, v in got])])
-    return crf.fit(x, y, off, 3, rounds=80, banned=[(OUTSIDE, INSIDE)], banned_start=[INSIDE])
+    x, y = ([np.frombuffer(v[i], t).reshape(-1, *more) for v in got] for i, t, more in ((0, "<f4", (FEATURES,)), (1, np.int8, ())))
+    own = np.array([zlib.crc32(v[0]) % 5 > 0 for v in got])
+    model = _fit([v for v, k in zip(x, own) if k], [v for v, k in zip(y, own) if k]) if any(v.any() for v, k in zip(y, own) if k) else _fit(x, y)
+    caution = _caution(model, [v for v, k in zip(x, own) if not k], [v for v, k in zip(y, own) if not k])
+    weights = model.weights.copy()
+    weights[OUTSIDE, 0] += caution  # the first feature is 1 for all words
+    return crf.Chain(weights, model.moves, model.start)
+
+
+def _fit(x: list[np.ndarray], y: list[np.ndarray]) -> crf.Chain:
+    bare = np.array([BARE if v.any() and not w[:, list(CUES)].any() else 1.0 for w, v in zip(x, y)])
+    return crf.fit(np.concatenate(x).astype(np.float64), np.concatenate(y), np.concatenate([[0], np.cumsum([len(v) for v in y])]), 3, weight=bare, rounds=150, l2=1e-5, rate=0.5, banned=[(OUTSIDE, INSIDE)], banned_start=[INSIDE])
+
+
+def _caution(model: crf.Chain, x: list[np.ndarray], y: list[np.ndarray]) -> float:
+    """The largest score in favour of outside with which ``FOUND`` of the words of exact matches are still tagged where the held-out windows' cues are taken out.
+
+    Words outside matches can't tell: a secret that no pattern knows stands among them.
+    """
+    bare = [(w, v) for w, v in zip(x, y) if v.any() and not w[:, list(CUES)].any()]
+    if not bare:
+        return TRIED[2]
+    scores, truth = np.concatenate([w for w, _ in bare]).astype(np.float64) @ model.weights.T, np.concatenate([v for _, v in bare])
+    off = np.concatenate([[0], np.cumsum([len(v) for _, v in bare])])
+    found = [(crf.viterbi(model, scores + c * (np.arange(3) == OUTSIDE), off)[truth != OUTSIDE] != OUTSIDE).mean() for c in TRIED]
+    return max((c for c, f in zip(TRIED, found) if f >= FOUND), default=TRIED[0])
 
 
 def find(docs: DataFrame, model: crf.Chain | None) -> DataFrame:

@@ -93,7 +93,8 @@ def _grown(rows: DataFrame, need: int, size: int) -> DataFrame:
 
 
 def _by_level(rows: DataFrame, need: int, size: int, rule: Column) -> DataFrame:
-    """The same sets, less those that hold a rule, counted size by size: only sets that are no rule are extended."""
+    """The same sets, less those that hold a rule, counted size by size: only sets that are no rule are extended. They are written, so that Spark sees their size and sends them
+    to all tasks only if they are small."""
     keys, sets, levels = ["t0"], rows.select("bad", "ids", F.explode("ids").alias("t0")), []
     for k in range(2, size + 1):
         before, new = keys, f"t{k - 1}"
@@ -102,12 +103,12 @@ def _by_level(rows: DataFrame, need: int, size: int, rule: Column) -> DataFrame:
         if k > 2:  # all subsets one smaller are frequent and no rule
             for left in range(k - 2, -1, -1):
                 own = [t for i, t in enumerate(keys) if i != left]
-                sets = sets.join(F.broadcast(open_sets.toDF(*own)), own, "left_semi")
+                sets = sets.join(open_sets.toDF(*own), own, "left_semi")
         found = cut(sets.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.col("bad").cast("long")).alias("n_bad")).where(F.col("n_bad") >= need))
         levels.append(found.select(F.array(*keys).alias("ids"), "n", "n_bad"))
         open_sets = found.where(~rule).select(*keys)
         if k < size:
-            sets = sets.join(F.broadcast(open_sets), keys, "left_semi")
+            sets = sets.join(open_sets, keys, "left_semi")
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)
