@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,20 @@ from ..functions.slices import SLICE, in_slices
 from .indicators import smooth
 
 
+#: Beginnings of names of columns that a lag adds nothing to: places in the calendar, states and sums of all that went before.
+TIMELESS: set[str] = set()
+
+
+def timeless(*names: str):
+    """Declares such columns of a block."""
+
+    def keep(block):
+        TIMELESS.update(names)
+        return block
+
+    return keep
+
+
 def R() -> Column:
     return F.col("log_return")
 
@@ -48,6 +61,7 @@ def price_zscore(bars: DataFrame, windows=(10, 20, 50)) -> DataFrame:
     return bars.withColumns({f"price_zscore_{k}": z(k) for k in windows})
 
 
+@timeless("return_streak")
 def return_streak(bars: DataFrame) -> DataFrame:
     """Signed length of the current run of returns of one sign; 0 for a 0 return; a null repeats the run before it."""
     rows = bars.withColumn("__s", F.signum(R()))
@@ -115,6 +129,7 @@ def order_flow(bars: DataFrame, window: int = 50) -> DataFrame:
     return rows.withColumns(cols).drop("__d", "__v")
 
 
+@timeless("hour_", "day_", "dow_", "month_")
 def calendar(bars: DataFrame, ts: str = "ts_close") -> DataFrame:
     """Hour with minutes, weekday (Monday 0), month day, ISO week, month, quarter; sines and cosines of hour, weekday, month."""
     t = F.col(ts)
@@ -123,6 +138,7 @@ def calendar(bars: DataFrame, ts: str = "ts_close") -> DataFrame:
     return bars.withColumns({"hour": hour, "day_of_week": dow, "day_of_month": F.dayofmonth(t), "week": F.weekofyear(t), "month": month, "quarter": F.quarter(t), "hour_sin": F.sin(turn(hour, 24)), "hour_cos": F.cos(turn(hour, 24)), "dow_sin": F.sin(turn(dow, 7)), "dow_cos": F.cos(turn(dow, 7)), "month_sin": F.sin(turn(month, 12)), "month_cos": F.cos(turn(month, 12))})
 
 
+@timeless("rolling_max", "rolling_min", "drawdown", "drawup", "crash_")
 def drawdowns(bars: DataFrame, crashes=(0.05, 0.10, 0.20)) -> DataFrame:
     """Running extremes, distances from them, rows since them, and crash flags."""
     w = so_far()
@@ -140,6 +156,7 @@ def since_shock(bars: DataFrame, threshold: float, name: str = "bars_since_shock
     return bars.withColumn(name, F.coalesce(row() - hit, row() - 1))
 
 
+@timeless("vol_regime_", "vol_zscore")
 def volatility_regime(bars: DataFrame, window: int = 20, quantiles=(0.75, 0.90, 0.95), least: int = 40, slices: int | None = None) -> DataFrame:
     """Rolling deviation of returns, flags of whether it is over the quantiles of all so far, and its z-score among all so far.
 
@@ -174,22 +191,9 @@ def acceleration(bars: DataFrame, column: str = "bar_duration_ts", span: int | N
     return rows.withColumn("temporal_acceleration_smooth", F.lag("__ema").over(order()) - F.col("__ema")).drop("__ema")
 
 
-#: Fixed patterns of names and their kinds, the first that fits; names that none fits are slow.
-LAG_KINDS = (
-    ("no_lag", r"_sin$|_cos$|hour_|day_|month_|frac_diff|^log_price$|timestamp|datetime|^date$|crash_\d+|vol_regime_|vol_zscore$|drawdown$|drawup$|rolling_max$|rolling_min$|return_streak$"),
-    ("aggregated", r"cum_return_\d+|realized_vol_\d+|local_sharpe_\d+|ma_\d+|price_zscore_\d+|cross_ma_|max_return_\d+|min_return_\d+|volatility_\d+|_roll_|_sum_\d+|_mean_\d+|bars_since_"),
-    ("slow", r"parkinson|garman_klass|rogers_satchell|yang_zhang|range_ratio$|body_ratio$|intrabar_var|intrabar_vol|tick_range$|realized_var|tick_realized|vpin|kyle_lambda|entropy|range_efficiency|vol_of_vol"),
-    ("fast", r"^log_return$|^return$|^r_t$|volume_imbalance$|^oi$|order_imbalance$|^volume$|^volume_btc$|^volume_usd$|^tick_count$|tick_intensity|^n_ticks$|activity|^buy_volume$|^sell_volume$|signed_volume|tick_mean_return"),
-)
-
-
-def lag_kind(name: str) -> str:
-    return next((kind for kind, pattern in LAG_KINDS if re.search(pattern, name.lower())), "slow")
-
-
 def planned_lags(df: DataFrame, columns: list[str], ks=(1, 5, 10, 15, 25, 50)) -> DataFrame:
-    """Lags of the columns whose names call for them (``lag_kind``)."""
-    return lags(df, [c for c in columns if lag_kind(c) != "no_lag"], ks)
+    """Lags of the columns that no block declares to say all at their own time (``timeless``)."""
+    return lags(df, [c for c in columns if not c.startswith(tuple(TIMELESS))], ks)
 
 
 def rolling_spearman(df: DataFrame, a: str, b: str, k: int = 50) -> DataFrame:
@@ -222,6 +226,7 @@ def frac_diff(bars: DataFrame, d: float = 0.5, size: int = 20, name: str | None
     return bars.withColumn(name or f"frac_diff_d{round(10 * d):02d}", terms)
 
 
+@timeless("frac_diff")
 def frac_diff_expanding(bars: DataFrame, d: float = 0.5, least: int = 20, name: str = "frac_diff_expanding", block: int | None = None, slices: int | None = None) -> DataFrame:
     """Fractional difference of log price with weights over all history; null before ``least`` rows and from the first unknown price on.
 

@@ -131,9 +131,10 @@ def _(s, d):
     return tape.bounds(_ticks(s, d))
 
 
-@query("source_time_ranges", "SELECT i AS start_ms, least(i + 33, 200) AS end_ms FROM range(0, 200, 33) t(i)")
+@query("source_time_ranges", f"""WITH {TICKS}, m AS (SELECT epoch_us(min(ts)) // 1000 AS a, epoch_us(max(ts)) // 1000 + 1 AS z FROM ticks), k AS (SELECT a, z, greatest(1, (z - a) // 6) AS step FROM m)
+SELECT a + i * step AS start_ms, least(a + (i + 1) * step, z) AS end_ms, (SELECT count(*) FROM ticks WHERE epoch_us(ts) // 1000 >= a + i * step AND epoch_us(ts) // 1000 < least(a + (i + 1) * step, z)) AS n FROM k, range(0, 8) r(i) WHERE a + i * step < z""")
 def _(s, d):
-    return tape.time_ranges(s, 0, 200, 6)
+    return tape.ranges_of(_ticks(s, d), 6)
 
 
 @query("source_tick_bars", f"WITH {BARS} SELECT series, bar_id, ts_open, ts_close, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 6) AS volume, round(v_buy, 6) AS v_buy, round(v_sell, 6) AS v_sell, n_ticks, round(log_return, 6) AS log_return FROM bars")

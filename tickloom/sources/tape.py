@@ -48,6 +48,18 @@ def time_ranges(spark: SparkSession, start: int, end: int, workers: int) -> Data
     return spark.range(start, end, step).select(F.col("id").alias("start_ms"), F.least(F.col("id") + step, F.lit(end)).alias("end_ms"))
 
 
+def ranges_of(ticks: DataFrame, workers: int, ts: str = "ts") -> DataFrame:
+    """(start_ms, end_ms, n): the time that ticks cover in ``time_ranges``, and the ticks of each; none for a table without times. Runs a job for the bounds."""
+    ms = F.unix_millis(F.col(ts).cast("timestamp"))
+    first, last = ticks.agg(F.min(ms), F.max(ms)).first()
+    if first is None:
+        return ticks.limit(0).select(F.lit(0).cast("long").alias("start_ms"), F.lit(0).cast("long").alias("end_ms"), F.lit(0).cast("long").alias("n"))
+    step = max(1, (last + 1 - first) // workers)
+    counted = ticks.where(F.col(ts).isNotNull()).groupBy(F.floor((ms - first) / step).alias("k")).agg(F.count("*").alias("n"))
+    ranges = time_ranges(ticks.sparkSession, first, last + 1, workers).withColumn("k", F.floor((F.col("start_ms") - first) / step))
+    return ranges.join(counted, "k", "left").select("start_ms", "end_ms", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
 def date_chunks(spark: SparkSession, start: str, end: str, days: int = 14) -> DataFrame:
     """A date range in chunks of ``days``."""
     first = spark.range(1).select(F.explode(F.sequence(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"), F.expr(f"interval {days} days"))).alias("chunk_start"))
