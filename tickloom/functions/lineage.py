@@ -3,17 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder that the session names; one is made only where none is named and all runs in one process, as in tests."""
-    context, named = df.sparkSession.sparkContext, df.sparkSession.conf.get("spark.checkpoint.dir", None)
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; one is made only where none is named and all runs in one process, as in tests."""
+    context, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if named:
         context.setCheckpointDir(named)
     elif context.getCheckpointDir() is None:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The name of a folder in the shared one that isn't there yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

@@ -1,12 +1,15 @@
-"""Queries of one long series in many slices, of whole feature tables, of order in time, and of meta-labels, trees and groups of features."""
+"""Queries of one long series in many slices, of a feed in pages, of whole feature tables, of order in time, and of meta-labels, trees and groups of features."""
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
 from ..operators import boosting, cleaning, evaluation, labels, linkage, models, transform
-from ..sources import tape
+from ..functions.lineage import new_folder
+from ..sources import feed, tape
 from . import catalogue as C
 from . import indicator_queries, more_queries
 from .catalogue import _SQL, _TB, KEY, TICKS, O, _bars, _labelled, _pick, query
@@ -45,6 +48,17 @@ def _(s, d):
     return _pick(labels.ewm_volatility(tape.tick_bars(_one(s, d)), slices=64), ["vol"])
 
 
+@query("source_feed", f"WITH {TICKS}, m AS (SELECT date_trunc('day', min(ts)) AS a FROM ticks) SELECT series, seq, CAST(epoch_us(ts) AS BIGINT) AS us, price, amount, side FROM ticks, m WHERE ts >= a + INTERVAL 2 DAY AND ts < a + INTERVAL 9 DAY")
+def _(s, d):
+    """All events as pages of a day that overlap by an hour, and a week of the tape read back from them."""
+    trades, path = tape.ticks(s, d).withColumn("ts", F.col("ts").cast("timestamp")), new_folder(s, "feed")
+    feed.write_pages(trades, path, 86_400_000, 3_600_000)
+    feed.register(s)
+    first = trades.agg(F.date_trunc("day", F.min("ts")).alias("a")).first()["a"].astimezone()
+    week = s.read.format("trade_feed").load(path).where((F.col("ts") >= first + timedelta(days=2)) & (F.col("ts") < first + timedelta(days=9)))
+    return feed.tape(week).select("series", "seq", F.unix_micros("ts").alias("us"), "price", "amount", "side")
+
+
 # whole tables: each block's columns as its own query has them, all from one plan
 
 _WINDOWED = {"momentum": C._MOM, "moving_averages": C._MA, "price_zscore": C._PZ, "realized_moments": C._RV, "jumps": C._J, "range_volatility": C._RG, "order_flow": C._FL, "bar_durations": more_queries._DUR}
