@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from tickloom.functions import special
-from tickloom.operators import analysis
+from tickloom.operators import analysis, stats
 
 
 @pytest.fixture(scope="module")
@@ -80,3 +80,38 @@ def test_groups_and_eigenvalues(spark):
     assert cluster["p"] == cluster["n"] != cluster["q"] == cluster["r"]
     got = [r["eigenvalue"] for r in analysis.eigenvalues(df, ["p", "n", "q", "r"]).orderBy("component").collect()]
     assert got == pytest.approx(np.linalg.eigvalsh(np.corrcoef(np.array(rows).T))[::-1].tolist())
+
+
+def test_cluster_scores_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(k, *(rng.normal(size=3) + k).tolist()) for k in range(9) for _ in range(1 if k == 8 else 12)] + [(None, 1.0, 1.0, 1.0), (3, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "label int, a double, b double, c double")
+    v, of = np.array([r[1:] for r in rows[:-2]]), np.array([r[0] for r in rows[:-2]])
+    far = ((v[:, None] - v[None]) ** 2).sum(2)
+    scores = []
+    for i, k in enumerate(of):
+        own = far[i][(of == k) & (np.arange(len(of)) != i)]
+        b = min(far[i][of == o].mean() for o in range(9) if o != k)
+        scores.append((b - own.mean()) / max(b, own.mean()) if len(own) else 0.0)
+    m = np.array([v[of == k].mean(0) for k in range(9)])
+    s = np.array([np.sqrt(((v[of == k] - m[k]) ** 2).sum(1)).mean() for k in range(9)])
+    worst = [max((s[i] + s[j]) / np.sqrt(((m[i] - m[j]) ** 2).sum()) for j in range(9) if j != i) for i in range(9)]
+    for size in (stats.BLOCK, 12):  # all clusters in one array, and two in each
+        monkeypatch.setattr(stats, "BLOCK", size)
+        r = stats.cluster_scores(df, ["a", "b", "c"], "label").first()
+        assert (r["n_clusters"], r["silhouette"], r["davies_bouldin"]) == (9, pytest.approx(np.mean(scores)), pytest.approx(np.mean(worst)))
+
+
+def test_entropies_are_those_of_plain_counts():
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(3, 30)), np.ones((1, 30)), np.tile([1.0, 2.0, 4.0], (1, 10))])
+    apen, sampen = analysis.entropies(x)
+    for row, a, s in zip(x, apen, sampen):
+        if row.std() < 1e-10:
+            assert (a, s) == (0, 0)
+            continue
+        z = (row - row.mean()) / row.std()
+        like = lambda i, j, k: max(abs(z[i + t] - z[j + t]) for t in range(k)) <= 0.2  # noqa: B023, E731
+        phi = [np.mean([math.log(np.mean([like(i, j, k) for j in range(31 - k)])) for i in range(31 - k)]) for k in (2, 3)]
+        n = [sum(like(i, j, k) for i in range(28) for j in range(i)) for k in (2, 3)]
+        assert a == pytest.approx(phi[0] - phi[1]) and s == pytest.approx(-math.log(n[1] / n[0]) if min(n) else math.log(30))

@@ -5,6 +5,9 @@ Regressions are solved from sums of products, one aggregate a series; what a tas
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -113,15 +116,19 @@ def _granger_test(k: int):
 
 
 def granger(df: DataFrame, column: str, target: str, most: int = 5) -> DataFrame:
-    """(series, lag, f, p): whether ``lag`` earlier values of a column help those of the target to tell its next one; null where too short."""
-    out = None
-    for k in range(1, most + 1):
-        names = [f"__{c}{i}" for c in ("y", "x") for i in range(1, k + 1)]
-        lagged = df.select("series", F.col(target).alias("__y"), *[F.lag(c, i).over(order()).alias(f"__{n}{i}") for n, c in (("y", target), ("x", column)) for i in range(1, k + 1)])
+    """(series, lag, f, p): whether ``lag`` earlier values of a column help those of the target to tell its next one; null where too short.
 
-        found = gram(lagged, ["__y", *names]).select("series", F.lit(k).alias("lag"), _granger_test(k)("n", "g").alias("t")).select("series", "lag", "t.f", "t.p")
-        out = found if out is None else out.union(found)
-    return out
+    One pass sums up the products for every number of lags, each over the rows that are whole for it.
+    """
+    lags = [f"__{c}{i}" for i in range(1, most + 1) for c in ("y", "x")]
+    lagged = df.select("series", F.col(target).cast("double").alias("__y"), *[F.lag(c, i).over(order()).cast("double").alias(f"__{n}{i}") for i in range(1, most + 1) for n, c in (("y", target), ("x", column))])
+    sums = []
+    for k in range(1, most + 1):
+        x = [F.lit(1.0), *[F.col(f"__{c}") for c in ("y", *[f"y{i}" for i in range(1, k + 1)], *[f"x{i}" for i in range(1, k + 1)])]]
+        whole = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in ("__y", *lags[: 2 * k])])
+        sums += [F.count_if(whole).alias(f"n{k}"), F.array(*[F.sum(F.when(whole, x[i] * x[j])) for i in range(len(x)) for j in range(i, len(x))]).alias(f"g{k}")]
+    tested = lagged.groupBy("series").agg(*sums).select("series", *[_granger_test(k)(f"n{k}", f"g{k}").alias(f"t{k}") for k in range(1, most + 1)])
+    return tested.select("series", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"t{k}.f"), F.col(f"t{k}.p")) for k in range(1, most + 1)])))
 
 
 #: MacKinnon's response surface for one variable with a constant, 5 per cent.
@@ -198,37 +205,51 @@ def ljung_box(df: DataFrame, column: str, most: int = 10) -> DataFrame:
     return stats.ljung_box(df, column, most).withColumn("p", tail("q"))
 
 
-def _complexity(sample: bool, m: int, tolerance: float):
-    def matches(x: np.ndarray, size: int, n: int) -> np.ndarray:
-        at = np.arange(n)[:, None] + np.arange(size)
-        return np.abs(x[at][:, None] - x[at][None]).max(axis=2) <= tolerance
-
-    def one(values) -> float | None:
-        if values is None:
-            return None
-        x = np.asarray(values, float)
-        std = x.std()
-        if std < 1e-10:
-            return 0.0
-        x, n = (x - x.mean()) / std, len(x)
-        if sample:
-            b, a = ((matches(x, k, n - m).sum() - (n - m)) / 2 for k in (m, m + 1))
-            return float(np.log(n) if a == 0 or b == 0 else -np.log(a / b))
-        phi = [float(np.log(matches(x, k, n - k + 1).mean(axis=1)).mean()) for k in (m, m + 1)]
-        return phi[0] - phi[1]
+def entropies(x: np.ndarray, m: int = 2, tolerance: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """Approximate and sample entropy of each row of ``x``, over its deviation; 0 for a constant row, NaN for m values or fewer."""
+    n = x.shape[1]
+    if n <= m:
+        return np.full(len(x), np.nan), np.full(len(x), np.nan)
+    std = x.std(axis=1)
+    flat = std < 1e-10
+    x = (x - x.mean(axis=1)[:, None]) / np.where(flat, 1.0, std)[:, None]
+    close = np.abs(x[:, :, None] - x[:, None, :]) <= tolerance
+    # runs of k values that are alike pairwise: those of k - 1, and the next value too
+    alike = [close]
+    for k in range(1, m + 1):
+        alike.append(alike[-1][:, :-1, :-1] & close[:, k:, k:])
+    few, more = alike[m - 1], alike[m]
+    approximate = np.log(few.mean(axis=2)).mean(axis=1) - np.log(more.mean(axis=2)).mean(axis=1)
+    b, a = ((c[:, : n - m, : n - m].sum(axis=(1, 2)) - (n - m)) / 2 for c in (few, more))
+    none = (a == 0) | (b == 0)
+    sample = np.where(none, np.log(n), -np.log(np.where(none, 1.0, a) / np.where(none, 1.0, b)))
+    return np.where(flat, 0.0, approximate), np.where(flat, 0.0, sample)
 
-    @F.pandas_udf("double")
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([one(v) for v in x], dtype="float64")
 
-    return run
+#: Frames that are compared at a time.
+_LOT = 256
 
 
 def complexity(bars: DataFrame, window: int = 50, m: int = 2, tolerance: float = 0.2) -> DataFrame:
-    """Approximate and sample entropy of a frame's normalised returns: apen_k, sampen_k. Half a frame of values is needed; 0 for a constant frame."""
+    """Approximate and sample entropy of a frame's normalised returns: apen_k, sampen_k. Half a frame of values is needed; 0 for a constant frame.
+
+    Both come from one table of which values are alike, for many frames of one length at a time.
+    """
+
+    @F.pandas_udf("struct<apen double, sampen double>")
+    def run(x: pd.Series) -> pd.DataFrame:
+        out = np.full((len(x), 2), np.nan)
+        size = np.array([-1 if v is None else len(v) for v in x])
+        for n in np.unique(size[size >= 0]):
+            at = np.flatnonzero(size == n)
+            for i in range(0, len(at), _LOT):
+                part = at[i : i + _LOT]
+                out[part] = np.stack(entropies(np.stack(x.to_numpy()[part]).astype(float), m, tolerance), axis=1)
+        return pd.DataFrame(out, columns=["apen", "sampen"])
+
     w = last(window)
     frame = F.when((row() >= window) & (F.count("log_return").over(w) >= window // 2), F.collect_list("log_return").over(w))
-    return bars.withColumn("__x", frame).withColumns({f"{k}_{window}": _complexity(s, m, tolerance)("__x") for k, s in (("apen", False), ("sampen", True))}).drop("__x")
+    return bars.withColumn("__x", frame).withColumn("__e", run("__x")).withColumns({f"{k}_{window}": F.col(f"__e.{k}") for k in ("apen", "sampen")}).drop("__x", "__e")
 
 
 def _matrix(df: DataFrame, columns: list[str]) -> np.ndarray:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import correlation, over
@@ -157,33 +157,68 @@ def embedding_outliers(df: DataFrame, x: str, y: str, threshold: float = 3.0) ->
     return rows.join(F.broadcast(s)).withColumn("z_score", over(d - F.col("__m"), F.col("__s"))).withColumn("is_outlier", F.coalesce(F.abs("z_score") > threshold, F.lit(False))).drop("__m", "__s")
 
 
+#: Clusters, by numbers of their centres, that one row of a block may hold.
+BLOCK = 1 << 15
+
+
+def _dot(u, v) -> Column:
+    return F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def _against(rows: DataFrame, cells: DataFrame, width: int, best, value, name: str) -> DataFrame:
+    """Rows, which have an ``__id`` and a cluster ``__c``, with ``best`` (least or greatest) of ``value(cell)`` over all other clusters' cells.
+
+    Cells lie in arrays of a bounded size, and a row goes through an array in one expression. A single array is a table of one row; of several
+    each row gets a copy an array, by an equi-join on the array's number, and its best are merged by ``__id``.
+    """
+    per = max(1, BLOCK // max(width, 1))
+    blocks = -(-cells.count() // per)
+    named = cells.withColumn("__b", F.floor((F.row_number().over(Window.orderBy("__c")) - 1) / per).cast("int"))  # one row a cluster
+    packed = named.groupBy("__b").agg(F.collect_list(F.struct(*cells.columns)).alias("__cells"))
+    found = best("__cells", value).alias(name)
+    if blocks <= 1:
+        return rows.crossJoin(F.broadcast(packed.select("__cells"))).select("*", found).drop("__cells")  # one row of at most BLOCK numbers
+    copies = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    merge = F.min if best is _least else F.max
+    met = copies.join(packed, "__b").select("__id", found).groupBy("__id").agg(merge(name).alias(name))
+    return rows.join(met, "__id", "left")
+
+
+def _least(cells: str, value) -> Column:
+    return F.aggregate(cells, F.lit(None).cast("double"), lambda s, c: F.least(s, value(c)))
+
+
+def _greatest(cells: str, value) -> Column:
+    return F.aggregate(cells, F.lit(None).cast("double"), lambda s, c: F.greatest(s, value(c)))
+
+
 def cluster_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     """(n_clusters, calinski_harabasz, davies_bouldin, silhouette) of rows with a label; null under two clusters.
 
-    Two aggregates by cluster. The silhouette is that of squared distances, which follow from a cluster's sums, so rows never meet rows.
+    Two aggregates by cluster. The silhouette is that of squared distances, which follow from a cluster's sums, so rows never meet rows, and a row meets
+    clusters in arrays of a bounded size. Rows are written once, numbered. Runs jobs while the plan is built.
     """
     rows = df.dropna(subset=[*columns, label]).select(F.col(label).alias("__c"), F.array(*[F.col(c).cast("double") for c in columns]).alias("__v"))
-    rows = rows.withColumn("__q", F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x))
+    rows = cut(rows.withColumn("__q", F.aggregate("__v", F.lit(0.0), lambda s, x: s + x * x)).withColumn("__id", F.monotonically_increasing_id()))
     dims = range(len(columns))
     own = cut(rows.groupBy("__c").agg(F.count("*").alias("n"), F.sum("__q").alias("q"), F.array(*[F.sum(F.get("__v", F.lit(i))) for i in dims]).alias("s")))
-    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    center = F.transform("s", lambda x: x / F.col("n"))
-    cells = own.select("__c", "n", "q", "s", center.alias("m"))
-    # one row a cluster on either side: their number, not the rows', is squared
-    near = rows.join(F.broadcast(cells), "__c").withColumn("d", F.sqrt(F.greatest(F.col("__q") - 2 * dot(F.col("__v"), F.col("m")) + dot(F.col("m"), F.col("m")), F.lit(0.0))))
+    cells = own.select("__c", "n", "q", "s", F.transform("s", lambda x: x / F.col("n")).alias("m"))
+    near = rows.join(cells, "__c").withColumn("d", F.sqrt(F.greatest(F.col("__q") - 2 * _dot("__v", "m") + _dot("m", "m"), F.lit(0.0))))
     spread = near.groupBy("__c").agg(F.avg("d").alias("spread"), F.sum(F.col("d") ** 2).alias("within"))
     each = cut(cells.join(spread, "__c"))
     whole = each.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("within").alias("within"), F.sum("q").alias("q"), F.array(*[F.sum(F.get("s", F.lit(i))) for i in dims]).alias("s"))
-    a, b = (each.select(*[F.col(c).alias(f"{k}_{c}") for c in ("__c", "m", "spread")]) for k in "ab")
-    gap = F.sqrt(F.greatest(dot(F.col("a_m"), F.col("a_m")) - 2 * dot(F.col("a_m"), F.col("b_m")) + dot(F.col("b_m"), F.col("b_m")), F.lit(0.0)))
-    worst = a.join(F.broadcast(b), F.col("a___c") != F.col("b___c")).groupBy("a___c").agg(F.max(over(F.col("a_spread") + F.col("b_spread"), gap)).alias("w"))
+
+    other = lambda c, x: F.when(c["__c"] != F.col("__c"), x)
+    apart = lambda c: F.sqrt(F.greatest(_dot("m", "m") - 2 * _dot("m", c["m"]) + _dot(c["m"], c["m"]), F.lit(0.0)))
+    worst = _against(each.select("__c", "m", "spread", F.col("__c").alias("__id")), each.select("__c", "m", "spread"), len(columns) + 2, _greatest, lambda c: other(c, over(F.col("spread") + c["spread"], apart(c))), "w")
     db = worst.agg(F.avg("w").alias("davies_bouldin"))
-    others = rows.join(F.broadcast(cells.select(F.col("__c").alias("o"), "n", "q", "m"))).withColumn("d", F.col("__q") + F.col("q") / F.col("n") - 2 * dot(F.col("__v"), F.col("m")))
-    inner = F.col("o") == F.col("__c")
-    sil = others.withColumn("__id", F.struct("__c", "__v", "__q")).groupBy("__id", "__c").agg(F.max(F.when(inner & (F.col("n") > 1), F.col("d") * F.col("n") / (F.col("n") - 1))).alias("a"), F.min(F.when(~inner, F.col("d"))).alias("b"), F.count(F.when(inner, 1)).alias("times"))
-    score = F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(over(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    mean = sil.agg(over(F.sum(score * F.col("times")), F.sum("times").cast("double")).alias("silhouette"))
-    between = F.col("q") - dot(F.col("s"), F.col("s")) / F.col("n") - F.col("within")
+
+    far = lambda q, n, m: F.col("__q") + q / n - 2 * _dot("__v", m)
+    joined = _against(rows.join(own.select("__c", "n", "q", F.transform("s", lambda x: x / F.col("n")).alias("m")), "__c"), cells.drop("s"), len(columns) + 3, _least, lambda c: other(c, far(c["q"], c["n"], c["m"])), "b")
+    a = F.when(F.col("n") > 1, far(F.col("q"), F.col("n"), F.col("m")) * F.col("n") / (F.col("n") - 1))
+    mean = joined.select(a.alias("a"), "b").agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise(F.coalesce(over(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))).alias("silhouette"))
+
+    between = F.col("q") - _dot("s", "s") / F.col("n") - F.col("within")
     ch = over(between * (F.col("n") - F.col("k")), F.col("within") * (F.col("k") - 1))
     two = lambda x: F.when(F.col("k") >= 2, x)
     return whole.join(F.broadcast(db)).join(F.broadcast(mean)).select(F.col("k").alias("n_clusters"), two(ch).alias("calinski_harabasz"), two(F.col("davies_bouldin")).alias("davies_bouldin"), two(F.col("silhouette")).alias("silhouette"))

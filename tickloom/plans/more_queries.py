@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, evaluation, features, labels, stats
+from ..operators import cleaning, evaluation, features, labels, normality, stats
 from ..sources import tape
 from .catalogue import _TB, BARS, KEY, TICKS, O, _bar_sql, _bars, _labelled, _pick, _ticks, query
 
@@ -99,6 +99,22 @@ def _(s, d):
     return _pick(stats.cluster_scores(e, ["x", "y"], "label"), ["n_clusters", "calinski_harabasz", "davies_bouldin", "silhouette"], [])
 
 
+_GAPS = "list_sum(list_transform(list_zip({0}, {1}), lambda z: (z[1] - z[2]) ** 2))"
+
+
+@query("cluster_scores_all_components", f"""WITH p AS (SELECT vec_id AS i, label AS c, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL)) = 0),
+l AS (SELECT i, c, unnest(v) AS x, unnest(range(64)) AS j FROM p), mj AS (SELECT c, j, avg(x) AS x FROM l GROUP BY c, j), m AS (SELECT c, list(x ORDER BY j) AS m FROM mj GROUP BY c), size AS (SELECT c, count(*) AS n FROM p GROUP BY c),
+gj AS (SELECT j, avg(x) AS x FROM l GROUP BY j), g AS (SELECT list(x ORDER BY j) AS m FROM gj), d AS (SELECT p.c, avg(sqrt({_GAPS.format("p.v", "m.m")})) AS s, sum({_GAPS.format("p.v", "m.m")}) AS w FROM p JOIN m USING (c) GROUP BY p.c),
+b AS (SELECT a.c, max((da.s + db.s) / sqrt({_GAPS.format("a.m", "b.m")})) AS worst FROM m a JOIN m b ON a.c <> b.c JOIN d da ON da.c = a.c JOIN d db ON db.c = b.c GROUP BY a.c),
+f AS (SELECT u.i, u.c, w.c AS o, avg({_GAPS.format("u.v", "w.v")}) AS far FROM p u JOIN p w ON u.i <> w.i GROUP BY ALL), q AS (SELECT i, max(far) FILTER (c = o) AS a, min(far) FILTER (c <> o) AS b FROM f GROUP BY i)
+SELECT (SELECT count(*) FROM m) AS n_clusters, round((SELECT sum(size.n * {_GAPS.format("m.m", "g.m")}) FROM m JOIN size USING (c), g) / ((SELECT count(*) FROM m) - 1) / ((SELECT sum(w) FROM d) / ((SELECT count(*) FROM p) - (SELECT count(*) FROM m))), 6) AS calinski_harabasz,
+ round((SELECT avg(worst) FROM b), 6) AS davies_bouldin, round((SELECT avg(coalesce((b - a) / greatest(a, b), 0)) FROM q), 6) AS silhouette""")
+def _(s, d):
+    names = [f"x{i}" for i in range(64)]
+    e = s.read.parquet(f"{d}/embeddings.parquet").where("size(embedding) = 64").select("label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)])
+    return _pick(stats.cluster_scores(e, names, "label"), ["n_clusters", "calinski_harabasz", "davies_bouldin", "silhouette"], [])
+
+
 @query("walk_forward_folds", _TB + """, o AS (SELECT series, bar_id, t1, row_number() OVER (PARTITION BY series ORDER BY bar_id) - 1 AS i, count(*) OVER (PARTITION BY series) AS n FROM lab), k AS (SELECT *, greatest(n // 5, 1) AS size FROM o), c AS (SELECT *, fold * size AS a, CASE WHEN fold = 4 THEN n ELSE (fold + 1) * size END AS z FROM k, (SELECT unnest(range(5)) AS fold) f),
 r AS (SELECT *, CASE WHEN i >= a AND i < z THEN 'validation' WHEN i < a - floor((z - a) * 0.1) THEN 'train' END AS role FROM c), u AS (SELECT *, min(CASE WHEN role = 'validation' THEN bar_id END) OVER (PARTITION BY series, fold) AS b FROM r WHERE role IS NOT NULL),
 g AS (SELECT *, count(*) FILTER (role = 'train') OVER (PARTITION BY series, fold) AS t FROM u WHERE role = 'validation' OR t1 < b) SELECT CAST(fold AS INT) AS fold, role, series, bar_id FROM g WHERE t >= 20""")
@@ -161,3 +177,7 @@ def _(s, d):
     vif = stats.vif(b, c).withColumn("vif", F.round("vif", 4))
     return stats.collinear_to_drop(stats.correlations(b, c), vif, 0.5)
 
+
+@query("shapiro_wilk")
+def _(s, d):
+    return _pick(normality.shapiro_wilk(_bars(s, d), "log_return"), ["n", "tested", "w", "p"], ["series"])
