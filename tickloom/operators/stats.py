@@ -51,11 +51,17 @@ def f_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Variance inflation: the diagonal of the inverse correlation matrix, which has the columns' number squared entries, whatever the rows."""
-    got = {(r["a"], r["b"]): r["corr"] for r in correlations(df.dropna(subset=columns), columns).collect()}
-    m = np.array([[1.0 if a == b else got.get((a, b), got.get((b, a))) for b in columns] for a in columns], float)
-    values = np.diag(np.linalg.pinv(m + 1e-8 * np.eye(len(columns))))
-    return df.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, values)], "feature string, vif double")
+    """Variance inflation: the diagonal of the inverse correlation matrix, which has the columns' number squared entries, whatever the rows.
+
+    A constant column, or any without rows, has none (null) and is left out for the others. Runs jobs while the plan is built.
+    """
+    whole = df.dropna(subset=columns)
+    spread = whole.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
+    some = [c for c in columns if spread[c]]
+    got = {(r["a"], r["b"]): r["corr"] for r in correlations(whole, some).collect()} if len(some) > 1 else {}
+    m = np.array([[1.0 if a == b else got.get((a, b), got.get((b, a))) for b in some] for a in some], float)
+    values = dict(zip(some, np.diag(np.linalg.pinv(m + 1e-8 * np.eye(len(some)))).tolist())) if some else {}
+    return df.sparkSession.createDataFrame([(c, values.get(c)) for c in columns], "feature string, vif double")
 
 
 def autocorrelation(df: DataFrame, column: str, most: int = 10, by: str = "bar_id") -> DataFrame:

@@ -525,4 +525,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import analysis_queries, fitted_queries, indicator_queries, model_queries, more_queries, search_queries, slice_queries  # noqa: E402, F401  their queries add themselves
+from . import analysis_queries, fitted_queries, indicator_queries, model_queries, more_queries, report_queries, search_queries, slice_queries  # noqa: E402, F401  their queries add themselves
