@@ -6,9 +6,10 @@ from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from ..functions import times
+from ..functions.lineage import new_folder
 from ..operators import bars as B
 from ..operators import boosting, cleaning, evaluation, labels, linkage, models, transform
-from ..functions.lineage import new_folder
 from ..sources import feed, tape
 from . import catalogue as C
 from . import indicator_queries, more_queries
@@ -59,6 +60,18 @@ def _(s, d):
     return feed.tape(week).select("series", "seq", F.unix_micros("ts").alias("us"), "price", "amount", "side")
 
 
+#: The time of an event as its number says: with a zone, slashes, the month first, in one run, or not at all.
+_FORMS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'+05:00'", "yyyy/M/d", "MM/dd/yyyy HH:mm:ss", "yyyyMMdd", "'n/a'")
+
+
+@query("source_times_of_mixed_forms", """SELECT event_id, strftime(t, '%Y-%m-%d %H:%M:%S') AS t, strftime(t, '%d.%m.%Y') AS day FROM (SELECT event_id, CASE event_id % 6 WHEN 2 THEN date_trunc('day', ts) WHEN 4 THEN date_trunc('day', ts) WHEN 5 THEN NULL ELSE date_trunc('second', ts) END AS t FROM events)""")
+def _(s, d):
+    events = s.read.parquet(f"{d}/events.parquet")
+    text = F.get(F.array(*[F.date_format("ts", f) for f in _FORMS]), (F.col("event_id") % 6).cast("int"))
+    rows = events.select("event_id", text.alias("text"))
+    return rows.select("event_id", F.date_format(times.parsed(F.col("text")), "yyyy-MM-dd HH:mm:ss").alias("t"), times.written(F.col("text"), "dd.MM.yyyy").alias("day"))
+
+
 # whole tables: each block's columns as its own query has them, all from one plan
 
 _WINDOWED = {"momentum": C._MOM, "moving_averages": C._MA, "price_zscore": C._PZ, "realized_moments": C._RV, "jumps": C._J, "range_volatility": C._RG, "order_flow": C._FL, "bar_durations": more_queries._DUR}
