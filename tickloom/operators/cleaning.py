@@ -8,7 +8,7 @@ from operator import and_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import over
+from ..functions.frames import over, quotient
 from ..functions.lineage import cut
 from ..functions.running import add_quantiles, shape
 from ..functions.slices import in_slices
@@ -37,9 +37,9 @@ def drop_dust(df: DataFrame, least: float = 1e-10) -> DataFrame:
 
 
 def drop_jumps(df: DataFrame, most: float = 0.05) -> DataFrame:
-    """Drop ticks that move by more than ``most`` from the tick before; the first stays."""
+    """Drop ticks that move by more than ``most`` from the tick before, as any does after a price of 0; the first stays."""
     before = F.lag("price").over(_by())
-    return df.withColumn("__c", F.abs(over(F.col("price"), before) - 1)).where(F.col("__c").isNull() | (F.col("__c") <= most)).drop("__c")
+    return df.withColumn("__c", F.abs(quotient(F.col("price"), before) - 1)).where(F.col("__c").isNull() | (F.col("__c") <= most)).drop("__c")
 
 
 def drop_by_zscore(df: DataFrame, window: int = 1000, threshold: float = 6.0, least: int = 100) -> DataFrame:
