@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.convolution import fractional_difference
-from ..functions.frames import from_row, full, last, order, over, previous, row, so_far
+from ..functions.frames import from_row, full, last, logarithm, order, over, previous, quotient, row, so_far
 from ..functions.running import add_quantiles, shape
 from ..functions.slices import SLICE, in_slices
 from .indicators import smooth
@@ -146,7 +146,7 @@ def drawdowns(bars: DataFrame, crashes=(0.05, 0.10, 0.20)) -> DataFrame:
     rows = bars.withColumns({"rolling_max": top, "rolling_min": low})
     rows = rows.withColumns({"__t": F.when(F.coalesce(C() > F.lag("rolling_max").over(order()), F.lit(True)), F.col("bar_id")), "__l": F.when(F.coalesce(C() < F.lag("rolling_min").over(order()), F.lit(True)), F.col("bar_id"))})
     dd = over(C(), F.col("rolling_max")) - 1
-    cols = {"drawdown": dd, "drawup": over(C(), F.col("rolling_min")) - 1, "bars_since_high": F.col("bar_id") - F.last("__t", True).over(w), "bars_since_low": F.col("bar_id") - F.last("__l", True).over(w)}
+    cols = {"drawdown": dd, "drawup": quotient(C(), F.col("rolling_min")) - 1, "bars_since_high": F.col("bar_id") - F.last("__t", True).over(w), "bars_since_low": F.col("bar_id") - F.last("__l", True).over(w)}
     return rows.withColumns(cols | {f"crash_{round(100 * x)}pct": (dd <= -x).cast("int") for x in crashes}).drop("__t", "__l")
 
 
@@ -221,7 +221,7 @@ def frac_diff(bars: DataFrame, d: float = 0.5, size: int = 20, name: str | None
     weights = [1.0]
     for k in range(1, size):
         weights.append(-weights[-1] * (d - k + 1) / k)
-    x = F.log("close")
+    x = logarithm(C())
     terms = sum((F.lit(v) * F.lag(x, k).over(order()) for k, v in enumerate(weights) if k), start=x * weights[0])
     return bars.withColumn(name or f"frac_diff_d{round(10 * d):02d}", terms)
 
@@ -229,12 +229,21 @@ def frac_diff(bars: DataFrame, d: float = 0.5, size: int = 20, name: str | None
 @timeless("frac_diff")
 def frac_diff_expanding(bars: DataFrame, d: float = 0.5, least: int = 20, name: str = "frac_diff_expanding", block: int | None = None, slices: int | None = None) -> DataFrame:
     """Fractional difference of log price with weights over all history; null before ``least`` rows and from the first unknown price on.
+    A price of 0 makes its row and all later ones infinite, by the sign of its weight there, or NaN where two such disagree.
 
     Each row's sum is over all rows before it; ``functions/convolution.py`` takes all of them in n log n. Rows are known by (series, bar_id). Runs jobs while the plan is built.
     """
-    found = fractional_difference(bars.select("series", "bar_id", F.log("close").alias("x")), "bar_id", d, block, slices)
+    found = fractional_difference(bars.select("series", "bar_id", F.log(F.when(C() == 0, 1.0).otherwise(C())).alias("x")), "bar_id", d, block, slices)
     value = found.select(F.col("series").alias("__series"), F.col("bar_id").alias("__bar"), F.when(F.col("pos") >= least - 1, F.col("y")).alias(name))
-    return bars.join(value, F.col("series").eqNullSafe(F.col("__series")) & (F.col("bar_id") == F.col("__bar")), "left").drop("__series", "__bar")
+    # beyond d all weights have one sign
+    zero, edge, signs = F.coalesce((C() == 0).cast("int"), F.lit(0)), math.ceil(abs(d)) + 1, [1.0]
+    for k in range(edge + 1):
+        signs.append(-signs[-1] * (d - k) / (k + 1))
+    met = [F.coalesce(F.lag("__zero", k).over(order()), F.lit(0)) for k in range(edge + 1)] + [F.coalesce(F.max("__zero").over(order().rowsBetween(Window.unboundedPreceding, -edge - 1)), F.lit(0))]
+    infinite = sum((F.when(m > 0, -w * float("inf")).otherwise(0.0) for m, w in zip(met, signs)), start=F.lit(0.0))
+    marked = bars.withColumn("__zero", zero).withColumn("__infinite", infinite).drop("__zero")
+    joined = marked.join(value, F.col("series").eqNullSafe(F.col("__series")) & (F.col("bar_id") == F.col("__bar")), "left")
+    return joined.withColumn(name, F.col(name) + F.col("__infinite")).drop("__series", "__bar", "__infinite")
 
 
 def entropy(bars: DataFrame, window: int = 50, bins: int = 10) -> DataFrame:
