@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import last, order, over, row, so_far
+from ..functions.frames import finite, last, order, over, row, so_far
 from ..functions.special import chi2_sf, f_sf
 from . import stats
 
@@ -125,7 +125,7 @@ def granger(df: DataFrame, column: str, target: str, most: int = 5) -> DataFrame
     sums = []
     for k in range(1, most + 1):
         x = [F.lit(1.0), *[F.col(f"__{c}") for c in ("y", *[f"y{i}" for i in range(1, k + 1)], *[f"x{i}" for i in range(1, k + 1)])]]
-        whole = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) for c in ("__y", *lags[: 2 * k])])
+        whole = reduce(and_, [finite(F.col(c)).isNotNull() for c in ("__y", *lags[: 2 * k])])
         sums += [F.count_if(whole).alias(f"n{k}"), F.array(*[F.sum(F.when(whole, x[i] * x[j])) for i in range(len(x)) for j in range(i, len(x))]).alias(f"g{k}")]
     tested = lagged.groupBy("series").agg(*sums).select("series", *[_granger_test(k)(f"n{k}", f"g{k}").alias(f"t{k}") for k in range(1, most + 1)])
     return tested.select("series", F.inline(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"t{k}.f"), F.col(f"t{k}.p")) for k in range(1, most + 1)])))
@@ -140,7 +140,7 @@ def adf(df: DataFrame, column: str, lags: int = 10, choose: bool = False) -> Dat
 
     With ``choose`` the number of lagged differences with the least Akaike criterion, up to ``lags``, over the same rows. Statistic 0 if too short.
     """
-    rows = df.where(F.col(column).isNotNull()).select("series", "bar_id", (F.col(column) - F.avg(column).over(Window.partitionBy("series"))).alias("__x"))
+    rows = df.where(finite(F.col(column).cast("double")).isNotNull()).select("series", "bar_id", (F.col(column) - F.avg(column).over(Window.partitionBy("series"))).alias("__x"))
     rows = rows.withColumn("__d", F.col("__x") - F.lag("__x").over(order()))
     rows = rows.withColumns({"__l": F.lag("__x").over(order())} | {f"__d{i}": F.lag("__d", i).over(order()) for i in range(1, lags + 1)})
 

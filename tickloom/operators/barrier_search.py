@@ -9,7 +9,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import over
+from ..functions.frames import over, quotient
 
 
 class Setting(NamedTuple):
@@ -35,7 +35,7 @@ def first_touches(bars: DataFrame, vol: str, tried: Sequence[Setting]) -> DataFr
     ups, downs = sorted({s.up for s in tried}), sorted({s.down for s in tried})
     w = Window.partitionBy("series").orderBy("bar_id").rowsBetween(1, max(s.hold for s in tried))
     paths = bars.where(F.col("close").isNotNull()).withColumn("__p", F.collect_list("close").over(w)).where(F.col(vol).isNotNull() & (F.size("__p") > 0))
-    paths = paths.withColumn("__r", F.transform("__p", lambda p: over(p, F.col("close")) - 1))
+    paths = paths.withColumn("__r", F.transform("__p", lambda p: quotient(p, F.col("close")) - 1))
     none = F.lit(2**31 - 1)
     touch = lambda hit: F.coalesce(F.nullif(F.array_position(F.transform("__r", hit), True), F.lit(0).cast("long")).cast("int"), none)
     above, below = (lambda x: touch(lambda r: r >= x * F.col(vol))), (lambda x: touch(lambda r: r <= -x * F.col(vol)))

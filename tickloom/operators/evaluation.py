@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import correlation, over
+from ..functions.frames import correlation, logarithm, over
 from .stats import average_ranks
 
 
@@ -125,7 +125,7 @@ def transitions(df: DataFrame, label: str = "label", by: str = "bar_id") -> Data
 def backtest(df: DataFrame, position: str, capital: float = 10_000.0, cost: float = 0.01, by: str = "bar_id") -> DataFrame:
     """Capital after each row: a running product of 1 + return * position - cost * |return * position|, by sums of logarithms."""
     gain = F.coalesce(F.col("log_return"), F.lit(0.0)) * F.col(position)
-    step = F.log(1 + gain - cost * F.abs(gain))
+    step = logarithm(1 + gain - cost * F.abs(gain))
     w = Window.partitionBy("series").orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumns({"net": gain - cost * F.abs(gain), "capital": capital * F.exp(F.sum(step).over(w))})
 

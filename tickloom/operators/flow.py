@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import over
+from ..functions.frames import logarithm, over, quotient
 
 
 def _by():
@@ -65,7 +65,7 @@ def ticks_in_bars(ticks: DataFrame, bars: DataFrame) -> DataFrame:
 def intrabar(ticks: DataFrame, bars: DataFrame) -> DataFrame:
     """Statistics of the ticks of each bar (``ticks_in_bars``); a ratio to a price of 0 is null."""
     w = Window.partitionBy("series", "bar_id").orderBy("ts", "seq")
-    rows = ticks_in_bars(ticks, bars).withColumn("r", F.log(over(F.col("price"), F.lag("price").over(w))))
+    rows = ticks_in_bars(ticks, bars).withColumn("r", logarithm(quotient(F.col("price"), F.lag("price").over(w))))
     n = F.count("*")
     enough = lambda x: F.when((n >= 2) & (F.count("r") >= 2), x)
     return rows.groupBy("series", "bar_id").agg(n.alias("tick_count"), F.sqrt(enough(F.var_samp("r"))).alias("intrabar_vol"), enough(over(F.max("price") - F.min("price"), F.max_by("price", F.struct("ts", "seq")))).alias("tick_range"), enough(F.sum(F.col("r") * F.col("r"))).alias("tick_rv"), enough(F.avg("r")).alias("tick_mean"))

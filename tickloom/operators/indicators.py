@@ -47,7 +47,7 @@ def smooth(bars: DataFrame, steps: list[Step], slices: int | None = None) -> Dat
     while the plan is built; a task holds a batch and each average's last value.
     """
     sliced = in_slices(bars, "bar_id", slices=slices)
-    shape = StructType([*bars.schema.fields, *[StructField(n, DoubleType()) for n, _, _ in steps]])
+    shape = StructType([*[StructField(f.name, f.dataType) for f in bars.schema.fields], *[StructField(n, DoubleType()) for n, _, _ in steps]])
     level: dict[str, int] = {}
     for name, source, a in steps:  # a function may read all that comes before it
         below = level.get(source, 0) if isinstance(source, str) else max(level.values(), default=0)

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import over
+from ..functions.frames import over, quotient
 from ..functions.slices import carry, in_slices, scan, stitch, summaries
 
 
@@ -75,7 +75,7 @@ def triple_barrier(bars: DataFrame, vol: str, up: float = 1.5, down: float = 1.0
     """
     w = Window.partitionBy("series").orderBy("bar_id").rowsBetween(1, hold)
     rows = bars.where(F.col("close").isNotNull()).withColumn("__p", F.collect_list("close").over(w)).where(F.col(vol).isNotNull() & (F.size("__p") > 0))
-    rows = rows.withColumn("__r", F.transform("__p", lambda p: over(p, F.col("close")) - 1))
+    rows = rows.withColumn("__r", F.transform("__p", lambda p: quotient(p, F.col("close")) - 1))
     hit = F.filter(F.transform("__r", lambda r, i: F.when((r >= up * F.col(vol)) | (r <= -down * F.col(vol)), i)), lambda i: i.isNotNull())
     at = F.when(F.size(hit) > 0, hit[0]).otherwise(F.size("__p") - 1)
     rows = rows.withColumn("__at", at).withColumns({"t1": F.col("bar_id") + F.col("__at") + 1, "ret": F.get("__r", F.col("__at"))})
@@ -110,7 +110,7 @@ def first_touch(bars: DataFrame, events: DataFrame, hold: int, side: str = "side
     reaches a barrier; t1, it or the last bar of the path; ret there; meta_label: whether ret goes with the side. A side of 1 takes profit from above, any other from
     below; a barrier on the wrong side of 0 is never touched. Events without a path go."""
     w = Window.partitionBy("series").orderBy("bar_id").rowsBetween(1, hold)
-    paths = bars.where(F.col("close").isNotNull()).select("series", "bar_id", F.transform(F.collect_list(F.struct("bar_id", "close")).over(w), lambda p: F.struct(p["bar_id"].alias("t"), (over(p["close"], F.col("close")) - 1).alias("r"))).alias("__p"))
+    paths = bars.where(F.col("close").isNotNull()).select("series", "bar_id", F.transform(F.collect_list(F.struct("bar_id", "close")).over(w), lambda p: F.struct(p["bar_id"].alias("t"), (quotient(p["close"], F.col("close")) - 1).alias("r"))).alias("__p"))
     rows = events.join(paths, ["series", "bar_id"]).where("size(__p) > 0")
     pt, sl, r = F.col("pt"), F.col("sl"), lambda p: p["r"]
     long = lambda p: ((pt > 0) & (r(p) >= pt)) | ((sl < 0) & (r(p) <= sl))

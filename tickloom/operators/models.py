@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import finite
+
 
 @dataclass(frozen=True)
 class Ridge:
@@ -20,8 +22,8 @@ class Ridge:
     bias: list[float]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        """Adds prediction, and proba, the softmax of scores in the order of ``classes``. Null features count as their training mean."""
-        score = F.array(*[sum((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) * w for f, w in zip(self.features, row)), F.lit(b)) for row, b in zip(self.weights, self.bias)])
+        """Adds prediction, and proba, the softmax of scores in the order of ``classes``. Null and infinite features count as their training mean."""
+        score = F.array(*[sum((F.coalesce(finite(F.col(f).cast("double")), F.lit(0.0)) * w for f, w in zip(self.features, row)), F.lit(b)) for row, b in zip(self.weights, self.bias)])
         rows = df.withColumn("__s", score)
         best = F.array_position("__s", F.array_max("__s")).cast("int")
         raised = F.transform("__s", lambda s: F.exp(s - F.array_max("__s")))
@@ -32,9 +34,9 @@ class Ridge:
 def ridge(train: DataFrame, features: list[str], label: str = "label", alpha: float = 1.0) -> Ridge:
     """Least squares with penalty ``alpha`` on standardised features against +1 and -1 for each class.
 
-    One aggregate gives all sums; the driver solves a system of as many unknowns as features. Rows with a null are left out.
+    One aggregate gives all sums; the driver solves a system of as many unknowns as features. Rows with a null or an infinity are left out.
     """
-    rows = train.dropna(subset=[*features, label])
+    rows = train.withColumns({f: finite(F.col(f).cast("double")) for f in features}).dropna(subset=[*features, label])
     classes = sorted(r[0] for r in rows.select(label).distinct().collect())
     if not classes:
         raise ValueError("no complete training rows")
@@ -50,12 +52,12 @@ def ridge(train: DataFrame, features: list[str], label: str = "label", alpha: fl
 
 
 def trees(train: DataFrame, features: list[str], label: str = "label", boosted: bool = False, **params):
-    """A Spark ML pipeline model whose ``transform`` adds prediction: a random forest, or boosted trees, one against the rest. Null features count as 0."""
+    """A Spark ML pipeline model whose ``transform`` adds prediction: a random forest, or boosted trees, one against the rest. Null and infinite features count as 0."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier, OneVsRest, RandomForestClassifier
     from pyspark.ml.feature import IndexToString, SQLTransformer, StringIndexer, VectorAssembler
 
-    filled = SQLTransformer(statement="SELECT *, " + ", ".join(f"coalesce(CAST(`{f}` AS DOUBLE), 0) AS `__{f}`" for f in features) + " FROM __THIS__")
+    filled = SQLTransformer(statement="SELECT *, " + ", ".join(f"CASE WHEN abs(CAST(`{f}` AS DOUBLE)) < CAST('inf' AS DOUBLE) THEN CAST(`{f}` AS DOUBLE) ELSE 0D END AS `__{f}`" for f in features) + " FROM __THIS__")
     index = StringIndexer(inputCol=label, outputCol="__label", handleInvalid="keep", stringOrderType="alphabetAsc").fit(train)
     known = index.labels
     where = {"featuresCol": "__features", "labelCol": "__label", "predictionCol": "__p"}
