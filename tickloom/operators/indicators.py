@@ -40,7 +40,7 @@ Step = tuple[str, str | Callable[[pd.DataFrame], pd.Series], float | None]
 def smooth(bars: DataFrame, steps: list[Step], slices: int | None = None) -> DataFrame:
     """Add columns step by step: y = a * x + (1 - a) * y over a series in order, from its first x on; nulls keep y.
 
-    A step is (name, x, a); x is a column, also one of an earlier step, or a function of single rows; without a, y is x.
+    A step is (name, x, a); x is a column, also one of an earlier step, or a function of earlier steps' columns, row by row; without a, y is x.
 
     Series are cut in time. Over n values that begin with x0, y becomes y0 + (1 - a)^n (y - x0), where y0 is what the values give alone: a slice is
     summed up by (n, x0, y0), and composing these gives the y with which each slice begins. Averages of averages take a pass for each level. Runs jobs
@@ -68,6 +68,7 @@ def smooth(bars: DataFrame, steps: list[Step], slices: int | None = None) -> Dat
                     held[name] = pdf[name].iloc[-1]
         return pdf
 
+    read = sorted({x for _, x, _ in steps if isinstance(x, str) and x not in level})
     states: dict[int, dict] = {}
     for top in range(1, max(level.values(), default=0) + 1):
         own = {name: (source, a) for name, source, a in steps if a is not None and level[name] == top}
@@ -89,7 +90,7 @@ def smooth(bars: DataFrame, steps: list[Step], slices: int | None = None) -> Dat
                 out[name] = before if not n else y if before != before else y + (1 - a) ** n * (before - first)
             return out
 
-        parts = summaries(sliced, bars.drop("series").columns, lambda state: {"held": dict(state or {}), "own": {}}, feed, states)
+        parts = summaries(sliced, read, lambda state: {"held": dict(state or {}), "own": {}}, feed, states)
         states = {k: states.get(k, {}) | v for k, v in stitch(parts, advance).items()}
 
     top = max(level.values(), default=0)

@@ -8,24 +8,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
+from ..functions.pieces import MINE, in_pieces, of_pieces
 from ..operators import analysis, cleaning, features, incremental, indicators, transform
 from ..operators.transform import Scaler
 
 Block = Callable[[DataFrame], DataFrame]
 
-#: In this order. Blocks of one window share its sort; those that stream a series (regime, smoothed averages, complexity) come last.
-BLOCKS: tuple[Block, ...] = (features.durations, features.momentum, features.moving_averages, features.price_zscore, features.realized, features.jumps, features.range_volatility, features.order_flow, features.calendar, features.drawdowns, features.frac_diff, features.return_streak, features.entropy, features.volatility_regime, lambda b: features.acceleration(b, span=5), analysis.complexity)
+
+def smooth_acceleration(bars: DataFrame) -> DataFrame:
+    return features.acceleration(bars, span=5)
+
+
+#: In this order.
+BLOCKS: tuple[Block, ...] = (features.durations, features.momentum, features.moving_averages, features.price_zscore, features.realized, features.jumps, features.range_volatility, features.order_flow, features.calendar, features.drawdowns, features.frac_diff, features.return_streak, features.entropy, features.volatility_regime, smooth_acceleration, analysis.complexity)
 TECHNICAL: tuple[Block, ...] = (indicators.momentum_indicators, indicators.volatility_indicators, indicators.trend_indicators, indicators.volume_indicators)
+#: Blocks whose values hang on the bar's own columns and ``FAR`` bars before it at most.
+WINDOWED: frozenset[Block] = frozenset({features.momentum, features.moving_averages, features.price_zscore, features.realized, features.jumps, features.range_volatility, features.order_flow, features.calendar, features.frac_diff, features.entropy, analysis.complexity})
+FAR = 64
+#: Bars of a piece that windows of one series are cut into.
+PIECE = 4096
+
 
+def all_features(bars: DataFrame, blocks: Sequence[Block] = (*BLOCKS, *TECHNICAL), lags: Sequence[int] = (1, 5, 10), piece: int = PIECE) -> DataFrame:
+    """The bars with the columns of each block, and lags of those columns whose names call for them. Blocks have no name in common but
+    mfi_14, which two give alike.
 
-def all_features(bars: DataFrame, blocks: Sequence[Block] = (*BLOCKS, *TECHNICAL), lags: Sequence[int] = (1, 5, 10)) -> DataFrame:
-    """The bars with the columns of each block, and lags of those columns whose names call for them. Rows are never joined; blocks have no name in common but
-    mfi_14, which two give alike."""
-    out = bars
-    for block in blocks:
+    Blocks that hang on a whole series come first, so that what they write and hand to Python is narrow. Windows and lags follow over pieces of series, each with the bars
+    before it that they look back on, so that one long series is many tasks. Where a block is not of this module's, all are taken in the given order.
+    """
+    known = all(b in (*BLOCKS, *TECHNICAL) for b in blocks)
+    first, then = ([b for b in blocks if b not in WINDOWED], [b for b in blocks if b in WINDOWED]) if known else (blocks, [])
+    out, added = bars, {}
+
+    def take(block: Block) -> None:
+        nonlocal out
+        before = set(out.columns)
         out = block(out)
+        added[block] = [c for c in out.columns if c not in before]
+
+    for block in first:
+        take(block)
+    halo = FAR + max(lags, default=0)
+    out = in_pieces(out, max(piece, halo), halo)
+    for block in then:
+        take(block)
+    out = out.select(*bars.columns, *[c for b in dict.fromkeys(blocks) for c in added[b]], MINE)
     numbers = [c for c, kind in out.dtypes if kind in ("double", "float", "int", "bigint") and c not in ("series", "bar_id")]
-    return features.planned_lags(out, [c for c in numbers if c not in ("open", "high", "low")], lags) if lags else out
+    rows = features.planned_lags(out, [c for c in numbers if c not in ("open", "high", "low")], lags) if lags else out
+    return of_pieces(rows)
 
 
 def prepare(bars: DataFrame, blocks: Sequence[Block] = (*BLOCKS, *TECHNICAL), lags: Sequence[int] = (1, 5, 10), warm: Sequence[str] = (), ratio: float = 0.8, target: str = "log_return", most_nulls: float = 0.95) -> tuple[DataFrame, Scaler, Scaler]:
