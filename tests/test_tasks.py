@@ -3,8 +3,10 @@
 import math
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tickloom.operators import stats
 from tickloom.sources import tape
 
 
@@ -34,3 +36,13 @@ def test_ticks_of_one_series_are_many_tasks(spark):
         assert tape.numbered(ticks, "i").select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_bits_of_one_series_are_many_tasks(spark):
+    rows = spark.range(500).select(F.lit(1).alias("series"), F.col("id").alias("i"), (F.dense_rank().over(Window.partitionBy(F.lit(1)).orderBy((F.col("id") * 77) % 500)) - 1).alias("r"))
+    rows = rows.withColumn("r", F.col("r") + 0 * F.count("*").over(Window.partitionBy("series")))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert stats.rises_and_falls(rows).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

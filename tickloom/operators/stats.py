@@ -92,9 +92,10 @@ def rises_and_falls(rows: DataFrame, sums: dict[str, str] | None = None) -> Data
     top = rows.agg(F.max("r")).first()[0]
     bits = max(int(top or 0).bit_length(), 1)
     each = rows.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))).withColumn("__bit", F.expr("shiftright(r, __b) & 1"))
-    w = Window.partitionBy("series", "__b", F.expr("shiftright(r, __b + 1)")).orderBy("i").rangeBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("__g", F.expr("shiftright(r, __b + 1)")).repartition("series", "__b", "__g")  # else a series' rows of all bits stay in its task
+    w = Window.partitionBy("series", "__b", "__g").orderBy("i").rangeBetween(Window.unboundedPreceding, -1)
     other = lambda c: F.coalesce(F.when(F.col("__bit") == 1, F.sum(F.when(F.col("__bit") == 0, c)).over(w)).otherwise(F.sum(F.when(F.col("__bit") == 1, c)).over(w)), F.lit(0))
-    return each.withColumns({"up": F.col("__bit"), "met": other(F.lit(1))} | {k: other(F.col(c)) for k, c in (sums or {}).items()}).drop("__b", "__bit")
+    return each.withColumns({"up": F.col("__bit"), "met": other(F.lit(1))} | {k: other(F.col(c)) for k, c in (sums or {}).items()}).drop("__b", "__bit", "__g")
 
 
 def dense_rank(by: str):
