@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import stats
+from tickloom.operators import bars, stats
 from tickloom.sources import tape
 
+from .test_slices import TAPES, close, plain_bars, tape_of
+
 
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "long"])
 def test_bars_by_stretches_of_time(spark, kind):
@@ -46,3 +48,18 @@ def test_bits_of_one_series_are_many_tasks(spark):
         assert stats.rises_and_falls(rows).select(F.spark_partition_id()).distinct().count() > 1
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_pass_in_order_takes_packs_of_values(spark, monkeypatch):
+    """A threshold that never forgets streams once through all slices."""
+    monkeypatch.setattr(bars, "PACK", 7)
+    swept, sweep = [], bars._sweep
+    monkeypatch.setattr(bars, "_sweep", lambda *a: swept.append(1) or sweep(*a))
+    p, v = TAPES["heavy"]
+    tape_ = tape_of(spark, {1: (p, v), 2: (v, p)})
+    known = {r.series: r.threshold for r in bars.threshold_for(tape_, 20).collect()}
+    got = bars.dollar_bars(tape_, 20, adaptive=True, span=2000, slices=12).orderBy("series", "bar_id").collect()
+    assert swept
+    for k, (a, b) in {1: (p, v), 2: (v, p)}.items():
+        own, want = [r for r in got if r.series == k], plain_bars(a, b, known[k], 2000)
+        assert len(own) == len(want) and all(close((r.n_ticks, r.cum_dollar, r.threshold_used), (w[1], w[6], w[7])) for r, w in zip(own, want))

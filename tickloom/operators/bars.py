@@ -22,6 +22,8 @@ PIECE = "bar_id long, piece int, ts_open timestamp, ts_close timestamp, open dou
 NEAR = 1e-9
 #: Ticks that a table is worked out for at a time.
 BLOCK = 1 << 17
+#: Ticks whose values a pass in order takes as one row.
+PACK = 512
 
 
 def threshold_for(ticks: DataFrame, bars: int) -> DataFrame:
@@ -203,28 +205,38 @@ def _states(sliced: DataFrame, span: int | None, factors: tuple[float, float]) -
 
 
 def _sweep(sliced: DataFrame, span: int | None, factors: tuple[float, float], parts: dict[int, Part], states: dict[int, tuple], least: int) -> dict[int, tuple]:
-    """Exact states from slice ``least`` on: each series streams once through its slices, with the open bar as its state."""
+    """Exact states from slice ``least`` on: each series streams once through its slices, with the open bar as its state. Ticks come as packs of their values, 8 bytes each."""
     known = sliced.sparkSession.sparkContext.broadcast({k: v for k, v in states.items() if k <= least})
 
+    def pack(batches):
+        at = 0
+        for pdf in batches:
+            for key, part in runs(pdf):
+                dollars = (part["price"] * part["amount"]).to_numpy(float)
+                starts = range(0, len(dollars), PACK)
+                yield pd.DataFrame({"series": pd.Series([key] * len(starts), dtype=part["series"].dtype), "number": int(part[SLICE].iloc[0]), "at": range(at, at + len(starts)), "threshold": float(part["threshold"].iloc[0]), "dollars": [dollars[i : i + PACK].tobytes() for i in starts]})
+                at += len(starts)
+
     def run(batches):
         last = number = fold = None
         for pdf in batches:
             for key, part in runs(pdf):
-                for own, piece in part.groupby(SLICE, sort=False):
+                for own, t, packed in zip(part["number"], part["threshold"], part["dollars"]):
                     if fold is None or key != last:
-                        t = float(piece["threshold"].iloc[0])
                         fold = Fold(t, span, (factors[0] * t, factors[1] * t), known.value.get(int(own)) if int(own) == least else None)
                     elif own != number:
                         yield pd.DataFrame([(int(own), *fold.state())], columns=["number", "value", "average", "threshold", "bar"])
                     last, number = key, own
-                    fold.feed(*_arrays(piece))
+                    dollars = np.frombuffer(packed)
+                    fold.feed(np.zeros(len(dollars)), dollars, np.ones(len(dollars)))
 
     # only series that reach beyond a slice matter; the first of slice ``least`` begins from its known state
     firsts = {p.first for p in parts.values() if p.number in states}
     named = F.col("series").cast("string").isin([k for k in firsts if k is not None]) | (F.col("series").isNull() & F.lit(None in firsts))
-    rows = sliced.where(F.col(SLICE) >= least).where(named)
-    rows = rows.select("series", SLICE, "seq", "ts", "price", "amount", "threshold").repartition("series").sortWithinPartitions("series", "ts", "seq")
-    got = rows.mapInPandas(run, "number int, value double, average double, threshold double, bar long").collect()
+    rows = sliced.where(F.col(SLICE) >= least).where(named).select("series", SLICE, "price", "amount", "threshold")
+    # slices are in order within themselves, so that only packs are sorted
+    packs = rows.mapInPandas(pack, f"series {dict(sliced.dtypes)['series']}, number int, at long, threshold double, dollars binary")
+    got = packs.repartition("series").sortWithinPartitions("series", "number", "at").mapInPandas(run, "number int, value double, average double, threshold double, bar long").collect()
     return {k: v for k, v in states.items() if k <= least} | {r[0]: tuple(r[1:]) for r in got}
 
 
