@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tickloom.operators import bars, stats
+from tickloom.operators import bars, models, stats
 from tickloom.sources import tape
 
 from .test_slices import TAPES, close, plain_bars, tape_of
@@ -63,3 +63,16 @@ def test_a_pass_in_order_takes_packs_of_values(spark, monkeypatch):
     for k, (a, b) in {1: (p, v), 2: (v, p)}.items():
         own, want = [r for r in got if r.series == k], plain_bars(a, b, known[k], 2000)
         assert len(own) == len(want) and all(close((r.n_ticks, r.cum_dollar, r.threshold_used), (w[1], w[6], w[7])) for r, w in zip(own, want))
+
+
+def test_folds_read_rows_written_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(240).select((F.col("id") % 2).alias("series"), F.floor(F.col("id") / 2).alias("bar_id"), F.col("id").cast("double").alias("x"), F.signum(F.sin("id")).cast("int").alias("label"))
+    told = models.out_of_fold(rows.mapInPandas(count, rows.schema), lambda train: models.ridge(train, ["x"]))
+    assert told.where("coverage = 1").count() == 200 and seen.value == 240

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import finite
+from ..functions.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -71,20 +72,20 @@ def out_of_fold(df: DataFrame, fit: Callable[[DataFrame], object], folds: int =
 
     ``fit`` takes training rows and gives something with ``transform``. ``embargo`` rows before a slice, and rows whose ``end``
     reaches it, are left out. Adds fold, prediction and coverage; rows before the first slice (fold 0), and slices with no rows to
-    learn from, get a null prediction and coverage 0.
+    learn from, get a null prediction and coverage 0. The rows are written once, and all folds read them. Runs jobs while the plan is built.
     """
     w = Window.partitionBy("series")
     rows = df.withColumns({"__i": F.row_number().over(w.orderBy(by)) - 1, "__n": F.count("*").over(w)})
     size = F.greatest(F.floor(F.col("__n") / (folds + 1)), F.lit(1))
-    rows = rows.withColumn("fold", F.least(F.floor(F.col("__i") / size), F.lit(folds)).cast("int"))
+    rows = cut(rows.withColumn("fold", F.least(F.floor(F.col("__i") / size), F.lit(folds)).cast("int")))
+    starts = cut(rows.where("fold > 0").groupBy("series", "fold").agg(F.min("__i").alias("__start"), F.min(by).alias("__first")))  # a row a series and fold
     parts, bare = [], [0]
     for k in range(1, folds + 1):
-        start = F.min(F.when(F.col("fold") == k, F.col("__i"))).over(w)
-        marked = rows.withColumn("__start", start)
-        train = marked.where((F.col("fold") < k) & (F.col("__i") < F.col("__start") - embargo))
+        fold = starts.where(F.col("fold") == k).select(F.col("series").alias("__series"), "__start", "__first")
+        marked = rows.where(F.col("fold") < k).join(fold, F.col("series").eqNullSafe(F.col("__series"))).drop("__series")
+        train = marked.where(F.col("__i") < F.col("__start") - embargo)
         if end is not None:
-            first = marked.withColumn("__first", F.min(F.when(F.col("fold") == k, F.col(by))).over(w))
-            train = first.where((F.col("fold") < k) & (F.col("__i") < F.col("__start") - embargo) & (F.col(end) < F.col("__first")))
+            train = train.where(F.col(end) < F.col("__first"))
         if train.isEmpty():
             bare.append(k)
         else:
