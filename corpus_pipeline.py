@@ -19,7 +19,7 @@ from tickloom.llm.queries import BYTES
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a language: null or empty text, or no letter. Equal scores go to the first language by name."""
+    """Drop documents in no learned language: null or empty text, no letter, or a score under what its language's own texts of that length get. Equal scores go to the first language by name."""
     return lang_id.keep_languages(docs)
 
 

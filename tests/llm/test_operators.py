@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,6 +195,30 @@ def test_language(spark, docs, none):
     assert lang_id.keep_languages(docs).columns == docs.columns and {r.doc_id for r in lang_id.keep_languages(docs).collect()}.isdisjoint({5, 6, 7})
 
 
+def test_texts_in_no_learned_language_go(spark):
+    real = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("length(text) between 200 and 2000")
+    foreign = ["Съешь же ещё этих мягких французских булок, да выпей чаю. Москва столица России. " * 12, "これは日本語の文章です。東京は日本の首都であり、多くの人が住んでいます。" * 25, "xqzv kjwq pfgh zzxq vbnm qwrt plkj hgfd zxcv mnbq wrtp " * 18]
+    rows = [(-1 - 3 * k - i, t, "en" if i == k == 2 else None, "x", len(t)) for k in range(10) for i, t in enumerate(foreign)]  # one wrongly labelled
+    rows += [(-100, "A.", None, "x", 2), (-101, foreign[0][:8], None, "x", 8)]  # too few letters to say
+    both = real.unionByName(spark.createDataFrame(rows, real.schema))
+    kept = [r.doc_id for r in lang_id.keep_languages(both).select("doc_id").collect()]
+    assert sorted(i for i in kept if i < 0) == [-101, -100]
+    n, own = real.count(), sum(i >= 0 for i in kept)
+    assert 0.997 * n <= own <= n
+    learned = both.where(~lang_id.held_out())
+    models = lang_id.prototypes(learned)
+    got = lang_id.floors(learned, models)
+    docs = learned.where("text is not null").select("text", "lang").collect()
+    judged = zip(*lang_id.sized(models)(pa.array([r.text for r in docs])), docs)
+    of_en = [(k, x) for p, x, k, r in judged if p == r.lang == "en"]
+    for size in {k for k, _ in of_en}:
+        scores = [x for k, x in of_en if k == size]
+        if len(scores) >= lang_id.ENOUGH:
+            below = sum(x < got["en"][size] for x in scores)
+            at = sum(x < got["en"][size] + 1 / lang_id.STEPS for x in scores)
+            assert below * lang_id.RARE <= len(scores) < at * lang_id.RARE
+
+
 def test_sentencepiece_matches_library(docs):
     import sentencepiece
 

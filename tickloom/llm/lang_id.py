@@ -13,6 +13,7 @@ of the input are kept only where the function says so.
 from __future__ import annotations
 
 import functools
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,8 @@ ALPHABET = LETTERS + 1 + OTHER
 DIM = 512
 #: Counts that a task holds before it hands them on; trigrams bound at a time.
 HELD, PART = 1 << 18, 1 << 12
+#: Of a language's right rows one in ``RARE`` may score below a floor; ``ENOUGH`` of them make one. Scores are counted in ``STEPS``.
+RARE, ENOUGH, STEPS = 1000, 100, 1024
 
 
 @functools.cache
@@ -135,15 +138,22 @@ def _sum_vectors(parts: DataFrame) -> DataFrame:
 
 def judge(models: dict[str, np.ndarray], dim: int = DIM):
     """A function from a string column to (languages, scores)."""
+    run = sized(models, dim)
+    return lambda column: run(column)[:2]
+
+
+def sized(models: dict[str, np.ndarray], dim: int = DIM):
+    """A function from a string column to (languages, scores, sizes); a size is the bits of the number of trigrams."""
     names = sorted(models)
     matrix = np.stack([models[k] for k in names]).T.astype(np.float32) if names else np.zeros((dim, 0), np.float32)
 
-    def run(column: pa.Array) -> tuple[list[str], list[float]]:
-        pred, score = [], []
+    def run(column: pa.Array) -> tuple[list[str], list[float], list[int]]:
+        pred, score, size = [], [], []
         for got in trigrams(column):
             if got is None or not names:
                 pred.append("und")
                 score.append(0.0)
+                size.append(0)
                 continue
             codes, n = got
             v = sum(n[i : i + PART].astype(np.float32) @ bound(codes[i : i + PART], dim).astype(np.float32) for i in range(0, len(codes), PART))
@@ -151,7 +161,8 @@ def judge(models: dict[str, np.ndarray], dim: int = DIM):
             k = int(np.argmax(cos))
             pred.append(names[k])
             score.append(float(min(1.0, max(0.0, cos[k]))))
-        return pred, score
+            size.append(int(n.sum()).bit_length())
+        return pred, score, size
 
     return run
 
@@ -182,17 +193,50 @@ def identify(docs: DataFrame) -> DataFrame:
     return classify(docs.select("doc_id", held_out().alias("held_out"), "text"), models).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def floors(docs: DataFrame, models: dict[str, np.ndarray]) -> dict[str, list[float]]:
+    """Of each language, by size of a text, the score below which at most one in ``RARE`` of the rows of ``docs`` that get their own language lies.
+
+    Where a size has fewer than ``ENOUGH`` such rows, shorter ones, which score less, are taken with it; where these don't suffice, the floor is 0: a few letters
+    prove nothing. Larger sizes than any seen have the last floor. The driver gets counts by language, size and step of score.
+    """
+    run = sized(models)
+
+    def count(batches):
+        found = Counter()
+        for b in batches:
+            pred, score, size = run(b.column(0))
+            found.update((p, k, int(x * STEPS)) for p, x, k, own in zip(pred, score, size, b.column(1).to_pylist()) if p == own)
+        rows = list(found)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), *[pa.array([r[i] for r in rows], pa.int32()) for i in (1, 2)], pa.array(list(found.values()), pa.int64())], ["lang", "size", "step", "n"])
+
+    counts: dict[str, np.ndarray] = {}
+    for r in arrow_map(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang"), count, "lang string, size int, step int, n long").groupBy("lang", "size", "step").agg(F.sum("n").alias("n")).toLocalIterator():
+        counts.setdefault(r["lang"], np.zeros((64, STEPS + 1), np.int64))[r["size"], r["step"]] += r["n"]
+    out = {}
+    for name, by_size in counts.items():
+        out[name] = []
+        for size in range(len(by_size)):
+            # from this size down to where there are enough
+            enough = np.flatnonzero(np.cumsum(by_size[size::-1].sum(1)) >= ENOUGH)
+            pooled = by_size[size - enough[0] : size + 1].sum(0) if len(enough) else np.zeros(1, np.int64)
+            out[name].append(int(np.argmax(np.cumsum(pooled) * RARE > pooled.sum())) / STEPS)
+    return out
+
+
 def keep_languages(docs: DataFrame, languages: list[str] | None = None, min_score: float = 0.0) -> DataFrame:
-    """Documents of a learned language (of ``languages``, if given) that score ``min_score`` or more; their own columns.
+    """Documents in a learned language (of ``languages``, if given) that score ``min_score`` or more; their own columns.
 
-    One Arrow pass drops rows in place: no join and no shuffle of texts.
+    A text whose score lies under its language's floor (``floors``, learned as the prototypes are) is in none of them. One Arrow pass drops rows in place: no join and no
+    shuffle of texts.
     """
-    models = prototypes(docs.where(~held_out()))
-    run = judge(models)
+    learned = docs.where(~held_out())
+    models = prototypes(learned)
+    run, floor = sized(models), floors(learned, models)
 
     def each(batches):
         for b in batches:
-            pred, score = run(b.column(b.schema.get_field_index("text")))
-            yield b.filter(pa.array([p != "und" and x >= min_score and (languages is None or p in languages) for p, x in zip(pred, score)], pa.bool_()))
+            keep = [p != "und" and x >= max(min_score, floor[p][k] if p in floor else 0.0) and (languages is None or p in languages) for p, x, k in zip(*run(b.column(b.schema.get_field_index("text"))))]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
     return arrow_map(docs, each, docs.schema)
