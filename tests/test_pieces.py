@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.pieces import in_pieces, of_pieces
+from tickloom.operators import indicators
 from tickloom.plans import feature_table
 from tickloom.sources import tape
 
@@ -29,3 +30,14 @@ def test_one_series_is_many_pieces(spark):
     assert of_pieces(cut).orderBy("bar_id").collect() == df.orderBy("bar_id").collect()
     with pytest.raises(ValueError):
         in_pieces(df, 10, 11)
+
+
+def test_indicators_of_one_series_in_pieces(spark, monkeypatch):
+    bars = tape.tick_bars(tape.ticks(spark, "/root/testdata/sf0.001", 1), 3).withColumn("close", F.when(F.col("bar_id") % 50 > 0, F.col("close")))
+    cuts, plain = [], indicators.in_slices
+    monkeypatch.setattr(indicators, "in_slices", lambda *a, **k: cuts.append(a) or plain(*a, **k))
+    rows = lambda df: [tuple(None if v != v else v for v in r) for r in df.orderBy("bar_id").collect()]
+    cut = feature_table.all_features(bars, feature_table.TECHNICAL, (), 1)
+    assert len(cuts) == 1  # all families are smoothed together
+    whole = feature_table.all_features(bars, feature_table.TECHNICAL, (), 1 << 20)
+    assert cut.columns == whole.columns and not any(c.startswith("__") for c in cut.columns) and rows(cut) == rows(whole)

@@ -33,25 +33,33 @@ def all_features(bars: DataFrame, blocks: Sequence[Block] = (*BLOCKS, *TECHNICAL
     """The bars with the columns of each block, and lags of those columns whose names call for them. Blocks have no name in common but
     mfi_14, which two give alike.
 
-    Blocks that hang on a whole series come first, so that what they write and hand to Python is narrow. Windows and lags follow over pieces of series, each with the bars
-    before it that they look back on, so that one long series is many tasks. Where a block is not of this module's, all are taken in the given order.
+    Blocks that hang on a whole series come first, so that what they write and hand to Python is narrow; indicators take that part of theirs together, last, and once. Windows and lags
+    follow over pieces of series, each with the bars before it that they look back on, so that one long series is many tasks. Where a block is not of this module's, all are taken in the given order.
     """
     known = all(b in (*BLOCKS, *TECHNICAL) for b in blocks)
-    first, then = ([b for b in blocks if b not in WINDOWED], [b for b in blocks if b in WINDOWED]) if known else (blocks, [])
+    technical = [b for b in dict.fromkeys(blocks) if known and b in TECHNICAL]
+    first, then = ([b for b in blocks if b not in WINDOWED and b not in technical], [b for b in blocks if b in WINDOWED]) if known else (blocks, [])
     out, added = bars, {}
 
-    def take(block: Block) -> None:
+    def take(block: Block, give: Block) -> None:
         nonlocal out
         before = set(out.columns)
-        out = block(out)
-        added[block] = [c for c in out.columns if c not in before]
+        out = give(out)
+        added[block] = [c for c in out.columns if c not in before and not c.startswith("__")]
 
     for block in first:
-        take(block)
+        take(block, block)
+    families = [indicators.FAMILIES[b] for b in technical]
+    if technical:
+        out = indicators.prepared(out, families)
     halo = FAR + max(lags, default=0)
-    out = in_pieces(out, max(piece, halo), halo)
+    out = in_pieces(out, max(piece, halo), halo, at=F.col(indicators.ROW) - 1 if technical else None)
+    for block, family in zip(technical, families):
+        take(block, family.after)
+    if technical:
+        out = indicators.finished(out)
     for block in then:
-        take(block)
+        take(block, block)
     out = out.select(*bars.columns, *[c for b in dict.fromkeys(blocks) for c in added[b]], MINE)
     numbers = [c for c, kind in out.dtypes if kind in ("double", "float", "int", "bigint") and c not in ("series", "bar_id")]
     rows = features.planned_lags(out, [c for c in numbers if c not in ("open", "high", "low")], lags) if lags else out
