@@ -6,6 +6,7 @@ import ctypes
 import tempfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tickloom-checkpoint-"))
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """What frames made here shuffle goes from the disk as soon as their action ends, not when the driver next collects garbage. For frames that run once."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder; a lost executor costs a reread only."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
@@ -77,7 +91,9 @@ def gather_cells(df: DataFrame, size: int, cell: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(v, 65535).astype("<u2").tobytes()], pa.binary())], ["cell", "counts"])
 
     out = np.zeros(size, np.uint16)
-    for k, v in arrow_map(df.repartition("cell"), add, "cell int, counts binary").collect():
+    with tidy(df.sparkSession):
+        found = arrow_map(df.repartition("cell"), add, "cell int, counts binary").collect()
+    for k, v in found:
         out[k * cell : (k + 1) * cell] = np.frombuffer(v, "<u2")
     return out
 
@@ -109,7 +125,9 @@ def bit_filter(df: DataFrame, column: str, bits: int, cell: int = 4096) -> np.nd
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([v.tobytes()], pa.binary())], ["cell", "bits"])
 
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for k, v in arrow_map(arrow_map(df.select(column), mark, "cell int, bits binary").repartition("cell"), join, "cell int, bits binary").collect():
+    with tidy(df.sparkSession):
+        found = arrow_map(arrow_map(df.select(column), mark, "cell int, bits binary").repartition("cell"), join, "cell int, bits binary").collect()
+    for k, v in found:
         out[k * cell : (k + 1) * cell] = np.frombuffer(v, np.uint8)
     return out
 
@@ -122,23 +140,20 @@ def in_filter(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """Connected components of ``links(a long, b long)``: one row (node, component) per linked node.
 
-    Alternates large-star and small-star steps (min label, partial aggregation, equi-joins) until no edge changes; rounds grow
-    with the logarithm of the longest path. Least neighbours are written before they are joined, so that both sides of a join come from a
+    Alternates large-star and small-star steps (min label, partial aggregation, equi-joins) until all edges are stars, each node with one
+    lower neighbour that has none itself; rounds grow with the logarithm of the longest path. Least neighbours are written before they are joined, so that both sides of a join come from a
     shuffle of their own, and adaptive execution may split the edges of a star's centre or broadcast a small side. ``component`` is the
     least node. Nothing is collected.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
     while True:
         # an edge's lower end gets its own least neighbour, if that is lower still
         below = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
-        large = cut(edges.join(below.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")))
-        down = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = cut(edges.join(below.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v"), F.col("m").isNotNull().alias("moved")))
+        down = cut(large.groupBy("u").agg(F.min("v").alias("m"), (F.max("moved") | (F.count("*") > 1)).alias("open")))
+        if down.where("open").isEmpty():
+            break
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
         edges = cut(small.distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
-    stars = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    stars = down.select(F.col("u").alias("node"), F.col("m").alias("component"))
     return stars.union(stars.select(F.col("component").alias("node"), "component").distinct())

@@ -182,7 +182,7 @@ class Trie:
 
 
 def chunk_links(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some (hash, set)."""
+    """A star for each class that links make among some (hash, set): its members with its least hash, so that paths through many chunks stay short."""
     tree, top = Trie([], 0), list(range(len(members)))
 
     def root(i: int) -> int:
@@ -191,7 +191,6 @@ def chunk_links(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
             i = top[i]
         return i
 
-    out = []
     for i in sorted(range(len(members)), key=lambda i: len(members[i][1])):
         path = members[i][1][::-1].tolist()  # commonest first: near copies share long paths
 
@@ -199,11 +198,13 @@ def chunk_links(members: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
             a, b = root(i), root(j)
             if a != b:
                 top[a] = b
-                out.append((members[i][0], members[j][0]))
 
         tree.search(set(path), len(path), found)
         tree.add(path, i)
-    return out
+    least: dict[int, int] = {}
+    for i, (h, _) in enumerate(members):
+        least[root(i)] = min(h, least.get(root(i), h))
+    return [(h, least[root(i)]) for i, (h, _) in enumerate(members) if h != least[root(i)]]
 
 
 def _signatures(docs: DataFrame, counts) -> DataFrame:
