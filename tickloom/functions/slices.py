@@ -15,8 +15,10 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .lineage import cut
 
@@ -111,6 +113,31 @@ def carry(sliced: DataFrame, states: dict[int, Any], begin: Callable, step: Call
     return sliced.mapInPandas(run, schema)
 
 
+def carry_beside(sliced: DataFrame, states: dict[int, Any], begin: Callable, step: Callable, read: list[str], names: list[str]) -> DataFrame:
+    """``carry`` whose steps see only ``read`` and give the columns ``names``, doubles that stand beside the rows' own. These pass as they are: through pandas, NaN would be null."""
+    shared = sliced.sparkSession.sparkContext.broadcast(states)
+    own = [c for c in sliced.columns if c != SLICE]
+
+    def run(batches):
+        state = last = number = None
+        for b in batches:
+            made = []
+            for key, part in runs(b.select(list(dict.fromkeys(["series", SLICE, *read]))).to_pandas()):
+                if number is None:
+                    number, last = int(part[SLICE].iloc[0]), key
+                    state = begin(shared.value.get(number))
+                elif key != last:
+                    last, state = key, begin(None)
+                out, state = step(state, part)
+                made.append(out)
+            if made:
+                found = pd.concat(made)
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], *[pa.array(found[n], pa.float64(), from_pandas=True) for n in names]], [*own, *names])
+
+    schema = StructType([*[f for f in sliced.schema.fields if f.name != SLICE], *[StructField(n, DoubleType()) for n in names]])
+    return sliced.mapInArrow(run, schema)
+
+
 def scan(keep: float, b: np.ndarray, before: float = 0.0) -> np.ndarray:
     """y[t] = keep * y[t - 1] + b[t], by prefix sums of b over powers of ``keep``, in stretches in which these stay moderate."""
     if keep <= 0:

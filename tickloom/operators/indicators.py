@@ -12,11 +12,10 @@ from typing import NamedTuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.frames import full, last, order, over, row, so_far
 from ..functions.pieces import MINE, in_pieces, of_pieces
-from ..functions.slices import SLICE, carry, in_slices, stitch, summaries
+from ..functions.slices import carry_beside, in_slices, stitch, summaries
 
 
 def _cols() -> tuple[Column, ...]:
@@ -55,7 +54,6 @@ def smooth(bars: DataFrame, steps: list[Step], slices: int | None = None) -> Dat
     while the plan is built; a task holds a batch and each average's last value.
     """
     sliced = in_slices(bars, "bar_id", slices=slices)
-    shape = StructType([*[StructField(f.name, f.dataType) for f in bars.schema.fields], *[StructField(n, DoubleType()) for n, _, _ in steps]])
     level: dict[str, int] = {}
     for name, source, a in steps:  # a function may read all that comes before it
         below = level.get(source, 0) if isinstance(source, str) else max(level.values(), default=0)
@@ -109,9 +107,9 @@ def smooth(bars: DataFrame, steps: list[Step], slices: int | None = None) -> Dat
     top = max(level.values(), default=0)
 
     def step(held, part):
-        return add(part.drop(columns=SLICE), held, top), held
+        return add(part, held, top), held
 
-    return carry(sliced, states, lambda state: dict(state or {}), step, shape)
+    return carry_beside(sliced, states, lambda state: dict(state or {}), step, read, [name for name, _, _ in steps])
 
 
 class Family(NamedTuple):
