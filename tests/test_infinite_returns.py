@@ -2,7 +2,7 @@
 
 import math
 
-from tickloom.operators import features, indicators
+from tickloom.operators import analysis, features, indicators
 from tickloom.plans import catalogue, feature_table
 
 from .oracle import compare
@@ -21,3 +21,10 @@ def test_windows_after_averages_match_sql(spark, zeros):  # noqa: F811
         return catalogue._pick(table, ["cum_return_5", "cum_return_5_lag5", "volume_lag10"])
 
     assert compare(spark, narrow, catalogue.oracle_sql()["feature_table"], zeros) is None
+
+
+def test_entropy_of_an_infinite_frame_is_nan(spark):
+    returns = [None, 0.1, float("-inf"), float("inf"), *[0.1 * (i % 3) for i in range(8)]]
+    bars = spark.createDataFrame([(1, i, r) for i, r in enumerate(returns)], "series long, bar_id long, log_return double")
+    got = [r.apen_4 for r in analysis.complexity(bars, 4).orderBy("bar_id").collect()]
+    assert got[:3] == [None] * 3 and all(x is not None and math.isnan(x) for x in got[3:7]) and all(x is not None and math.isfinite(x) for x in got[7:])

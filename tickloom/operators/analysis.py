@@ -233,7 +233,7 @@ _LOT = 256
 def complexity(bars: DataFrame, window: int = 50, m: int = 2, tolerance: float = 0.2) -> DataFrame:
     """Approximate and sample entropy of a frame's normalised returns: apen_k, sampen_k. Half a frame of values is needed; 0 for a constant frame.
 
-    Both come from one table of which values are alike, for many frames of one length at a time.
+    Both come from one table of which values are alike, for many frames of one length at a time. A frame with an infinite return has no deviation: no two of its values are alike, and apen_k is NaN.
     """
 
     @F.pandas_udf("struct<apen double, sampen double>")
@@ -249,7 +249,8 @@ def complexity(bars: DataFrame, window: int = 50, m: int = 2, tolerance: float =
 
     w = last(window)
     frame = F.when((row() >= window) & (F.count("log_return").over(w) >= window // 2), F.collect_list("log_return").over(w))
-    return bars.withColumn("__x", frame).withColumn("__e", run("__x")).withColumns({f"{k}_{window}": F.col(f"__e.{k}") for k in ("apen", "sampen")}).drop("__x", "__e")
+    known = lambda x: F.when(F.size("__x") > m, F.coalesce(x, F.lit(float("nan"))))  # noqa: E731  pandas hands NaN back as null
+    return bars.withColumn("__x", frame).withColumn("__e", run("__x")).withColumns({f"{k}_{window}": known(F.col(f"__e.{k}")) for k in ("apen", "sampen")}).drop("__x", "__e")
 
 
 def _matrix(df: DataFrame, columns: list[str]) -> np.ndarray:
