@@ -32,6 +32,6 @@ def test_entropy_of_an_infinite_frame_is_nan(spark):
     assert got[:3] == [None] * 3 and all(x is not None and math.isnan(x) for x in got[3:7]) and all(x is not None and math.isfinite(x) for x in got[7:])
 
 
-@pytest.mark.parametrize("name", ["feature_ranking", "feature_report", "mutual_information", "nonlinearity"])
+@pytest.mark.parametrize("name", ["feature_ranking", "feature_report", "mutual_information", "nonlinearity", "ta_momentum", "ta_volume"])
 def test_matches_sql(spark, zeros, name):  # noqa: F811
     assert compare(spark, catalogue.queries()[name], catalogue.oracle_sql()[name], zeros) is None

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import full, last, order, over, row, so_far
+from ..functions.frames import full, last, logarithm, order, over, quotient, row, so_far
 from ..functions.pieces import MINE, in_pieces, of_pieces
 from ..functions.slices import carry_beside, in_slices, stitch, summaries
 
@@ -169,13 +169,13 @@ def _after_momentum(rows: DataFrame) -> DataFrame:
     h, lo, c, _ = _cols()
     high, low = F.max("high").over(last(14)), F.min("low").over(last(14))
     ready = F.count("close").over(last(14)) >= 14
-    rows = rows.withColumn("stoch_k", F.when(ready, 100 * _over(c - low, high - low)))
+    rows = rows.withColumn("stoch_k", F.when(ready, _over(100 * (c - low), high - low)))
     share = lambda n: over(full(F.sum, F.col("__bp"), n), F.sum("__utr").over(last(n)))
     out = {f"rsi_{n}": _seen("__d", n, F.when(F.col(f"__down{n}") == 0, 100.0).otherwise(100 - 100 / (1 + over(F.col(f"__up{n}"), F.col(f"__down{n}"))))) for n in (14, 7)}
     for name, x, s in (("macd", "__macd", "__ms"), ("ppo", "__ppo", "__ps")):
         out |= {name: _seen("close", 26, F.col(x)), f"{name}_signal": _seen("close", 34, F.col(s)), f"{name}_diff": _seen("close", 34, F.col(x) - F.col(s))}
-    out |= {"stoch_d": full(F.avg, F.col("stoch_k"), 3), "williams_r": F.when(ready, -100 * _over(high - c, high - low))}
-    out |= {f"roc_{n}": 100 * (over(c, F.lag("close", n).over(order())) - 1) for n in (10, 20)}
+    out |= {"stoch_d": full(F.avg, F.col("stoch_k"), 3), "williams_r": F.when(ready, _over(-100 * (high - c), high - low))}
+    out |= {f"roc_{n}": 100 * (quotient(c, F.lag("close", n).over(order())) - 1) for n in (10, 20)}
     out |= {"awesome": full(F.avg, F.col("__mid"), 5) - full(F.avg, F.col("__mid"), 34), "ultimate": 100 * (4 * share(7) + 2 * share(14) + share(28)) / 7, "mfi_14": money_flow()}
     return rows.withColumns(out)
 
@@ -260,7 +260,7 @@ def trend_indicators(bars: DataFrame) -> DataFrame:
 def _before_volume(bars: DataFrame) -> DataFrame:
     h, lo, c, v = _cols()
     rows = bars.withColumns({"__d": c - _before("close"), "__pc": _before("close"), "__pv": _before("volume"), "__tp": _typical(), "__mf": F.when(h == lo, 0.0).otherwise(over(2 * c - h - lo, h - lo)) * v, "__dm": (h + lo) / 2 - F.lag((h + lo) / 2).over(order())})
-    rows = rows.withColumns({"__dtp": F.col("__tp") - _before("__tp"), "__f": F.col("__d") * v, "__n": F.when(v < F.col("__pv"), F.log(over(c, F.col("__pc")))).otherwise(0.0)})
+    rows = rows.withColumns({"__dtp": F.col("__tp") - _before("__tp"), "__f": F.col("__d") * v, "__n": F.when(v < F.col("__pv"), logarithm(quotient(c, F.col("__pc")))).otherwise(0.0)})
     w = so_far()
     sums = {"__obv": F.sum(F.coalesce(F.signum("__d"), F.lit(0.0)) * v).over(w), "__adi": F.sum("__mf").over(w), "__nvi": 1000 * F.exp(F.sum("__n").over(w)), "__vwap": _over(F.sum(F.col("__tp") * v).over(w), F.sum("volume").over(w))}
     return _counted(rows.withColumns(sums), "__f")
@@ -268,7 +268,7 @@ def _before_volume(bars: DataFrame) -> DataFrame:
 
 def _after_volume(rows: DataFrame) -> DataFrame:
     h, lo, _, v = _cols()
-    rows = rows.withColumn("emv", F.col("__dm") * _over(h - lo, v))
+    rows = rows.withColumn("emv", _over(F.col("__dm") * (h - lo), v))
     out = {"obv": F.col("__obv"), "cmf_20": _over(full(F.sum, F.col("__mf"), 20), F.sum("volume").over(last(20))), "adi": F.col("__adi"), "emv_14": full(F.avg, F.col("emv"), 14), "force_13": _seen("__f", 13, F.col("__force"))}
     return rows.withColumns(out | {"mfi_14": money_flow(), "nvi": F.col("__nvi"), "vwap_cumulative": F.col("__vwap")})
 
